@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat_format, exact_dedup
+from lexforge.llm import chat_format, exact_dedup, packing, piece_codec, token_records
+from lexforge.shipping import ship
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -77,8 +86,31 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_records.write_records(
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, leading_space=True
+    )
+    return token_records.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_chat_format": op8_chat_format, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op3_token_records": op3_token_records,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_sentencepiece": op7_sentencepiece,
+        "op8_chat_format": op8_chat_format,
+        "op10_exact_dedup": op10_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
