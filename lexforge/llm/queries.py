@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat_format, exact_dedup, packing, piece_codec, token_records
+from lexforge.llm import chat_format, exact_dedup, near_dedup, packing, piece_codec, quality, token_records, toxicity, vector_graph
+from lexforge.llm._labels import fold
 from lexforge.shipping import ship
 
 
@@ -86,13 +87,21 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 """
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(
-        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, leading_space=True
+        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, split="byte"
     )
     return token_records.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
         table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096
@@ -103,12 +112,40 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 5) != 0
+    )
+    return scores.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 4) != 2
+    )
+    return scores.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_dedup": op1_near_dedup,
         "op3_token_records": op3_token_records,
+        "op4_toxicity": op4_toxicity,
+        "op5_nearest_vectors": op5_nearest_vectors,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_sentencepiece": op7_sentencepiece,
         "op8_chat_format": op8_chat_format,
+        "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
