@@ -1,27 +1,39 @@
 """Whole-text encoding with public tokenizers, one distinct chunk at a time.
 
-A text is cut only at single spaces between two characters that aren't white space.  For the
-tokenizers used here no token spans such a place, so the ids of a text are the ids of its chunks in
-order, and each distinct chunk is encoded once while it stays in a bounded two-generation cache.
+A text is cut only where no token of the tokenizers used here spans: at single spaces between two
+characters that aren't white space and, in texts of plain characters, around lone full stops, commas
+and line breaks.  So the ids of a text are the ids of its chunks in order, and each distinct chunk
+is encoded once while it stays in a bounded two-generation cache.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-_RUN = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Longer chunks are encoded each time and never cached.
 LONGEST_CACHED = 64
-
-
-def cut(text: str) -> list[str]:
-    """The chunks of ``text``, without the single spaces between them."""
-    if _RUN.search(text) or text[:1].isspace() or text[-1:].isspace():
-        return _CUT.split(text)
-    return text.split(" ") if text else []
+#: Bytes of text that are encoded together.
+GROUP_BYTES = 4_000_000
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: A word that is one token run of its own in both vocabularies' splitting patterns.
+_WORD = re.compile(f"[{_LETTERS}]+")
+_SPACED_WORD = re.compile(f" [{_LETTERS}]+")
+#: What keeps a text from being cut at its full stops, commas and line breaks as well: a character
+#: outside the plain ones, an apostrophe, two white spaces or two marks in a row, a mark after a
+#: space, a space at either end.
+_NOT_SIMPLE_RE2 = r"[^ -~\nÀ-ÖØ-öø-ÿ]|'|[ \n]{2}|[!-/:-@\[-`{-~]{2}|[ \n][.,]|\A |[ ]\z"
+
+
+def cut_any(text: str) -> list[str]:
+    """The chunks of any text.  A chunk stands after a space; if it begins with "\\1", it doesn't."""
+    if not text:
+        return []
+    chunks = _CUT.split(text)
+    return ["\1" + chunks[0], *["\0" + c if c[0] in "\0\1" else c for c in chunks[1:]]]
 
 
 class ChunkCache:
@@ -50,45 +62,120 @@ class ChunkCache:
         return [list(map(new.__getitem__, chunks)) for chunks in texts_chunks]
 
 
-_loaded: dict[tuple, ChunkCache] = {}
-
-
-def _little_endian(model: bytes, width: int, leading_space: bool) -> Callable[[list[str]], Iterable[bytes]]:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+class Encoder:
+    """Token ids of chunks and texts by one tokenizer, as little-endian unsigned integers."""
+
+    def __init__(self, model: bytes, width: int, split: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_buffer(model)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.split, self.kind = split, np.dtype(f"<u{width}")
+        # Which ids begin (byte) or end (word) a word: with them, many words are encoded as one text.
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("Ġ") if split == "byte" else token.endswith("</w>")
+        self.cache = ChunkCache(self._chunks)
+
+    def _alone(self, strings: list[str]) -> list[bytes]:
+        import numpy as np
+
+        return [
+            np.array(e.ids, self.kind).tobytes()
+            for start in range(0, len(strings), 4096)
+            for e in self.tokenizer.encode_batch_fast(strings[start : start + 4096], add_special_tokens=False)
+        ]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of single plain words, encoded in texts of many."""
+        import numpy as np
+
+        out: list[bytes] = []
+        space = "" if self.split == "byte" else " "
+        texts = [space.join(words[i : i + 512]) for i in range(0, len(words), 512)]
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else ():
+            ids = np.array(e.ids, self.kind)
+            at = np.flatnonzero(self.edge[ids])
+            at = np.append(at, len(ids)) if self.split == "byte" else np.concatenate(([0], at + 1))
+            data, at = ids.tobytes(), (at * self.kind.itemsize).tolist()
+            out += [data[i:j] for i, j in zip(at, at[1:])]
+        if len(out) != len(words):
+            raise ValueError("words can't be told apart in the ids of their text")
+        return out
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if self.split == "byte":
+            shown = [c[1:] if c[:1] == "\1" else " " + c.removeprefix("\0") for c in chunks]
+        else:
+            shown = [c[1:] if c[:1] in ("\0", "\1") else c for c in chunks]
+        word = (_SPACED_WORD if self.split == "byte" else _WORD).fullmatch
+        single = [c for c in shown if word(c)]
+        known = dict(zip(single, self._words(single), strict=True))
+        rest = [c for c in shown if c not in known]
+        known |= zip(rest, self._alone(rest), strict=True)
+        return [known[c] for c in shown]
+
+    def texts(self, column) -> list[bytes]:
+        """The ids of each text of an Arrow array of strings; null is empty."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        special = pc.or_(pc.match_substring_regex(column, _NOT_SIMPLE_RE2), pc.equal(column, "")).to_numpy(zero_copy_only=False)
+        out: list[bytes] = [b""] * len(column)
+        places = np.flatnonzero(~special)
+        if len(places):
+            plain = column.take(pa.array(places))
+            if self.split == "word":
+                plain = pc.utf8_lower(plain)
+            for mark, marked in ((".", " \1."), (",", " \1,"), ("\n", " \1\n \1")):
+                plain = pc.replace_substring(plain, mark, marked)
+            first, nothing = pa.scalar("\1", pa.large_string()), pa.scalar("", pa.large_string())
+            cut = pc.split_pattern(pc.binary_join_element_wise(first, plain, nothing), " ")
+            found = cut.values.dictionary_encode()
+            ids = self.cache.of([found.dictionary.to_pylist()])[0]
+            size = self.kind.itemsize
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // size
+            pool = np.frombuffer(b"".join(ids), self.kind)
+            starts = np.cumsum(lengths) - lengths
+            which = found.indices.to_numpy(zero_copy_only=False)
+            many = lengths[which]
+            ends = np.cumsum(many)
+            data = pool[np.repeat(starts[which] - (ends - many), many) + np.arange(ends[-1])].tobytes()
+            at = np.concatenate(([0], ends))[cut.offsets.to_numpy()] * size
+            for place, i, j in zip(places.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                out[place] = data[i:j]
+        others = np.flatnonzero(special).tolist()
+        for place, values in zip(others, self.cache.of([cut_any(column[i].as_py()) for i in others]), strict=True):
+            out[place] = b"".join(values)
+        return out
+
+
+_loaded: dict[tuple, Encoder] = {}
+
+
+def encode_texts(column, model: bytes, key: str, width: int, split: str) -> Iterator[bytes]:
+    """Token ids of each text of an Arrow array as little-endian unsigned integers of ``width`` bytes.
+
+    ``split`` names the vocabulary's rule: "byte" writes the space before a word into its token,
+    "word" lower-cases, drops white space and marks the end of a word.
+    """
     import numpy as np
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_buffer(model)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    kind = np.dtype(f"<u{width}")
+    gc.disable()  # the caches hold many objects and no cycles: collecting would only walk them
+    encoder = _loaded.get((key, width))
+    if encoder is None:
+        encoder = _loaded[key, width] = Encoder(model, width, split)
+    import pyarrow.compute as pc
 
-    def encode(chunks: list[str]) -> Iterable[bytes]:
-        asked = [" " + c[1:] if c[:1] == "\0" else c[1:] for c in chunks] if leading_space else chunks
-        for start in range(0, len(asked), 4096):
-            for e in tokenizer.encode_batch_fast(asked[start : start + 4096], add_special_tokens=False):
-                yield np.array(e.ids, kind).tobytes()
-
-    return encode
-
-
-def encode_texts(texts: list[str], model: bytes, key: str, width: int, leading_space: bool) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned integers of ``width`` bytes.
-
-    ``leading_space``: the vocabulary writes the space before a word into its token.
-    """
-    cache = _loaded.get((key, width))
-    if cache is None:
-        cache = _loaded[key, width] = ChunkCache(_little_endian(model, width, leading_space))
-    out = []
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False))
     start = 0
-    while start < len(texts):  # in groups of bounded size
-        size, end = 0, start
-        while end < len(texts) and (end == start or size < 4_000_000):
-            size += len(texts[end])
-            end += 1
-        chunks = [cut(t) for t in texts[start:end]]
-        if leading_space:  # the first chunk of a text has no space before it
-            chunks = [["\1" + c[0], *["\0" + x for x in c[1:]]] if c else c for c in chunks]
-        out += [b"".join(v) for v in cache.of(chunks)]
+    while start < len(column):  # in groups of bounded size
+        before = sizes[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(sizes, before + GROUP_BYTES)))
+        yield from encoder.texts(column.slice(start, end - start))
         start = end
-    return out

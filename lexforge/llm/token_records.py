@@ -68,7 +68,7 @@ def filesystem(uri: str):
 
 
 def _write_shard(
-    batches: Iterator[pa.RecordBatch], model: bytes, key: str, folder: str, end_id: int, width: int, leading_space: bool
+    batches: Iterator[pa.RecordBatch], model: bytes, key: str, folder: str, end_id: int, width: int, split: str
 ) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
@@ -80,8 +80,7 @@ def _write_shard(
     records = ids = at = 0
     end = end_id.to_bytes(width, "little")
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for doc_id, got in zip(batch.column(0).to_pylist(), encode_texts(texts, model, key, width, leading_space), strict=True):
+        for doc_id, got in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1), model, key, width, split), strict=True):
             if out is None:
                 out = files.open_output_stream(f"{root}/{name}.rec", buffer_size=1 << 20)
                 index = files.open_output_stream(f"{root}/{name}.idx", buffer_size=1 << 16)
@@ -108,7 +107,7 @@ def write_records(
     id_col: str = "doc_id",
     text_col: str = "text",
     folder: str | None = None,
-    leading_space: bool = True,
+    split: str = "byte",
 ) -> DataFrame:
     """Write the records of all documents in ascending order of their id; returns the manifest."""
     from tokenizers import Tokenizer
@@ -120,7 +119,7 @@ def write_records(
     shared, key, width = spark.sparkContext.broadcast(model), hashlib.sha256(model).hexdigest(), 2 if size <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _write_shard(batches, shared.value, key, folder, end_id, width, leading_space)
+        return _write_shard(batches, shared.value, key, folder, end_id, width, split)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
@@ -153,7 +152,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     """One row per record, read from the files: doc_id, start, n_tokens, ids_crc32, file, record."""
     before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     files = manifest.select("path", F.coalesce(before, F.lit(0)).alias("start"))
-    return files.repartition(F.col("path")).mapInArrow(
+    return files.repartition(max(1, manifest.count()), F.col("path")).mapInArrow(
         _reader, "doc_id long, start long, n_tokens long, ids_crc32 long, file string, record long"
     )
 
