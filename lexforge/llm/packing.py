@@ -34,11 +34,10 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], model: bytes, key: str, end: bytes, capacity: int, leading_space: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], model: bytes, key: str, end: bytes, capacity: int, split: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
         rows = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(texts, model, key, 4, leading_space), strict=True):
+        for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(batch.column(1), model, key, 4, split), strict=True):
             ids += end
             for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
@@ -51,7 +50,7 @@ def _cut(batches: Iterator[pa.RecordBatch], model: bytes, key: str, end: bytes,
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", leading_space: bool = False
+    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text", split: str = "word"
 ) -> DataFrame:
     """The pieces of at most ``capacity`` ids of every document."""
     raw = open(tokenizer_path, "rb").read()
@@ -59,7 +58,7 @@ def token_pieces(
     end = end_id.to_bytes(4, "little")
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut(batches, model.value, key, end, capacity, leading_space)
+        return _cut(batches, model.value, key, end, capacity, split)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pieces, PIECES)
 
