@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat_format, exact_dedup, near_dedup, packing, piece_codec, quality, token_records, toxicity, vector_graph
+from lexforge.llm import chat_format, exact_dedup, near_dedup, packing, piece_codec, quality, repeated_spans, token_records, toxicity, vector_graph
 from lexforge.llm._labels import fold
 from lexforge.shipping import ship
 
@@ -91,6 +91,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
+def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.removal_digests(table(spark, sf_dir, "documents"), length=400)
+
+
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(
         table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, split="byte"
@@ -139,6 +143,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
+        "op2_repeated_spans": op2_repeated_spans,
         "op3_token_records": op3_token_records,
         "op4_toxicity": op4_toxicity,
         "op5_nearest_vectors": op5_nearest_vectors,
