@@ -576,12 +576,12 @@ def context_token_turns(spark, sf_dir):
 
 @query(
     """WITH f AS (SELECT *, min(CASE WHEN contains(text, 'tion') AND contains(text, 'ing') THEN turn END) OVER (PARTITION BY conv_id) AS first_pos FROM conversations)
-SELECT conv_id, first_pos, count(*) FILTER (turn > first_pos) AS records_after, CAST(coalesce(sum(CASE WHEN turn > first_pos THEN strlen(text) END), 0) AS BIGINT) AS bytes_after FROM f GROUP BY conv_id, first_pos"""
+SELECT conv_id, coalesce(first_pos, -1) AS first_pos, count(*) FILTER (turn > first_pos) AS records_after, CAST(coalesce(sum(CASE WHEN turn > first_pos THEN strlen(text) END), 0) AS BIGINT) AS bytes_after FROM f GROUP BY conv_id, first_pos"""
 )
 def first_hit(spark, sf_dir):
     records = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("trial"), F.col("turn").alias("pos"), F.col("text").alias("body"))
     found = sessions.first_hit(records, sessions.visible(F.col("body"), F.lit("tion"), F.lit("ing")))
-    return found.withColumnRenamed("trial", "conv_id")
+    return found.withColumnRenamed("trial", "conv_id").withColumn("first_pos", F.coalesce("first_pos", F.lit(-1)))
 
 
 @query("WITH c AS (SELECT role, conv_id, count(DISTINCT substr(text, 1, 1)) AS n FROM conversations GROUP BY ALL) SELECT role, round(avg(n), 6) AS mean_scripts, count(*) AS trials FROM c GROUP BY role")
