@@ -342,3 +342,49 @@ def prompt_evidence(launches: DataFrame, by: str = "document") -> DataFrame:
     carrying, suppressing = F.count_if("carries"), F.count_if("suppresses")
     verdict = F.when((carrying > 0) & (suppressing > 0), "mixed").when(carrying > 0, "carried").when(suppressing > 0, "suppressed").otherwise("unknown")
     return launches.groupBy(by).agg(F.count(F.lit(1)).alias("launches"), suppressing.alias("suppressing"), carrying.alias("carrying"), verdict.alias("verdict"))
+
+
+def arm_totals(rows: DataFrame, by: tuple[str, ...] = ("study", "arm")) -> DataFrame:
+    """Published totals of each arm: trials, correct, input tokens, calls, token-turns, answers without evidence."""
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.count_if("correct").alias("correct"),
+        F.sum("input_tokens").alias("input_tokens"),
+        F.sum("calls").alias("calls"),
+        F.sum("token_turns").alias("token_turns"),
+        F.median("first_pos").alias("calls_to_first_evidence"),
+        F.count_if(F.col("correct") & F.col("first_pos").isNull()).alias("answered_without_evidence"),
+    )
+
+
+def excess_calls(calls: DataFrame, base: str, other: str) -> DataFrame:
+    """Per task: how many calls of ``base`` exceed those of ``other``, in all and without empty ones."""
+    per = calls.groupBy("task_id").agg(
+        *[F.count_if(F.col("arm") == a).alias(f"{n}_all") for n, a in (("base", base), ("other", other))],
+        *[F.count_if((F.col("arm") == a) & ~F.col("empty")).alias(f"{n}_found") for n, a in (("base", base), ("other", other))],
+    )
+    return per.select("task_id", (F.col("base_all") - F.col("other_all")).alias("excess"), (F.col("base_found") - F.col("other_found")).alias("excess_found"))
+
+
+def payload_audit(rows: DataFrame, by: str = "arm") -> DataFrame:
+    """Tallies of replies per arm: whole payloads, fenced ones, text around them, none at all."""
+    reply = F.coalesce(F.trim("reply"), F.lit(""))
+    whole = reply.rlike(r'(?s)^\{\s*"answer"\s*:.*\}$')
+    fenced = reply.rlike(r'(?s)^```(json)?\s*\{\s*"answer"\s*:.*\}\s*```$')
+    holds = reply.rlike(r'(?s)\{\s*"answer"\s*:')
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(whole).alias("whole"),
+        F.count_if(~whole & fenced).alias("fenced"),
+        F.count_if(~whole & ~fenced & holds).alias("around"),
+        F.count_if(~holds).alias("none"),
+    )
+
+
+def suitability(rows: DataFrame) -> DataFrame:
+    """Per medium: tasks whose gold files are among the first five with, and without, identifiers in the query."""
+    return rows.groupBy("corpus").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.arrays_overlap("gold_files", F.slice("files_with", 1, 5))).alias("with_identifiers"),
+        F.count_if(F.arrays_overlap("gold_files", F.slice("files_without", 1, 5))).alias("without_identifiers"),
+    )

@@ -176,3 +176,19 @@ def first_tool_policy(calls: DataFrame, allowed: list[str]) -> DataFrame:
     marked = calls.withColumn("first_good", first_good)
     before = F.col("first_good").isNull() | (F.col("sequence") < F.col("first_good"))
     return marked.groupBy("session").agg(F.count_if(before).alias("violations"), F.min_by("tool", "sequence").alias("first_tool"))
+
+
+def location_ranges(events: DataFrame) -> DataFrame:
+    """session, sequence, path, start, end of what each call showed; a location without an end is one line."""
+    e = events.select("session", "sequence", F.explode("locations").alias("l")).where("l.path IS NOT NULL AND l.line IS NOT NULL AND l.line >= 1")
+    end = F.greatest(F.coalesce("l.end_line", "l.line"), F.col("l.line"))
+    return e.select("session", "sequence", F.col("l.path").alias("path"), F.col("l.line").alias("start"), end.alias("end"))
+
+
+def follow_ups(calls: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Later reads of a session that overlap what an earlier call showed: both sequences and the path."""
+    shown = ranges.withColumnRenamed("sequence", "shown_by")
+    later = calls.select("session", "path", "start", "end", "sequence")
+    both = later.join(shown.select("session", "path", F.col("start").alias("s"), F.col("end").alias("e"), "shown_by"), ["session", "path"])
+    meet = (F.col("shown_by") < F.col("sequence")) & (F.greatest("start", "s") <= F.least("end", "e"))
+    return both.where(meet).select("session", "path", "shown_by", "sequence")

@@ -123,3 +123,19 @@ def true_callers(uses: DataFrame, spans: DataFrame) -> DataFrame:
     from lexforge.operators.graph import locate
 
     return locate(uses, spans, ["path"]).where("span_name IS NOT NULL").select("path", F.col("span_name").alias("caller")).distinct()
+
+
+def localisation_rules() -> list[tuple[str, Column]]:
+    """Rules over imported localisation tasks (issue, gold, defined): gold exists, is unique, isn't test code, isn't given away."""
+    return [
+        ("no issue text", F.coalesce(F.trim("issue"), F.lit("")) == ""),
+        ("no gold", F.size("gold") == 0),
+        ("gold isn't in the corpus", F.size(F.array_except("gold", "defined")) > 0),
+        ("only test code", F.forall("gold", lambda g: is_test_path(F.element_at(F.split(g, "::"), 1)))),
+        ("leaks the answer", F.forall("gold", lambda g: leaks(F.col("issue"), F.element_at(F.split(g, "::"), -1)))),
+    ]
+
+
+def reformulated(concepts: Column, identifiers: Column, terms: Column) -> Column:
+    """A rewritten query: concepts, then identifiers, then further terms."""
+    return F.concat_ws(" ", concepts, identifiers, terms)

@@ -381,3 +381,17 @@ def go_packages(calls: DataFrame, go_imports: DataFrame, module: str | None) ->
     folder = F.when(target.startswith(prefix), F.substring(target, F.lit(len(prefix) + 1), F.char_length(target))).otherwise(F.lit("\0outside"))
     named = go_imports.select("path", alias.alias("qualifier"), folder.alias("package")).dropDuplicates(["path", "qualifier"])
     return calls.join(named, ["path", "qualifier"], "left")
+
+
+def budgeted(files: DataFrame, most_files: int = 20_000, most_bytes: int = 128 << 20) -> DataFrame:
+    """The leading files, by path, that an index may hold; a column says whether any were left out.
+
+    The order is global by nature; only paths and sizes go through the one window.
+    """
+    from pyspark.sql import Window
+
+    w = Window.orderBy(F.split("path", "/")).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = files.select("path", F.octet_length("text").alias("bytes"))
+    placed = sizes.withColumn("at", F.row_number().over(Window.orderBy(F.split("path", "/")))).withColumn("total", F.sum("bytes").over(w))
+    kept = placed.where((F.col("at") <= most_files) & (F.col("total") <= most_bytes)).select("path")
+    return files.join(kept, "path", "left_semi")

@@ -751,3 +751,70 @@ def token_counts(spark, sf_dir):
 def page_per_group(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars")
     return page_per(d, "lang", [F.desc("n_chars"), F.col("doc_id")], limit=3, offset=2).drop("n_chars")
+
+
+@query("SELECT conv_id AS task_id, count(*) FILTER (role = 'user') - count(*) FILTER (role = 'assistant') AS excess, count(*) FILTER (role = 'user' AND contains(text, 'ing')) - count(*) FILTER (role = 'assistant' AND contains(text, 'ing')) AS excess_found FROM conversations GROUP BY 1")
+def excess_calls(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("task_id"), F.col("role").alias("arm"), (~F.contains("text", F.lit("ing"))).alias("empty"))
+    return measures.excess_calls(c, "user", "assistant")
+
+
+@query(
+    """SELECT o_orderpriority AS study, o_orderstatus AS arm, count(*) AS trials, count(*) FILTER (o_totalprice > 100000) AS correct, CAST(sum(o_custkey) AS BIGINT) AS input_tokens,
+CAST(sum(o_orderkey % 7) AS BIGINT) AS calls, CAST(sum(o_orderkey % 11) AS BIGINT) AS token_turns, median(CASE WHEN o_orderkey % 3 > 0 THEN o_orderkey % 5 END) AS calls_to_first_evidence,
+count(*) FILTER (o_totalprice > 100000 AND o_orderkey % 3 = 0) AS answered_without_evidence FROM orders GROUP BY ALL"""
+)
+def arm_totals(spark, sf_dir):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("study"), F.col("o_orderstatus").alias("arm"), (F.col("o_totalprice") > 100000).alias("correct"), F.col("o_custkey").alias("input_tokens"),
+        (k % 7).alias("calls"), (k % 11).alias("token_turns"), F.when(k % 3 > 0, k % 5).alias("first_pos"),
+    )
+    return measures.arm_totals(rows)
+
+
+@query(
+    """WITH d AS (SELECT conv_id, turn AS line, turn + 1 + length(text) % 4 AS end_line, role || '-' || CAST(turn AS VARCHAR) AS name FROM conversations)
+SELECT conv_id, name, line, count(c.turn) AS calls FROM d LEFT JOIN (SELECT conv_id AS c_id, turn FROM conversations WHERE role = 'assistant') c ON c_id = conv_id AND c.turn BETWEEN line AND end_line GROUP BY ALL"""
+)
+def calls_within(spark, sf_dir):
+    s = _spans(spark, sf_dir).withColumnRenamed("conv_id", "path")
+    sites = table(spark, sf_dir, "conversations").where("role = 'assistant'").select(F.col("conv_id").alias("path"), F.col("turn").alias("line"), F.lit("call").alias("kind"), F.col("role").alias("name"))
+    return graph.calls_within(s, sites).select(F.col("path").alias("conv_id"), "name", "line", "calls")
+
+
+@query(f"WITH {_SIGHT} SELECT question, identity, position FROM s WHERE position <= greatest(1, round_even(CAST(page_rows * 0.5 AS DOUBLE), 0))")
+def degraded_pages(spark, sf_dir):
+    pages = _sightings(spark, sf_dir).withColumn("source", F.lit("x"))
+    return measures.degrade(pages, 0.5, [F.col("position")], ["source"], page="question").select("question", "identity", "position")
+
+
+@query(
+    """WITH c AS (SELECT p_partkey AS cell, p_brand AS a, p_type AS b, p_size AS z FROM part WHERE p_size <= 5)
+SELECT 'a' AS factor, x.cell, y.cell AS other_cell FROM c x JOIN c y ON x.b = y.b AND x.z = y.z AND x.a < y.a UNION ALL SELECT 'b', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.z = y.z AND x.b < y.b
+UNION ALL SELECT 'z', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.z < y.z"""
+)
+def one_factor_contrasts(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.col("p_size").alias("z"))
+    return suites.one_factor_contrasts(cells, ["a", "b", "z"])
+
+
+@query(f"WITH {CALLS} SELECT session, sequence, tool, CASE WHEN failed THEN 'error' WHEN tool = 'view' THEN 'empty' END AS label FROM calls WHERE failed OR tool = 'view'")
+def call_labels(spark, sf_dir):
+    from lexforge.functions.text import call_labels as labels
+
+    c = calls(spark, sf_dir)
+    found = labels(F.col("tool"), F.col("request"), F.lit(False), F.col("results"), F.col("failed"))
+    return c.select("session", "sequence", "tool", F.explode(found).alias("label"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'too short' WHEN lang <> 'en' THEN 'not English' WHEN contains(text, '|') THEN 'a table' END AS refusal FROM documents")
+def suite_refusals(spark, sf_dir):
+    rules = [("too short", F.col("n_chars") < 200), ("not English", F.col("lang") != "en"), ("a table", F.contains("text", F.lit("|")))]
+    return suites.refusals(table(spark, sf_dir, "documents"), rules).select("doc_id", "refusal")
+
+
+@query("SELECT lang AS arm, count(*) AS n, count(*) FILTER (contains(text, 'the')) AS matched FROM documents GROUP BY 1")
+def condition_counts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("arm"))
+    return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("the"))).alias("matched"))

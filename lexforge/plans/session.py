@@ -184,7 +184,23 @@ class Session:
                 ends = dense.select("path", "start_line", "end_line").unionByName(ranked.select("path", "start_line", "end_line")).groupBy("path", "start_line").agg(F.min("end_line").alias("end_line"))
                 ranked = fused.join(ends, ["path", "start_line"])
         shown = ranked.select("path", "start_line", "end_line", F.round("score", 6).alias("score"), "rank")
-        return fit(page(shown, [F.col("rank")], limit, offset), offset)
+        found = page(shown, [F.col("rank")], limit, offset)
+        self._label(found, files)
+        return fit(found, offset)
+
+    def _label(self, found: Page, files: DataFrame) -> None:
+        """Each hit's innermost definition: name and, where it starts elsewhere than the hit, its line."""
+        if not found.results:
+            return
+        hits = self.spark.createDataFrame([(r["path"], int(r["start_line"])) for r in found.results], "path string, line int")
+        some = files.join(F.broadcast(hits.select("path").distinct()), "path", "left_semi")  # a page of paths
+        named = {(r["path"], r["line"]): r for r in graph.locate(hits.distinct(), source.symbols(source.parse(some)), ["path"]).collect()}
+        for r in found.results:
+            label = named.get((r["path"], r["start_line"]))
+            if label is not None and label["span_name"]:
+                r["symbol"] = label["span_name"]
+                if label["span_line"] != r["start_line"]:
+                    r["symbol_line"] = label["span_line"]
 
     def locate(self, path: str, line: int) -> dict | None:
         """The innermost definition around a line."""
