@@ -23,12 +23,9 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm._hits import hit_filter, split
 from lexforge.llm._store import materialise
 
-#: Bits of the hit filter (8 MB): fixed, whatever the input; more hits only make it less selective.
-FILTER_BITS = 1 << 26
-_PAGE_BITS = 32768
-
 
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Texts of ASCII alone take the faster built-in."""
@@ -47,30 +44,6 @@ def _normal(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> D
     return norm.withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes))
 
 
-def _page(digest: Column) -> tuple[Column, Column]:
-    at = F.pmod(F.xxhash64(digest), F.lit(FILTER_BITS))
-    return F.floor(at / _PAGE_BITS).cast("long"), F.pmod(at, F.lit(_PAGE_BITS)).cast("long")
-
-
-def _hit_filter(digests: DataFrame) -> DataFrame:
-    """(page, bits): at most ``FILTER_BITS`` bits in all, so its broadcast has a fixed bound."""
-    page, at = _page(F.col("digest"))
-    return digests.select(page.alias("page"), at.alias("at")).groupBy("page").agg(F.bitmap_construct_agg("at").alias("bits"))
-
-
-def _through(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    page, at = _page(F.col("digest"))
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    hit = F.expr("1").bitwiseAND(F.call_function("shiftright", byte, F.pmod(F.col("at"), F.lit(8)).cast("int"))) == 1
-    return (
-        rows.withColumn("page", page)
-        .withColumn("at", at)
-        .join(F.broadcast(bits), "page")
-        .where(hit)
-        .drop("page", "at", "bits")
-    )
-
-
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -114,9 +87,8 @@ def exact_groups(
     )
 
     # Hits get byte verification against the row that stays.
-    hits = _through(rows.select("id", "norm", "digest"), _hit_filter(several.select("digest"))).withColumn(
-        "memtable", F.pmod(F.xxhash64("id", "digest"), F.lit(tables))
-    )
+    likely, _ = split(rows.select("id", "norm", "digest"), "digest", hit_filter(several, "digest"))
+    hits = likely.withColumn("memtable", F.pmod(F.xxhash64("id", "digest"), F.lit(tables)))
     stays = (
         hits.join(several, "digest")
         .where(F.col("id").eqNullSafe(F.col("keep_id")))

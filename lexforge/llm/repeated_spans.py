@@ -43,6 +43,8 @@ _GRAM_TABLE, _STRING_TABLE = byte_table(2, fold=False), byte_table(3, fold=False
 _GROUP = 1 << 20
 #: Longer texts are cut into overlapping segments; pieces that this cuts are decided in step 3.
 _SEGMENT = 1 << 22
+#: Cores with more distinct hulls than this are decided start by start rather than hull by hull.
+MOST_HULLS = 32768
 
 PIECES = "core long, hull long, doc long, at int, n int"
 _TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
@@ -112,22 +114,91 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
             )
 
 
-def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """One row per start of the asked pieces: core, hash of the string, doc, start, weight."""
+def _hulls(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The text of each asked piece's hull: core, doc, at, n, weight, hull."""
     for batch in batches:
+        rows, size = [], 0
         for doc, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            data = np.frombuffer((text or "").encode(), np.uint8)
-            out = []
+            data = (text or "").encode()
             for piece in asked:
                 at, n = piece["at"], piece["n"]
-                strings = Rolling(data[at : at + n - 1 + length], _STRING_TABLE)
-                own = np.arange(n)
-                out.append((np.full(n, piece["core"]), mix(strings.at(own, own + length)).view(np.int64), own + at, np.full(n, piece["weight"])))
-            core, string, start, weight = (np.concatenate(v) for v in zip(*out))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(core, pa.int64()), pa.array(string), pa.array(np.full(len(core), doc), pa.int64()), pa.array(start.astype(np.int32)), pa.array(weight.astype(np.int32))],
-                ["core", "string", "doc", "start", "weight"],
-            )
+                rows.append((piece["core"], doc, at, n, piece["weight"], data[at : at + n - 1 + length]))
+                size += n + length
+            if size > 1 << 24:
+                yield _batch(rows, HULLS)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, HULLS)
+
+
+HULLS = "core long, doc long, at int, n int, weight int, hull binary"
+STARTS = "core long, string long, doc long, start int, weight int"
+RANGES = "doc long, start int, end int"
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(v, _ARROW[t]) for v, (_, t) in zip(zip(*rows), fields)], [n for n, _ in fields])
+
+
+def _strings(hulls: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of all strings that start in the hulls, one hull after the other."""
+    data = np.frombuffer(b"".join(hulls), np.uint8)
+    first = np.cumsum(counts + length - 1) - (counts + length - 1)
+    own = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    at = np.repeat(first, counts) + own
+    return mix(Rolling(data, _STRING_TABLE).at(at, at + length)).view(np.int64)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    return tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+
+
+def _starts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """One row per start: columns of :data:`STARTS`."""
+    for batch in batches:
+        core, doc, at, n, weight = _columns(batch)
+        hulls = batch.column(5).to_pylist()
+        for i, j in groups([len(h) for h in hulls], _GROUP):
+            m = n[i:j]
+            own = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+            out = (np.repeat(core[i:j], m), _strings(hulls[i:j], m, length), np.repeat(doc[i:j], m), np.repeat(at[i:j], m) + own, np.repeat(weight[i:j], m))
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["core", "string", "doc", "start", "weight"])
+
+
+def _decide(rows: list[tuple], length: int) -> pa.RecordBatch | None:
+    """Ranges of the starts, in pieces of weight 1, whose string stands elsewhere in its core's group."""
+    core, doc, at, n, weight = (np.array(v, np.int64) for v in list(zip(*rows))[:5])
+    strings = _strings([r[5] for r in rows], n, length)
+    # the core into the hash: a group of equal strings is one core's
+    keys = mix(strings.view(np.uint64) + mix(np.repeat(core, n).view(np.uint64)))
+    _, place = np.unique(keys, return_inverse=True)
+    times = np.bincount(place, np.repeat(weight, n))
+    again = (times[place] > 1) & (np.repeat(weight, n) == 1)
+    piece = np.repeat(np.arange(len(n)), n)
+    edge = np.concatenate(([True], piece[1:] != piece[:-1]))
+    opens = np.flatnonzero(again & (edge | ~np.concatenate(([False], again[:-1]))))
+    closes = np.flatnonzero(again & (np.concatenate((edge[1:], [True])) | ~np.concatenate((again[1:], [False]))))
+    if not len(opens):
+        return None
+    own = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    start, end = at[piece[opens]] + own[opens], at[piece[closes]] + own[closes] + length
+    return pa.RecordBatch.from_arrays([pa.array(doc[piece[opens]]), pa.array(start, pa.int32()), pa.array(end, pa.int32())], ["doc", "start", "end"])
+
+
+def _decided(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Decides whole groups of rows that come ordered by core, a bounded number of hulls at a time."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if len(held) >= 8192 and row[0] != held[-1][0]:
+                if (found := _decide(held, length)) is not None:
+                    yield found
+                held = []
+            held.append(row)
+    if held and (found := _decide(held, length)) is not None:
+        yield found
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -141,9 +212,15 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pieces(batches, length)
 
+    def hull_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _hulls(batches, length)
+
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _starts(batches, length)
 
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decided(batches, length)
+
     texts = _keyed(docs, id_col, text_col).select(F.col("__doc").alias("doc"), F.col("__text").alias("text"))
     pieces = materialise(texts.where(F.octet_length("text") >= length).mapInArrow(cut, PIECES), "pieces")
     cores = materialise(pieces.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core"), "cores")
@@ -157,31 +234,36 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     )
     # Cores with several hulls, one of which occurs once: their starts are compared one by one.
     mixed = materialise(
-        hulls.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.min("times").alias("least")).where("hulls > 1 AND least = 1").select("core"),
-        "mixed-cores",
+        hulls.groupBy("core").agg(F.count(F.lit(1)).alias("hulls"), F.min("times").alias("least")).where("hulls > 1 AND least = 1"), "mixed-cores"
     )
     asked = hulls.join(mixed, "core").select("core", F.least("times", F.lit(2)).cast("int").alias("weight"), "one.*")
     per_doc = materialise(asked.groupBy("doc").agg(F.collect_list(F.struct("core", "at", "n", "weight")).alias("asked")), "asked-pieces")
     near, _ = split(texts, "doc", hit_filter(per_doc, "doc"))
-    # the same row may stand twice in the table; one copy of its text answers for the key
-    tested = materialise(
-        near.join(per_doc, "doc").dropDuplicates(["doc"]).select("doc", "text", "asked").mapInArrow(
-            starts, "core long, string long, doc long, start int, weight int"
-        ),
-        "tested-starts",
-    )
-    again = tested.groupBy("core", "string").agg(F.sum("weight").alias("times")).where("times > 1").select("core", "string")
-    decided = (
-        tested.where("weight = 1")
-        .join(materialise(again, "repeated-strings"), ["core", "string"])
-        .select("doc", "start", (F.col("start") + length).cast("int").alias("end"))
-    )
+    # the same row may stand twice in the table: then its hulls occur twice, and deciding twice is harmless
+    tested = near.join(per_doc, "doc").select("doc", "text", "asked").mapInArrow(hull_texts, HULLS)
+    crowded = mixed.where(F.col("hulls") > MOST_HULLS).select("core")
+    if crowded.isEmpty():
+        crowds = None
+    else:  # a core with very many hulls is dealt out start by start
+        crowded, tested = materialise(crowded, "crowded-cores"), materialise(tested, "hulls")
+        crowds, tested = tested.join(crowded, "core", "left_semi"), tested.join(crowded, "core", "left_anti")
+    decided = tested.repartition(F.col("core")).sortWithinPartitions("core").mapInArrow(decide, RANGES)
+    if crowds is not None:
+        single = materialise(crowds.mapInArrow(starts, STARTS).distinct(), "starts")
+        again = single.groupBy("core", "string").agg(F.sum("weight").alias("times")).where("times > 1").select("core", "string")
+        decided = decided.unionByName(
+            single.where("weight = 1")
+            .join(materialise(again, "repeated-strings"), ["core", "string"])
+            .select("doc", "start", (F.col("start") + length).cast("int").alias("end"))
+        )
     found = proven.unionByName(decided).groupBy("doc")
     return materialise(found.agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
 
 
 def merged(ranges: list, size: int) -> list[tuple[int, int]]:
     """Disjoint, maximal ranges, in order."""
+    if not ranges:
+        return []
     a = np.array([(r["start"], r["end"]) for r in ranges], np.int64).reshape(-1, 2)
     a = a[np.argsort(a[:, 0], kind="stable")]
     reach = np.maximum.accumulate(a[:, 1])
