@@ -18,7 +18,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if n <= 1 << 22:  # longer ones are made anew for the few texts that need them
+        if n <= 1 << 21:  # longer ones are made anew for the few texts that need them
             _powers[base] = have
     return have
 

@@ -38,7 +38,7 @@ from lexforge.llm.components import components
 REGISTERS, BANDS, MANTISSA = 192, 32, 10
 BLOCK = 512
 _ROWS = REGISTERS // BANDS
-_GROUP = 1 << 20
+_GROUP = 1 << 19
 _TABLE = byte_table(1, fold=True)
 _SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 _ORDER = np.random.default_rng(17).random((REGISTERS, REGISTERS)).astype(np.float32)
@@ -50,11 +50,25 @@ COLLISION = 1 / 3 / (1 << MANTISSA)
 SKETCH = "doc_id long, n_shingles long, set_key binary, sketch binary"
 
 
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all words; long data go in segments that end at white space."""
+    starts, hashes, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + 2 * _GROUP)
+        while end < len(data) and not _SPACE[data[end]]:
+            ahead = np.flatnonzero(_SPACE[data[end : end + _GROUP]])
+            end += int(ahead[0]) if len(ahead) else min(_GROUP, len(data) - end)
+        part = data[at:end]
+        first, last = runs(~_SPACE[part])
+        hashes.append(mix(Rolling(part, _TABLE).at(first, last) + (last - first).astype(np.uint64)))
+        starts.append(first + at)
+        at = end
+    return np.concatenate(starts), np.concatenate(hashes)
+
+
 def shingle_sets(texts: list[bytes], words: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    start, end = runs(~_SPACE[data])
-    word = mix(Rolling(data, _TABLE).at(start, end) + (end - start).astype(np.uint64))
+    start, word = _words(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
     limits = np.searchsorted(start, np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts]))))
     shingle = np.zeros(len(word), np.uint64)
     for k in range(words):

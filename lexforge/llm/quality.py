@@ -31,7 +31,7 @@ from lexforge.llm._store import materialise
 
 BUCKETS, DIM = 4096, 32
 FEATURES = 3 * DIM + 2
-_GROUP = 1 << 20
+_GROUP = 1 << 19
 #: 0 white space, 1 letters and digits (and all bytes of other scripts), 2 other marks.
 _CLASS = np.array(
     [0 if b in b" \t\n\r\v\f" else 1 if chr(b).isalnum() and b < 128 or b >= 128 else 2 for b in range(256)], np.int8
@@ -64,6 +64,7 @@ def _cooccurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     seen = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
+        texts = [p for t in texts for p in _parts(t)]
         for i, j in groups([len(t) for t in texts], _GROUP):
             t = Tokens(texts[i:j])
             left = np.flatnonzero(t.inner)
@@ -92,22 +93,48 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return out
 
 
-def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """The features of each text."""
+def _parts(text: bytes) -> list[bytes]:
+    """A long text in parts of about a group's size, cut at white space."""
+    out, at = [], 0
+    while len(text) - at > 2 * _GROUP:
+        end = text.find(b" ", at + _GROUP)
+        if end < 0:
+            break
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
+def _sums(texts: list[bytes], vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the pooled vectors of each text, and its number of tokens."""
     t = Tokens(texts)
     n = np.diff(t.first)
-    out = np.zeros((len(texts), FEATURES), np.float32)
+    out = np.zeros((len(texts), 3 * DIM))
     if len(t.bucket):
         full = np.flatnonzero(n > 0)
         at = t.first[:-1][full]
         joint = np.zeros_like(t.index)
         left = np.flatnonzero(t.inner)
         joint[left] = t.index[left] * t.index[left + 1]
-        many = n[full, None].astype(np.float32)
         for k, part in enumerate((vectors[t.bucket], t.index, joint)):
-            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(part, at, axis=0) / many
-        out[full, -2] = np.log1p(n[full])
-        out[full, -1] = np.log1p([len(x) for x in texts])[full] - out[full, -2]
+            out[full, k * DIM : (k + 1) * DIM] = np.add.reduceat(part, at, axis=0)
+    return out, n
+
+
+def pooled(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
+    """The features of each text.  Long texts are pooled by parts; pairs across their borders don't count."""
+    parts = [_parts(t) for t in texts]
+    flat = [p for ps in parts for p in ps]
+    done = [_sums(flat[i:j], vectors) for i, j in groups([len(p) for p in flat], _GROUP)]
+    sums, counts = (np.concatenate([d[k] for d in done]) for k in (0, 1))
+    owner = np.repeat(np.arange(len(texts)), [len(ps) for ps in parts])
+    total, n = np.zeros((len(texts), 3 * DIM)), np.bincount(owner, counts, len(texts))
+    np.add.at(total, owner, sums)
+    out = np.zeros((len(texts), FEATURES), np.float32)
+    full = n > 0
+    out[full, :-2] = total[full] / n[full, None]
+    out[full, -2] = np.log1p(n[full])
+    out[full, -1] = np.log1p([len(x) for x in texts])[full] - out[full, -2]
     return out
 
 

@@ -34,15 +34,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexforge.llm._bytes import Rolling, byte_table, groups, mix
 from lexforge.llm._hits import hit_filter, split
 from lexforge.llm._store import materialise
 
 _GRAM_TABLE, _STRING_TABLE = byte_table(2, fold=False), byte_table(3, fold=False)
-_GROUP = 1 << 20
+_GROUP = 1 << 19
 #: Longer texts are cut into overlapping segments; pieces that this cuts are decided in step 3.
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 20
 #: Cores with more distinct hulls than this are decided start by start rather than hull by hull.
 MOST_HULLS = 32768
 
@@ -336,7 +337,7 @@ def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _cut(batches, False)
 
-    schema = docs.schema.add("__kept", "string")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.StringType())])
     done = found.select(*docs.columns, "__text", "__ranges").mapInArrow(cut, schema)
     done = done.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__kept")))
     return done.select(*docs.columns).unionByName(clean.select(*docs.columns))
