@@ -125,7 +125,7 @@ def _hulls(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
                 at, n = piece["at"], piece["n"]
                 rows.append((piece["core"], doc, at, n, piece["weight"], data[at : at + n - 1 + length]))
                 size += n + length
-            if size > 1 << 24:
+            if size > 1 << 22:
                 yield _batch(rows, HULLS)
                 rows, size = [], 0
         if rows:
@@ -145,11 +145,15 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 def _strings(hulls: list[bytes], counts: np.ndarray, length: int) -> np.ndarray:
     """Hashes of all strings that start in the hulls, one hull after the other."""
-    data = np.frombuffer(b"".join(hulls), np.uint8)
-    first = np.cumsum(counts + length - 1) - (counts + length - 1)
-    own = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(first, counts) + own
-    return mix(Rolling(data, _STRING_TABLE).at(at, at + length)).view(np.int64)
+    out = [np.zeros(0, np.int64)]
+    for i, j in groups([len(h) for h in hulls], _GROUP):
+        n = counts[i:j]
+        data = np.frombuffer(b"".join(hulls[i:j]), np.uint8)
+        first = np.cumsum(n + length - 1) - (n + length - 1)
+        own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(first, n) + own
+        out.append(mix(Rolling(data, _STRING_TABLE).at(at, at + length)).view(np.int64))
+    return np.concatenate(out)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -193,7 +197,7 @@ def _decided(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(batch.column(k).to_pylist() for k in range(6))):
-            if len(held) >= 8192 and row[0] != held[-1][0]:
+            if len(held) >= 2048 and row[0] != held[-1][0]:
                 if (found := _decide(held, length)) is not None:
                     yield found
                 held = []
