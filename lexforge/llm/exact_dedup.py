@@ -88,7 +88,7 @@ def exact_groups(
 
     # Hits get byte verification against the row that stays.
     likely, _ = split(rows.select("id", "norm", "digest"), "digest", hit_filter(several, "digest"))
-    hits = likely.withColumn("memtable", F.pmod(F.xxhash64("id", "digest"), F.lit(tables)))
+    hits = materialise(likely.withColumn("memtable", F.pmod(F.xxhash64("id", "digest"), F.lit(tables))), "dedup-hits")
     stays = (
         hits.join(several, "digest")
         .where(F.col("id").eqNullSafe(F.col("keep_id")))
