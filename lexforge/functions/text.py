@@ -59,7 +59,10 @@ def concept_tokens(text: Column) -> Column:
         low = F.transform(pieces, F.lower)
         return F.when(F.size(low) > 1, F.concat(low, F.array(F.lower(word)))).otherwise(low)
 
-    return F.flatten(F.transform(words, parts))
+    # texts without humps, by far the most, are lower-cased and cut in one go
+    humps = text.rlike(r"[\p{Ll}\p{N}]\p{Lu}")
+    plain = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    return F.when(humps, F.flatten(F.transform(words, parts))).otherwise(plain)
 
 
 def query_tokens(text: str) -> list[str]:
