@@ -799,6 +799,16 @@ def one_factor_contrasts(spark, sf_dir):
     return suites.one_factor_contrasts(cells, ["a", "b", "z"])
 
 
+@query(
+    """WITH c AS (SELECT p_partkey AS cell, p_brand AS a, p_type AS b, p_size AS z FROM part)
+SELECT 'a' AS factor, x.cell, y.cell AS other_cell FROM c x JOIN c y ON x.b = y.b AND x.z = y.z AND x.a < y.a UNION ALL SELECT 'b', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.z = y.z AND x.b < y.b
+UNION ALL SELECT 'z', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.z < y.z"""
+)
+def one_factor_contrasts_all(spark, sf_dir):
+    cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.col("p_size").alias("z"))
+    return suites.one_factor_contrasts(cells, ["a", "b", "z"])
+
+
 @query(f"WITH {CALLS} SELECT session, sequence, tool, CASE WHEN failed THEN 'error' WHEN tool = 'view' THEN 'empty' END AS label FROM calls WHERE failed OR tool = 'view'")
 def call_labels(spark, sf_dir):
     from lexforge.functions.text import call_labels as labels

@@ -50,3 +50,17 @@ def test_entry_without_llm():
 
     code = "import sys; sys.modules['lexforge.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(n.startswith('op') for n in q); assert e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def test_contrasts_cover_all_parts(spark, duck):
+    """Every cell of part takes part, against pairs counted by brute force."""
+    cells = duck.sql("select p_partkey, p_brand, p_type, p_size from part").fetchall()
+    want = {
+        ("abz"[i - 1], x[0], y[0])
+        for x in cells
+        for y in cells
+        for i in (1, 2, 3)
+        if x[i] < y[i] and all(x[j] == y[j] for j in (1, 2, 3) if j != i)
+    }
+    got = [tuple(r) for r in entry.queries()["one_factor_contrasts_all"](spark, SF).select("factor", "cell", "other_cell").collect()]
+    assert want and len(got) == len(want) and set(got) == want
