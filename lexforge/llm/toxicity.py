@@ -217,8 +217,7 @@ def fit(
         new = {id(t) for t in _distinct([texts[i] for i in own])}
         kept[[i for i in own if id(texts[i]) in new]] = True
     pieces = [w for i in np.flatnonzero(kept & (y == 0)) for w in windows(texts[i], window)]
-    step = max(1, len(pieces) // 60_000)
-    ordinary = _train(pieces[::step], dictionary_bytes) or b" " * 8
+    ordinary = _train(pieces, dictionary_bytes) or b" " * 8
     del pieces
     toxic = [b""] * (folds + 1)  # by the fold left out; the last leaves out none
     for g in range(groups):

@@ -145,3 +145,17 @@ def test_toxic_recall_in_each_language():
     recall = {lang: found[lang, 1] / n for (lang, y), n in size.items() if y}
     assert recall["en"] >= 0.8 and all(r >= 0.4 for r in recall.values()), recall
     assert sum(n for (_, y), n in found.items() if not y) <= 0.03 * sum(n for (_, y), n in size.items() if not y)
+
+
+def test_ordinary_dictionary_sees_all_windows(monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def stop(samples, size, **how):
+        raise Seen(len(samples))
+
+    monkeypatch.setattr(toxicity, "_train", stop)
+    text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(8 * 125_000))
+    with pytest.raises(Seen) as seen:
+        toxicity.fit([(text, 0), ("scum", 1)], {0: 1, 1: 1})
+    assert seen.value.args == (125_000,)
