@@ -1,8 +1,8 @@
 """Whole-text encoding with public tokenizers, one distinct chunk at a time.
 
-A text is cut only where no token of the tokenizers used here spans: at single spaces between two
-characters that aren't white space and, in texts of plain characters, around lone full stops, commas
-and line breaks.  So the ids of a text are the ids of its chunks in order, and each distinct chunk
+A text is cut only where no token of the tokenizers used here spans: at the added tokens (such as
+<|endoftext|>, which is one id wherever it stands), at single spaces between two characters that
+aren't white space and, in texts of plain characters, around lone full stops, commas and line breaks.  So the ids of a text are the ids of its chunks in order, and each distinct chunk
 is encoded once while it stays in a bounded two-generation cache.
 """
 
@@ -12,6 +12,7 @@ import gc
 import os
 import re
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Longer chunks are encoded each time and never cached.
@@ -36,6 +37,18 @@ def cut_any(text: str) -> list[str]:
     return ["\1" + chunks[0], *["\0" + c if c[0] in "\0\1" else c for c in chunks[1:]]]
 
 
+@contextmanager
+def without_collection() -> Iterator[None]:
+    """Caches hold many objects and no cycles: collecting garbage would only walk them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class ChunkCache:
     """chunk -> value, holding about ``2 * limit`` of the chunks used last."""
 
@@ -71,8 +84,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.split, self.kind = split, np.dtype(f"<u{width}")
+        # The library finds added tokens first and encodes what stands between them by itself.
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("added tokens that depend on their surroundings aren't supported")
+        longest = sorted((t.content for t in added), key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
         # Which ids begin (byte) or end (word) a word: with them, many words are encoded as one text.
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -80,6 +98,13 @@ class Encoder:
             self.edge[i] = token.startswith("Ġ") if split == "byte" else token.endswith("</w>")
         self.cache = ChunkCache(self._chunks)
 
+    def cut(self, text: str) -> list[str]:
+        """The chunks of any text; an added token is a chunk of its own."""
+        if self.added is None or not self.added.search(text):
+            return cut_any(text)
+        parts = enumerate(self.added.split(text))
+        return [chunk for k, part in parts for chunk in (["\1" + part] if k % 2 else cut_any(part))]
+
     def _alone(self, strings: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -150,7 +175,7 @@ class Encoder:
             for place, i, j in zip(places.tolist(), at[:-1].tolist(), at[1:].tolist()):
                 out[place] = data[i:j]
         others = np.flatnonzero(special).tolist()
-        for place, values in zip(others, self.cache.of([cut_any(column[i].as_py()) for i in others]), strict=True):
+        for place, values in zip(others, self.cache.of([self.cut(column[i].as_py()) for i in others]), strict=True):
             out[place] = b"".join(values)
         return out
 
@@ -166,7 +191,6 @@ def encode_texts(column, model: bytes, key: str, width: int, split: str) -> Iter
     """
     import numpy as np
 
-    gc.disable()  # the caches hold many objects and no cycles: collecting would only walk them
     encoder = _loaded.get((key, width))
     if encoder is None:
         encoder = _loaded[key, width] = Encoder(model, width, split)
@@ -177,5 +201,7 @@ def encode_texts(column, model: bytes, key: str, width: int, split: str) -> Iter
     while start < len(column):  # in groups of bounded size
         before = sizes[start - 1] if start else 0
         end = max(start + 1, int(np.searchsorted(sizes, before + GROUP_BYTES)))
-        yield from encoder.texts(column.slice(start, end - start))
+        with without_collection():
+            found = encoder.texts(column.slice(start, end - start))
+        yield from found
         start = end

@@ -16,7 +16,6 @@ identifiers are rows of their own; an empty table gives no rows; other columns a
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import re
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm._tokens import GROUP_BYTES, ChunkCache
+from lexforge.llm._tokens import GROUP_BYTES, ChunkCache, without_collection
 
 #: Marks cuts inside Arrow; texts that hold it go another way.
 CUT = "\x01"
@@ -234,12 +233,12 @@ _loaded: dict[tuple[str, bool], PieceCodec] = {}
 
 
 def _encode(batches: Iterator[pa.RecordBatch], model: bytes, key: tuple[str, bool]) -> Iterator[pa.RecordBatch]:
-    gc.disable()  # the caches hold many objects and no cycles: collecting would only walk them
     codec = _loaded.get(key)
     if codec is None:
         codec = _loaded[key] = PieceCodec(model, key[1])
     for batch in batches:
-        rows = list(codec.digests(batch.column(1)))
+        with without_collection():
+            rows = list(codec.digests(batch.column(1)))
         if rows:
             n, ids, shown = zip(*rows)
             yield pa.RecordBatch.from_arrays(

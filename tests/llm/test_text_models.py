@@ -20,6 +20,7 @@ from lexforge.llm._tokens import encode_texts
 HARD = [
     "", " ", "  a  b ", "\n\n x's  isn't\t\t", "a, b. c\nD.\nE, f", "a ,b .c", "a,b.c,d", "Ünï ﬁ é́ '\x00' \x01a <|endoftext|> b<|endoftext|>c", "日本 語　テキスト x  y", "a \n b",
     " lead", "trail ", "ΑΣ ΟΔΟΣ Ⅷ²³ x²", "don't  '''s I'LL '\n'", "\r\n a\rb\x1c c\x85d", "x" * 300 + " " + "é" * 200, "İstanbul ǅ ß", "one.two three,four 1.5 2,000", "😀 😀x", "▁x ▁▁ y", "<s> </s> [INST]", "...", "a. b.\n\nc",
+    "hello <|endoftext|> there <unk> </s>", "<|endoftext|>", "<|startoftext|>a b<|startoftext|> c", "a <|ENDOFTEXT|> b", "plain words<|endoftext|>\n more. Words",
 ]
 
 
@@ -30,10 +31,9 @@ def model(name):
 
 @pytest.mark.parametrize(("name", "split"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 @settings(max_examples=60, deadline=None)
-@given(texts=st.lists(st.text(st.characters(codec="utf-8"), max_size=40) | st.text("aB'.,\n é1|", max_size=40), max_size=5))
+@given(texts=st.lists(st.text(st.characters(codec="utf-8"), max_size=40) | st.text("aB'.,\n é1|", max_size=40) | st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|", "a b", " ", ".", "\n"]), max_size=6).map("".join), max_size=5))
 def test_encoding_equals_the_library(name, split, texts):
     whole = Tokenizer.from_file(public_tokenizers.path(name))
-    whole.encode_special_tokens = True
     texts = HARD + texts
     got = list(encode_texts(pa.array(texts), model(name), name, 4, split))
     for text, ids in zip(texts, got, strict=True):
@@ -47,7 +47,6 @@ def test_records(spark, tmp_path):
     manifest = token_records.write_records(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, folder=f"file://{tmp_path}/r")
     got = sorted(map(tuple, token_records.read_digests(manifest).drop("file", "record").collect()), key=lambda r: r[1])
     whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    whole.encode_special_tokens = True
     at = 0
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
         ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
@@ -95,6 +94,11 @@ def test_pack_documents(spark):
     rows = [(1, "word " * 9000), (2, None), (3, ""), (4, "a b"), (4, "a b"), (None, "x")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, shard int")
     got = packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096).collect()
+    whole, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), []
+    for i, t in rows:
+        ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
+        pieces += [(i or -1, at // 4096, at, zlib.crc32(ids[at : at + 4096].tobytes())) for at in range(0, len(ids), 4096)]
+    assert sorted(((r.doc_id or -1), r.piece, r.start, r.ids_crc32) for r in got) == sorted(pieces)
     assert sorted(((r.doc_id or -1), r.piece, r.length) for r in got) == [(-1, 0, 2), (1, 0, 4096), (1, 1, 4096), (1, 2, 809), (2, 0, 1), (3, 0, 1), (4, 0, 3), (4, 0, 3)]
     by = {}
     for r in got:
