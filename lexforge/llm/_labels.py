@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 
 
 def sample_labelled(
-    docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_label: int, id_col: str = "doc_id", text_col: str = "text", label_bytes: int = 64_000_000
 ) -> tuple[list[tuple[str, int]], dict[int, int]]:
     """At most ``per_label`` (text, label) pairs of each label value, and how many rows have each.
 
     ``usable`` is a condition over ``id`` that says which rows may be learned from.  The rows are
-    those whose id hashes lowest, so the sample doesn't depend on how the tables are stored.  A
-    document with several label rows takes the largest label; null ids and labels take no part.
+    those whose id hashes lowest, so the sample doesn't depend on how the tables are stored; the
+    first ones of each label with ``label_bytes`` of whole texts in all are taken.  A document with
+    several label rows takes the largest label, an identifier with several texts the smallest text;
+    null ids and labels take no part.
     """
     marked = (
         labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
@@ -30,7 +32,10 @@ def sample_labelled(
         chosen = some if chosen is None else chosen.unionByName(some)
     # at most 2 * per_label rows: a broadcast of proven size
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(chosen), "id").collect()
+    found = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    # windows over the chosen rows, per_label at most
+    before = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("bytes", F.sum(F.octet_length("text")).over(before)).where(F.col("bytes") <= label_bytes).drop("bytes").collect()
     found.sort(key=lambda r: (r["id"], r["text"]))
     return [(r["text"], int(r["label"])) for r in found], rows
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm._hits import hit_filter, split
 from lexforge.llm._store import materialise
 
 
@@ -24,9 +25,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # Large star: everyone larger than a node links to the smallest that the node knows.
         both = edges.select("v", "u").unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
+        # A node that points nowhere knows of none smaller: its links stay as they are, and the many
+        # links of a hub at the centre of a star need no join.
+        inner, outer = split(edges, "u", hit_filter(edges.select("v"), "v"))
         large = (
-            edges.join(least.withColumnRenamed("v", "u"), "u")  # for u < v: v links to the least of u
+            inner.join(least.withColumnRenamed("v", "u"), "u")  # for u < v: v links to the least of u
             .select("v", F.col("m").alias("u"))
+            .unionByName(outer.select("v", "u"))
             .unionByName(least.select("v", F.col("m").alias("u")))
             .where("u < v")
             .distinct()

@@ -1,24 +1,33 @@
 """Exact deduplication with a log-structured merge index, in DataFrame operations only.
 
-Every document falls into a memtable of about ``memtable_rows`` rows.  A memtable is flushed as a
-run: one entry per digest, sorted by digest, in Parquet files that carry Bloom filters.  Compaction
-merges all runs into one sorted level that keeps, for each digest, the surviving identifier and the
-number of rows.  Rows whose digest occurs more than once are hits: a bitmap filter of bounded size,
-broadcast to the scan, lets only them move, and each is compared byte by byte with the row that
-stays.  Digests that fail the comparison (collisions) are grouped by the text itself.
+Every document is logged (identifier, digest) and falls into a memtable of about ``memtable_rows``
+rows.  A memtable is flushed as a run: a file set of its own with one entry per digest, sorted by
+digest.  Compaction merges ``fan_in`` sorted runs into one of the next level, and so on until one run
+is left; an entry keeps, for its digest, the surviving identifier and the number of rows.
 
-A hot group never meets in one task: it is aggregated before each shuffle, and it is joined through
-its runs, of which each holds at most ``memtable_rows`` of its rows.
+The runs' filters decide what has to be compacted.  A filter holds the slots (64-bit hashes) of a
+run's digests; slots that stand in one filter only belong to digests that no other run has, so these
+entries are final as they were flushed.  Entries with contested slots alone are merged further.
+
+Digests with several rows are hits.  A bitmap filter of checked size, broadcast to the scan, lets only
+their texts move, and these are compared byte by byte: the smallest and the largest text of a digest
+are one string, or the digest has failed.  Digests that fail (collisions) are grouped by the text itself.
+
+A hot group never meets in one task: texts and entries are aggregated before each shuffle, a merge
+gets at most ``fan_in`` entries of a digest, and the log is joined through its runs, of which each
+holds at most ``memtable_rows`` of a group's rows.
 
 Defined results: a null text counts as empty; a null identifier loses against any other; rows that
-repeat an identifier each count, and each of them is kept if it carries the identifier that stays;
-an empty table gives an empty result; further input columns are ignored, whatever their names.
+repeat an identifier each count, and each of them is kept if it carries the identifier that stays
+and a text of that group; an empty table gives an empty result; further input columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,21 +44,46 @@ def ascii_lower(text: Column) -> Column:
     )
 
 
+def _normal_text(text_col: str) -> Column:
+    return ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def _normal(docs: DataFrame, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
     norm = docs.select(
         F.col(id_col).cast("long").alias("id"),
-        ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("norm"),
+        _normal_text(text_col).alias("norm"),
     )
     sha = F.unhex(F.sha2("norm", 256))
     return norm.withColumn("sha", sha).withColumn("digest", F.substring("sha", 1, digest_bytes))
 
 
+def _compacted(runs: DataFrame, tables: int, fan_in: int, best: Callable[[str], Column]) -> DataFrame:
+    """(digest, keep_id, group_size) of the digests with several rows, from the runs of level 0."""
+    slots = runs.groupBy(F.xxhash64("digest").alias("slot")).agg(F.count(F.lit(1)).alias("filters"))
+    contested = materialise(slots.where("filters > 1").select("slot"), "dedup-contested")
+    open_, final = split(runs.withColumn("slot", F.xxhash64("digest")), "slot", hit_filter(contested, "slot"))
+    columns = ["digest", "keep_id", "group_size"]
+    level, buckets = open_.select(*columns, "run"), 1
+    while tables > 1:
+        tables, buckets = math.ceil(tables / fan_in), buckets * fan_in
+        # a run grows with its level, so it is dealt into as many files of the first run's size
+        dealt = level.withColumn("run", F.floor(F.col("run") / fan_in)).withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)))
+        merged = (
+            dealt.repartition("run", "bucket")
+            .groupBy("run", "bucket", "digest")
+            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        )
+        level = materialise(merged.drop("bucket").sortWithinPartitions("run", "digest"), "dedup-level", by=["run"])
+    return materialise(level.select(*columns).unionByName(final.select(*columns)).where("group_size > 1"), "dedup-several")
+
+
 def exact_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     keep: str = "smallest",
-    memtable_rows: int = 8192,
+    memtable_rows: int = 16384,
+    fan_in: int = 16,
     digest_bytes: int = 32,
 ) -> DataFrame:
     """One row per input row: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
@@ -63,48 +97,22 @@ def exact_groups(
     rows = _normal(docs, id_col, text_col, digest_bytes)
     tables = max(1, math.ceil(docs.count() / memtable_rows))
     log = materialise(
-        rows.select("id", "sha", "digest", F.pmod(F.xxhash64("id", "digest"), F.lit(tables)).alias("memtable")),
-        "dedup-log",
-    )
-    filters = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": str(memtable_rows)}
-    runs = materialise(
-        log.groupBy("digest", "memtable")
-        .agg(best("id").alias("run_keep"), F.count(F.lit(1)).alias("run_rows"))
-        .sortWithinPartitions("digest", "memtable"),
-        "dedup-runs",
-        filters,
-    )
-    level = materialise(
-        runs.groupBy("digest")
-        .agg(best("run_keep").alias("keep_id"), F.sum("run_rows").alias("group_size"))
-        .sortWithinPartitions("digest"),
-        "dedup-level",
-        filters,
+        rows.select("id", "sha", "digest", F.pmod(F.xxhash64("id", "digest"), F.lit(tables)).alias("run")), "dedup-log"
     )
-    several = materialise(level.where("group_size > 1"), "dedup-several")
+    flushed = log.groupBy("run", "digest").agg(best("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    runs = materialise(flushed.repartition(F.col("run")).sortWithinPartitions("run", "digest"), "dedup-run", by=["run"])
+    several = _compacted(runs, tables, fan_in, best)
     entries = materialise(
-        runs.join(several, "digest").select("digest", "memtable", "keep_id", "group_size"), "dedup-entries"
+        runs.select("digest", "run").join(several, "digest").select("digest", "run", "keep_id", "group_size"), "dedup-entries"
     )
 
-    # Hits get byte verification against the row that stays.
-    likely, _ = split(rows.select("id", "norm", "digest"), "digest", hit_filter(several, "digest"))
-    hits = materialise(likely.withColumn("memtable", F.pmod(F.xxhash64("id", "digest"), F.lit(tables))), "dedup-hits")
-    stays = (
-        hits.join(several, "digest")
-        .where(F.col("id").eqNullSafe(F.col("keep_id")))
-        .select("digest", F.col("norm").alias("kept_norm"))
-    )
-    # one row per digest; rows that repeat the identifier and differ show up as mismatches below
-    stays = stays.groupBy("digest").agg(F.min("kept_norm").alias("kept_norm"))
-    failed = materialise(
-        hits.join(entries.join(stays, "digest"), ["digest", "memtable"])
-        .where(F.col("norm") != F.col("kept_norm"))
-        .select("digest")
-        .distinct(),
-        "dedup-failed",
-    )
+    # Hits get byte verification.
+    hits, _ = split(rows.select("norm", "digest"), "digest", hit_filter(several, "digest"))
+    extremes = hits.groupBy("digest").agg(F.min("norm").alias("first"), F.max("norm").alias("last")).where("first <> last")
+    # a digest of one row that the filter let pass has one text, and so never fails
+    failed = materialise(extremes.select("digest"), "dedup-failed")
     found = (
-        log.join(entries, ["digest", "memtable"], "left")
+        log.join(entries, ["digest", "run"], "left")
         .select(
             "id",
             F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
@@ -130,6 +138,11 @@ def exact_groups(
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col("id").alias("__kept_id")).distinct()
-    same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("k.__kept_id"))
-    return docs.alias("d").join(kept.alias("k"), same, "left_semi")
+    kept = exact_groups(docs, id_col, text_col, keep).where("kept").select("id", F.unhex("text_sha256").alias("sha")).distinct()
+    # rows that repeat an identifier are told apart by their digest
+    own = _normal_text(text_col)
+    # the row travels as one column, so that its names clash with none of those used here
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.unhex(F.sha2(own, 256)).alias("sha"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.sha") == F.col("k.sha"))
+    found = rows.alias("d").join(kept.alias("k"), same, "left_semi")
+    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

@@ -37,6 +37,8 @@ from lexforge.llm.components import components
 
 REGISTERS, BANDS, MANTISSA = 192, 32, 10
 BLOCK = 512
+#: Pairs of one pivot that are verified together.
+PART = 256
 _ROWS = REGISTERS // BANDS
 _GROUP = 1 << 19
 _TABLE = byte_table(1, fold=True)
@@ -304,8 +306,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets = materialise(
         texts.join(involved, "doc_id", "left_semi").mapInArrow(full_sets, "node long, sketch binary, members binary"), "sets"
     )
-    with_b = pairs.join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("members").alias("mb")), "b")
-    with_both = with_b.join(sets.select(F.col("node").alias("a"), F.col("sketch").alias("sa"), F.col("members").alias("ma")), "a")
+    # A popular pivot's pairs are dealt into parts of about PART; its set goes to each of them once.
+    popular = pairs.groupBy("a").agg(F.floor(F.count(F.lit(1)) / PART).cast("int").alias("more")).where("more > 0")
+    popular = materialise(popular, "popular-pivots")
+    salted = pairs.join(popular, "a", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("b"), F.col("more") + 1), F.lit(0)).cast("int"))
+    pivots = sets.join(popular, sets["node"] == popular["a"], "left").select(
+        F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.coalesce("more", F.lit(0)))).alias("part"), F.col("sketch").alias("sa"), F.col("members").alias("ma")
+    )
+    with_b = salted.drop("more").join(sets.select(F.col("node").alias("b"), F.col("sketch").alias("sb"), F.col("members").alias("mb")), "b")
+    with_both = with_b.join(pivots, ["a", "part"])
     links = materialise(with_both.select("a", "b", "sa", "sb", "ma", "mb").mapInArrow(verify, "a long, b long"), "pivot-links")
     found = materialise(components(links), "components")
     more = _within_families(members, found, sets, percent)

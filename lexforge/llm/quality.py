@@ -5,7 +5,7 @@ random signs drawn from its hash, and falls into one of ``BUCKETS`` buckets.  Ra
 up, over the whole corpus, the index vectors of each bucket's neighbours: its word vector.  A
 document pools its tokens' word vectors, their index vectors, and the products of neighbouring
 index vectors; a two-layer network, fitted with numpy on a bounded sample of labelled rows
-(``per_label`` of each label), turns that into a logit, and a temperature chosen on rows kept back
+(``per_label`` of each label, and a bounded number of bytes), turns that into a logit, and a temperature chosen on rows kept back
 calibrates the probability.
 
 Defined results: null and empty texts pool to zeros; without rows of both labels every score is the
@@ -22,12 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexforge.llm._bytes import Rolling, byte_table, groups, mix, runs
 from lexforge.llm._labels import sample_labelled, sigmoid
-from lexforge.llm._store import materialise
 
 BUCKETS, DIM = 4096, 32
 FEATURES = 3 * DIM + 2
@@ -187,7 +188,7 @@ def fit(rows: list[tuple[str, int]], counts: dict[int, int], vectors: np.ndarray
     return train(x, y, weight) | {"vectors": vectors}
 
 
-def _score(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], packed: bytes, first: str = "doc_id") -> Iterator[pa.RecordBatch]:
     model = pickle.loads(packed)
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
@@ -196,7 +197,12 @@ def _score(batches: Iterator[pa.RecordBatch], packed: bytes) -> Iterator[pa.Reco
         else:
             parts = [pooled(texts[i:j], model["vectors"]) for i, j in groups([len(t) for t in texts], _GROUP)]
             scores = sigmoid(logit(np.concatenate(parts), model)) if parts else np.zeros(0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], [first, "score"])
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str, text_col: str, label: str, per_label: int) -> Broadcast:
+    rows, counts = sample_labelled(docs, labels, label, usable, per_label, id_col, text_col)
+    return docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(rows, counts, word_vectors(docs, text_col))))
 
 
 def score_documents(
@@ -204,8 +210,7 @@ def score_documents(
     per_label: int = 4000,
 ) -> DataFrame:
     """(doc_id, score) of every document.  ``usable``: condition over ``id``, which labels may be used."""
-    rows, counts = sample_labelled(docs, labels, label, usable, per_label, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(rows, counts, word_vectors(docs, text_col))))
+    shared = _fitted(docs, labels, usable, id_col, text_col, label, per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _score(batches, shared.value)
@@ -214,9 +219,17 @@ def score_documents(
     return texts.mapInArrow(run, "doc_id long, score double")
 
 
-def drop_poor(docs: DataFrame, labels: DataFrame, usable: Column, least: float = 0.7, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` whose score reaches ``least``, with all their columns."""
-    scores = materialise(score_documents(docs, labels, usable, id_col, **options), "quality")
-    good = scores.where(F.col("score") >= least).select(F.col("doc_id").alias("__good")).distinct()
-    same = F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.__good"))
-    return docs.alias("d").join(good.alias("g"), same, "left_semi")
+def drop_poor(
+    docs: DataFrame, labels: DataFrame, usable: Column, least: float = 0.7, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
+    per_label: int = 4000,
+) -> DataFrame:
+    """The rows of ``docs`` whose own text reaches the score ``least``, with all their columns."""
+    shared = _fitted(docs, labels, usable, id_col, text_col, label, per_label)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _score(batches, shared.value, "row")
+
+    # the row travels as one column through the scorer: no join, and no clash of names
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"))
+    scored = rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())]))
+    return scored.where(F.col("score") >= least).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
