@@ -18,7 +18,10 @@ which every string starting in it contains, and a hull, the union of these strin
    (as 64-bit hashes within the group of their core).
 
 All three are equi-joins and counts over hashes; groups of any size are counted before a shuffle.
-A bitmap filter of fixed size keeps what can't match from moving.
+A bitmap filter of checked size keeps what can't match from moving.
+
+Ranges at a length are found inside the ranges at a smaller one, so both come at little more than
+the cost of the smaller.
 
 Defined results: null texts are empty and have no ranges; texts shorter than ``length`` have none
 and match nothing; rows that repeat an identifier and a text are two places of the same string; null
@@ -32,13 +35,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexforge.llm._bytes import Rolling, byte_table, groups, mix
 from lexforge.llm._hits import hit_filter, split
-from lexforge.llm._store import materialise
+from lexforge.llm._store import discard, materialise
 
 _GRAM_TABLE, _STRING_TABLE = byte_table(2, fold=False), byte_table(3, fold=False)
 _GROUP = 1 << 19
@@ -102,7 +105,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
     for batch in batches:
         parts = []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = (text or "").encode()
+            data = text or b""
             for off in range(0, len(data) - length + 1, _SEGMENT):
                 parts.append((doc, off, data[off : off + _SEGMENT + length - 1]))
         for i, j in groups([len(p[2]) for p in parts], _GROUP):
@@ -120,7 +123,7 @@ def _hulls(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
     for batch in batches:
         rows, size = [], 0
         for doc, text, asked in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            data = (text or "").encode()
+            data = text or b""
             for piece in asked:
                 at, n = piece["at"], piece["n"]
                 rows.append((piece["core"], doc, at, n, piece["weight"], data[at : at + n - 1 + length]))
@@ -135,7 +138,7 @@ def _hulls(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Record
 HULLS = "core long, doc long, at int, n int, weight int, hull binary"
 STARTS = "core long, string long, doc long, start int, weight int"
 RANGES = "doc long, start int, end int"
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -206,13 +209,20 @@ def _decided(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
         yield found
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.withColumn("__text", text).withColumn("__doc", F.xxhash64(F.col(id_col).cast("long"), "__text"))
+def _texts(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """(doc, text, ...): a key for each row and its text's bytes.
 
+    Where the identifiers are unique, they are the keys.  Rows that repeat one, or have none, are
+    told apart by a 64-bit hash of identifier and text; equal rows share their key.
+    """
+    own_id, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    unclear = docs.groupBy(own_id.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    key = own_id if unclear.isEmpty() else F.xxhash64(own_id, text)
+    return docs.select(key.alias("doc"), text.cast("binary").alias("text"), *more)
 
-def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, ranges): for each text with repeats, its key and [start, end) byte ranges, which may overlap."""
+
+def _found(texts: DataFrame, length: int) -> DataFrame:
+    """(doc, ranges) of texts given as (doc, text): written, one row for each text with repeats."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pieces(batches, length)
@@ -226,11 +236,11 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _decided(batches, length)
 
-    texts = _keyed(docs, id_col, text_col).select(F.col("__doc").alias("doc"), F.col("__text").alias("text"))
     pieces = materialise(texts.where(F.octet_length("text") >= length).mapInArrow(cut, PIECES), "pieces")
     cores = materialise(pieces.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("core"), "cores")
     likely, _ = split(pieces, "core", hit_filter(cores, "core"))
     shared = materialise(likely.join(cores, "core"), "shared-pieces")
+    discard(pieces, cores)
     hulls = materialise(
         shared.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "at", "n")).alias("one")), "hulls"
     )
@@ -262,7 +272,55 @@ def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
             .select("doc", "start", (F.col("start") + length).cast("int").alias("end"))
         )
     found = proven.unionByName(decided).groupBy("doc")
-    return materialise(found.agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = materialise(found.agg(F.collect_list(F.struct("start", "end")).alias("ranges")), "ranges")
+    discard(shared, hulls, mixed, per_doc)
+    return ranges
+
+
+def repeated_ranges(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, ranges): for each text with repeats, its key and [start, end) byte ranges, which may overlap."""
+    return _found(_texts(docs, id_col, text_col), length)
+
+
+def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The maximal ranges of at least ``length`` bytes: doc, off, text."""
+    for batch in batches:
+        rows, size = [], 0
+        for doc, data, ranges in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for start, end in merged(ranges, len(data)):
+                if end - start >= length:
+                    rows.append((doc, start, data[start:end]))
+                    size += end - start
+            if size > 1 << 22:
+                yield _batch(rows, SEGMENTS)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, SEGMENTS)
+
+
+SEGMENTS = "doc long, off int, text binary"
+
+
+def _found_within(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame:
+    """(doc, ranges) at a greater length than that of ``ranges``.
+
+    A string that repeats consists of shorter strings that repeat too, so it lies inside one of their
+    maximal ranges: these are all the texts that are left to look at.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _segments(batches, length)
+
+    near, _ = split(texts.select("doc", "text"), "doc", hit_filter(ranges, "doc"))
+    # equal rows share a key and their ranges: each of them is a place of its own
+    cuts = near.join(ranges, "doc").select("doc", "text", "ranges").mapInArrow(cut, SEGMENTS)
+    segments = materialise(cuts.withColumn("segment", F.monotonically_increasing_id()), "segments")
+    found = _found(segments.select(F.col("segment").alias("doc"), "text"), length)
+    moved = F.transform("ranges", lambda r: F.struct((r["start"] + F.col("off")).alias("start"), (r["end"] + F.col("off")).alias("end")))
+    placed = segments.select("doc", "off", "segment").join(found.select(F.col("doc").alias("segment"), "ranges"), "segment").select("doc", moved.alias("ranges"))
+    out = materialise(placed.groupBy("doc").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    discard(segments, found)
+    return out
 
 
 def merged(ranges: list, size: int) -> list[tuple[int, int]]:
@@ -284,64 +342,68 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*kept, data[at:]])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], digest: bool) -> Iterator[pa.RecordBatch]:
-    """Replaces the columns text and ranges by what is left, as digest columns or as text."""
+DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long, passage_bytes long"
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, all_ranges = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("__text", "__ranges"))
-        rest = [batch.column(i) for i, name in enumerate(batch.schema.names) if not name.startswith("__")]
-        names = [name for name in batch.schema.names if not name.startswith("__")]
         rows = []
-        for text, ranges in zip(texts, all_ranges):
-            data = text.encode()
-            spans = merged(ranges, len(data))
-            kept = without(data, spans)
-            if digest:
-                rows.append((len(data), sum(e - s for s, e in spans), len(spans), hashlib.sha256(kept).hexdigest()))
-            else:  # a range may begin or end inside a character, of which nothing stays then
-                rows.append((kept.decode("utf-8", "ignore"),))
+        for doc_id, data, ranges, passages in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            spans, places = merged(ranges, len(data)), merged(passages, len(data))
+            kept = hashlib.sha256(without(data, spans)).hexdigest()
+            rows.append((doc_id, len(data), sum(e - s for s, e in spans), len(spans), kept, len(places), sum(e - s for s, e in places)))
         if rows:
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string()) if digest else (pa.string(),)
-            new = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] if digest else ["__kept"]
-            yield pa.RecordBatch.from_arrays([*rest, *(pa.array(v, t) for v, t in zip(zip(*rows), types))], names + new)
-
-
-def _joined(docs: DataFrame, length: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Documents with ranges (column __ranges), and those without."""
-    ranges = repeated_ranges(docs, length, id_col, text_col).select(F.col("doc").alias("__doc"), F.col("ranges").alias("__ranges"))
-    likely, clean = split(_keyed(docs, id_col, text_col), "__doc", hit_filter(ranges, "__doc"))
-    both = likely.join(ranges, "__doc", "left")
+            yield _batch(rows, DIGESTS)
+
+
+def removal_digests(docs: DataFrame, length: int = 400, passage: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: columns of :data:`DIGESTS`.
+
+    n_bytes, n_removed, n_spans and kept_sha256 (of the remaining bytes) are those of strings of
+    ``length`` bytes.  n_passages and passage_bytes count the maximal ranges, and their bytes, that
+    strings of ``passage`` bytes cover (at most ``length``, which is the default).
+    """
+    passage = length if passage is None else passage
+    if not 0 < passage <= length:
+        raise ValueError("a passage has at most the length of what is removed")
+    texts = _texts(docs, id_col, text_col, F.col(id_col).cast("long").alias("doc_id"))
+    passages = _found(texts.select("doc", "text"), passage)
+    ranges = passages if passage == length else _found_within(texts, passages, length)
+    likely, clean = split(texts, "doc", hit_filter(passages, "doc"))
+    both = likely.join(passages.withColumnRenamed("ranges", "passages"), "doc", "left").join(ranges, "doc", "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return both.withColumn("__ranges", F.coalesce("__ranges", none)), clean
-
-
-def removal_digests(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the remaining bytes)."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found, clean = _joined(own, length, "doc_id", "text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut(batches, True)
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return found.select("doc_id", "__text", "__ranges").mapInArrow(cut, schema).unionByName(
+    asked = both.select("doc_id", "text", F.coalesce("ranges", none), F.coalesce("passages", none))
+    zero = F.lit(0).cast("long")
+    return asked.mapInArrow(_digests, DIGESTS).unionByName(
         clean.select(
             "doc_id",
-            F.octet_length("__text").cast("long").alias("n_bytes"),
-            F.lit(0).cast("long").alias("n_removed"),
-            F.lit(0).cast("long").alias("n_spans"),
-            F.sha2("__text", 256).alias("kept_sha256"),
+            F.octet_length("text").cast("long").alias("n_bytes"),
+            zero.alias("n_removed"),
+            zero.alias("n_spans"),
+            F.sha2("text", 256).alias("kept_sha256"),
+            zero.alias("n_passages"),
+            zero.alias("passage_bytes"),
         )
     )
 
 
-def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of ``docs``; repeated ranges are cut out of the texts (null stays null)."""
-    found, clean = _joined(docs, length, id_col, text_col)
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        # a range may begin or end inside a character, of which nothing stays then
+        texts, ranges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        kept = [without(data, merged(r, len(data))).decode("utf-8", "ignore") for data, r in zip(texts, ranges, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _cut(batches, False)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__kept", T.StringType())])
-    done = found.select(*docs.columns, "__text", "__ranges").mapInArrow(cut, schema)
-    done = done.withColumn(text_col, F.when(F.col(text_col).isNotNull(), F.col("__kept")))
-    return done.select(*docs.columns).unionByName(clean.select(*docs.columns))
+def drop_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows and columns of ``docs``; repeated ranges are cut out of the texts (null stays null)."""
+    # the row travels as one column, so that its names clash with none of those used here
+    texts = _texts(docs, id_col, text_col, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    ranges = _found(texts.select("doc", "text"), length)
+    likely, clean = split(texts, "doc", hit_filter(ranges, "doc"))
+    asked = likely.join(ranges, "doc", "left").select("row", "text", F.coalesce("ranges", F.array().cast("array<struct<start:int,end:int>>")))
+    schema = T.StructType([texts.schema["row"], T.StructField("kept", T.StringType())])
+    done = asked.mapInArrow(_kept, schema)
+    own = [F.col("row").getField(c) for c in docs.columns]
+    cut = [F.when(v.isNotNull(), F.col("kept")).otherwise(v).alias(c) if c == text_col else v.alias(c) for c, v in zip(docs.columns, own)]
+    return done.select(*cut).unionByName(clean.select(*(v.alias(c) for c, v in zip(docs.columns, own))))

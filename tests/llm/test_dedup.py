@@ -175,7 +175,7 @@ def span_texts(rng):
 def test_repeated_spans(spark, monkeypatch, length, most):
     monkeypatch.setattr(repeated_spans, "MOST_HULLS", most)
     rows = list(enumerate(span_texts(random.Random(length))))
-    got = {r.doc_id: tuple(r)[1:] for r in repeated_spans.removal_digests(frame(spark, rows), length).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans.removal_digests(frame(spark, rows), length).collect()}
     assert got == spans_brute(rows, length)
 
 
@@ -186,13 +186,13 @@ def test_repeats_within_a_text_and_segments(spark, monkeypatch):
     want = spans_brute(rows, 40)
     pieces = {t: np.concatenate(repeated_spans.cut_pieces([t.encode()], 40)[4:]).sum() for _, t in rows}
     assert pieces[rows[0][1]] == len(rows[0][1]) - 39  # each start is in one piece
-    got = {r.doc_id: tuple(r)[1:] for r in repeated_spans.removal_digests(frame(spark, rows), 40).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans.removal_digests(frame(spark, rows), 40).collect()}
     assert got == want
     # texts cut into overlapping segments give the same starts
     monkeypatch.setattr(repeated_spans, "_SEGMENT", 700)
     import pyarrow as pa
 
-    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rows[0][1]])], ["doc", "text"])
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([rows[0][1].encode()])], ["doc", "text"])
     starts = sorted(s for b in repeated_spans._pieces(iter([batch]), 40) for a, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist()) for s in range(a, a + n))
     assert starts == list(range(len(rows[0][1]) - 39))
 
@@ -206,3 +206,71 @@ def test_drop_repeats(spark):
     assert repeated_spans.removal_digests(frame(spark, []), 20).count() == 0
     twice = frame(spark, [(1, shared), (1, shared)])  # the same row twice: two places of one string
     assert [r.n_removed for r in repeated_spans.removal_digests(twice, 20).collect()] == [len(shared.encode())] * 2
+
+
+def test_repeated_spans_with_passages(spark):
+    """The registered lengths: 400 bytes are removed, passages of 200 counted."""
+    rng = random.Random(11)
+    piece = lambda n: " ".join("".join(rng.choice("abcdefghé") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    shared = [piece(n) for n in (30, 45, 60, 75, 90, 150)]
+    texts = [" ".join(rng.choice(shared) if rng.random() < 0.3 else piece(rng.randrange(20, 120)) for _ in range(6)) for _ in range(60)]
+    texts += [None, "", texts[0], texts[1][37:], shared[3], "x" * 900, texts[2] + texts[2]]
+    rows = list(enumerate(texts))
+    found = repeated_spans.removal_digests(frame(spark, rows), 400, passage=200).collect()
+    assert {r.doc_id: tuple(r)[1:5] for r in found} == spans_brute(rows, 400)
+    assert {r.doc_id: (r.passage_bytes, r.n_passages) for r in found} == {i: v[1:3] for i, v in spans_brute(rows, 200).items()}
+    again = rows[:8] + [(0, texts[3]), (0, texts[3]), (None, texts[4])]  # repeated identifiers, and none
+    want = spans_brute([(k, t) for k, (_, t) in enumerate(again)], 400)
+    got = [(r.doc_id, *tuple(r)[1:5]) for r in repeated_spans.removal_digests(frame(spark, again), 400, passage=200).collect()]
+    assert sorted(got, key=str) == sorted(((i, *want[k]) for k, (i, _) in enumerate(again)), key=str)
+
+
+CLASHING = ["id", "sha", "row", "doc", "ranges", "__note", "__page", "__at", "__ranges", "__doc", "__kept", "__kept_id", "kept", "score", "digest", "run", "node"]
+
+
+@pytest.mark.parametrize("operator", [exact_dedup.drop_exact, near_dedup.drop_near, repeated_spans.drop_repeats])
+def test_clashing_names(spark, operator):
+    shared = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "one " + shared), (2, "one " + shared), (3, "clean"), (4, None)]
+    df = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in CLASHING)) for i, t in rows], "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    kept = operator(df)
+    assert kept.columns == df.columns
+    for r in kept.collect():
+        assert tuple(r)[2:] == tuple(f"{c}{r.doc_id}" for c in CLASHING)
+
+
+def test_drop_exact_repeated_ids(spark):
+    rows = [(1, "x"), (1, "y"), (0, "y"), (2, None), (3, "")]
+    kept = exact_dedup.drop_exact(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(0, "y"), (1, "x"), (2, "")]
+
+
+def test_runs_levels_and_filters(spark, monkeypatch):
+    """Runs are sorted file sets; only contested entries are merged; levels end in one run."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    written = []
+
+    def spy(df, name, *args, **kw):
+        out = materialise(df, name, *args, **kw)
+        written.append((name, out._lexforge_path.removeprefix("file://"), out.count()))
+        return out
+
+    materialise = exact_dedup.materialise
+    monkeypatch.setattr(exact_dedup, "materialise", spy)
+    rows = [(i, f"text {i if i % 10 else 0}") for i in range(2000)]
+    got = exact_dedup.exact_groups(frame(spark, rows), memtable_rows=100, fan_in=4).collect()
+    assert sum(r.kept for r in got) == 1801 and {r.group_size for r in got} == {1, 200}
+    by = {}
+    for name, path, n in written:
+        by.setdefault(name, []).append((path, n))
+    (runs, _), *rest = by["dedup-run"]
+    assert not rest and len(glob.glob(runs + "/run=*")) == 20
+    for f in glob.glob(runs + "/run=*/*.parquet"):
+        digests = pq.ParquetFile(f).read(["digest"]).column(0).to_pylist()
+        assert digests == sorted(digests)
+    levels = [n for _, n in by["dedup-level"]]
+    assert len(levels) == 3 and levels[0] < 200 and levels[-1] < 40  # of 1801 digests; 20 runs, 5, 2, 1
+    assert by["dedup-several"][0][1] == 1 and by["dedup-failed"][0][1] == 0
