@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,7 +245,9 @@ def _found(texts: DataFrame, length: int) -> DataFrame:
     hulls = materialise(
         shared.groupBy("core", "hull").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "at", "n")).alias("one")), "hulls"
     )
-    proven = shared.join(hulls.where("times > 1").select("core", "hull"), ["core", "hull"]).select(
+    # What the filter of hulls that occur once doesn't know occurs more often: hot hulls need no join.
+    unsure, sure = split(shared, "hull", hit_filter(hulls.where("times = 1"), "hull"))
+    proven = sure.unionByName(unsure.join(hulls.where("times > 1").select("core", "hull"), ["core", "hull"]).select(*shared.columns)).select(
         "doc", F.col("at").alias("start"), (F.col("at") + F.col("n") - 1 + length).alias("end")
     )
     # Cores with several hulls, one of which occurs once: their starts are compared one by one.
@@ -286,8 +289,9 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     """The maximal ranges of at least ``length`` bytes: doc, off, text."""
     for batch in batches:
         rows, size = [], 0
-        for doc, data, ranges in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            for start, end in merged(ranges, len(data)):
+        for doc, data, spans in zip(batch.column(0).to_pylist(), batch.column(1), merged(batch.column(2)), strict=True):
+            data = data.as_py()
+            for start, end in spans:
                 if end - start >= length:
                     rows.append((doc, start, data[start:end]))
                     size += end - start
@@ -323,15 +327,22 @@ def _found_within(texts: DataFrame, ranges: DataFrame, length: int) -> DataFrame
     return out
 
 
-def merged(ranges: list, size: int) -> list[tuple[int, int]]:
-    """Disjoint, maximal ranges, in order."""
-    if not ranges:
-        return []
-    a = np.array([(r["start"], r["end"]) for r in ranges], np.int64).reshape(-1, 2)
-    a = a[np.argsort(a[:, 0], kind="stable")]
-    reach = np.maximum.accumulate(a[:, 1])
-    new = np.flatnonzero(np.concatenate(([True], a[1:, 0] > reach[:-1])))
-    return [(int(a[i, 0]), min(size, int(e))) for i, e in zip(new, reach[np.append(new[1:] - 1, len(a) - 1)])]
+def merged(ranges: pa.ListArray) -> list[list[tuple[int, int]]]:
+    """Disjoint, maximal ranges in order, for each row of a list column of (start, end)."""
+    many = pc.fill_null(pc.list_value_length(ranges), 0).to_numpy(zero_copy_only=False)
+    values = ranges.flatten()
+    if not len(values):
+        return [[] for _ in many]
+    # rows lie apart on one line, so one pass merges them all
+    row = np.repeat(np.arange(len(many), dtype=np.int64) << 32, many)
+    start, end = (row + pc.struct_field(values, k).to_numpy(zero_copy_only=False) for k in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    start, reach = start[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+    start, end = start[new], reach[np.append(new[1:] - 1, len(reach) - 1)]
+    at = np.searchsorted(start >> 32, np.arange(len(many) + 1)).tolist()
+    pairs = list(zip((start & 0xFFFFFFFF).tolist(), (end & 0xFFFFFFFF).tolist()))
+    return [pairs[i:j] for i, j in zip(at, at[1:])]
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -348,8 +359,8 @@ DIGESTS = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc_id, data, ranges, passages in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            spans, places = merged(ranges, len(data)), merged(passages, len(data))
+        for doc_id, data, spans, places in zip(batch.column(0).to_pylist(), batch.column(1), merged(batch.column(2)), merged(batch.column(3)), strict=True):
+            data = data.as_py()
             kept = hashlib.sha256(without(data, spans)).hexdigest()
             rows.append((doc_id, len(data), sum(e - s for s, e in spans), len(spans), kept, len(places), sum(e - s for s, e in places)))
         if rows:
@@ -390,8 +401,7 @@ def removal_digests(docs: DataFrame, length: int = 400, passage: int | None = No
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         # a range may begin or end inside a character, of which nothing stays then
-        texts, ranges = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        kept = [without(data, merged(r, len(data))).decode("utf-8", "ignore") for data, r in zip(texts, ranges, strict=True)]
+        kept = [without(data.as_py(), spans).decode("utf-8", "ignore") for data, spans in zip(batch.column(1), merged(batch.column(2)), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.string())], ["row", "kept"])
 
 
