@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -107,29 +106,18 @@ def excerpt(text: Column, chars: int = EXCERPT_CHARS) -> Column:
     return F.substring(text, 1, chars)
 
 
-def snippet_of(line: str, column_byte: int) -> tuple[str, bool]:
-    """(snippet, truncated): from 120 bytes before a match, moved down to a character, 500 characters."""
-    data = line.encode()
-    at = max(0, column_byte - SNIPPET_BEFORE_BYTES)
-    while at > 0 and data[at] & 0xC0 == 0x80:
-        at -= 1
-    shown = data[at:].decode()
-    return shown[:SNIPPET_CHARS], at > 0 or len(shown) > SNIPPET_CHARS
+def snippet(line: Column, before: Column) -> Column:
+    """struct(snippet, truncated): 500 characters of a line, from 120 bytes before a match on.
 
-
-def snippet(line: Column, pattern: str, literal: bool = True, case_sensitive: bool = True) -> Column:
-    """struct(text, truncated) of the snippet around the first match; Arrow batches."""
-    expression = re.compile(re.escape(pattern) if literal else pattern, 0 if case_sensitive else re.I)
-
-    @F.pandas_udf("text string, truncated boolean")
-    def run(lines: pd.Series) -> pd.DataFrame:
-        rows = []
-        for value in lines:
-            found = expression.search(value or "")
-            rows.append(snippet_of(value or "", len((value or "")[: found.start()].encode()) if found else 0))
-        return pd.DataFrame(rows, columns=["text", "truncated"])
-
-    return run(line)
+    ``before`` is how many characters stand before the match; a start inside a character moves left.
+    """
+    # 120 characters hold the 120 bytes; the shortest end of them that does is what is shown
+    head = F.substring(line, F.greatest(before - SNIPPET_BEFORE_BYTES, F.lit(0)) + 1, F.least(before, F.lit(SNIPPET_BEFORE_BYTES)))
+    sizes = F.sequence(F.lit(1), F.lit(SNIPPET_BEFORE_BYTES))
+    enough = F.array_min(F.filter(sizes, lambda n: F.octet_length(F.right(head, n)) >= SNIPPET_BEFORE_BYTES))
+    left = before - F.when(F.octet_length(head) < SNIPPET_BEFORE_BYTES, F.char_length(head)).otherwise(enough)
+    shown = F.substring(line, left + 1, F.lit(SNIPPET_CHARS))
+    return F.struct(shown.alias("snippet"), ((left > 0) | (F.char_length(line) - left > SNIPPET_CHARS)).alias("truncated"))
 
 
 def method_class(tool: Column) -> Column:

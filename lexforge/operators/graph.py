@@ -194,6 +194,14 @@ def calls_within(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     return counts.unionByName(empty)
 
 
+def calls_among(symbols: DataFrame, refs: DataFrame, names: DataFrame) -> DataFrame:
+    """Which of some names (column name) each definition's body calls: path, name, line, end_line, called."""
+    wanted = names.select(F.col("name").alias("called")).distinct()
+    sites = refs.where("kind = 'call'").select("path", F.col("line").alias("at"), F.col("name").alias("called")).join(wanted, "called", "left_semi")
+    inside = symbols.select("path", "name", "line", "end_line").join(sites, "path").where(F.col("at").between(F.col("line"), F.col("end_line")))
+    return inside.drop("at").distinct()
+
+
 def coverage(files: DataFrame, skipped: DataFrame, budget_files: int = 20_000) -> DataFrame:
     """What an answer rests on: files parsed, skipped by reason, examples, whether a budget cut it."""
     parsed = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
@@ -201,6 +209,7 @@ def coverage(files: DataFrame, skipped: DataFrame, budget_files: int = 20_000) -
         F.count(F.lit(1)).alias("skipped"),
         F.count_if(F.col("reason") == "too_large").alias("too_large"),
         F.count_if(F.col("reason") == "not_text").alias("not_text"),
-        F.slice(F.array_sort(F.collect_set("path")), 1, MAX_EXAMPLES).alias("examples"),
     )
+    few = skipped.select("path").distinct().orderBy("path").limit(MAX_EXAMPLES).agg(F.array_sort(F.collect_list("path")).alias("examples"))
+    lost = lost.join(F.broadcast(few))
     return parsed.join(F.broadcast(lost)).withColumn("budget_truncated", F.col("files") > budget_files)  # both are one row

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import EXCERPT_CHARS, split_lines
+from lexforge.functions.text import snippet as snippet_at
+from lexforge.functions.text import split_lines
 from lexforge.operators.paging import check_query, page_per, within_budget
 
 #: Bounds of a read.
@@ -67,6 +68,13 @@ def exact_matches(
     return found.select(name.alias("pattern"), "path", "line", "text")
 
 
+def snippet(pattern: str, regex: bool = False, case_sensitive: bool = True, text: str = "text") -> Column:
+    """struct(snippet, truncated) around the first match of a pattern in a line that it matches."""
+    expression = pattern if regex else re.escape(pattern)
+    at = F.regexp_instr(F.col(text), F.lit(expression if case_sensitive else "(?iu)" + expression))
+    return snippet_at(F.col(text), F.greatest(at - 1, F.lit(0)))
+
+
 def search_exact(
     files: DataFrame,
     patterns: list[str],
@@ -76,10 +84,12 @@ def search_exact(
     limit: int = 20,
     offset: int = 0,
 ) -> DataFrame:
-    """A page of matches for each pattern: pattern, path, line, excerpt, place; one row over the limit tells of more."""
+    """A page of matches for each pattern: pattern, path, line, snippet, truncated, place; one row over the limit tells of more."""
     found = exact_matches(files, patterns, path, regex, case_sensitive)
     cut = page_per(found, "pattern", [path_order(), F.col("line")], limit, offset)
-    return cut.select("pattern", "path", "line", F.substring("text", 1, EXCERPT_CHARS).alias("excerpt"), "place")
+    # snippets are cut for the rows of the pages only
+    around = F.coalesce(*[F.when(F.col("pattern") == p, snippet(p, regex, case_sensitive)) for p in patterns])
+    return cut.select("pattern", "path", "line", around.alias("s"), "place").select("pattern", "path", "line", "s.snippet", "s.truncated", "place")
 
 
 def files_searched(files: DataFrame, path: str | None = None) -> DataFrame:

@@ -55,13 +55,14 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- exact search and reads --------------------------------------------------------------------
 
-_PAGE = """SELECT pattern, path, line, substr(text, 1, 300) AS excerpt, place FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY pattern ORDER BY string_split(path, '/'), line) AS INTEGER) AS place FROM hit)
-WHERE place BETWEEN {0} AND {1}"""
+_PAGE = """, placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY pattern ORDER BY string_split(path, '/'), line) AS INTEGER) AS place FROM hit),
+cut AS (SELECT *, CASE WHEN strlen(before) < 120 THEN length(before) ELSE list_min(list_filter(range(1, 121), lambda i: strlen(right(before, i)) >= 120)) END AS back FROM placed WHERE place BETWEEN {0} AND {1})
+SELECT pattern, path, line, substr(text, length(before) - back + 1, 500) AS snippet, length(before) > back OR length(text) - length(before) + back > 500 AS truncated, place FROM cut"""
 
 
-def _exact(where: str, pattern: str, low: int = 1, high: int = 21) -> str:
-    return f"WITH {FILES}, hit AS (SELECT '{pattern}' AS pattern, path, line, text FROM lines WHERE {where}) " + _PAGE.format(low, high)
+def _exact(where: str, pattern: str, low: int = 1, high: int = 21, before: str | None = None) -> str:
+    before = before or f"substr(text, 1, strpos(text, '{pattern}') - 1)"
+    return f"WITH {FILES}, hit AS (SELECT '{pattern}' AS pattern, path, line, text, {before} AS before FROM lines WHERE {where}) " + _PAGE.format(low, high)
 
 
 @query(_exact("contains(text, 'the')", "the"))
@@ -69,19 +70,19 @@ def exact_literal(spark, sf_dir):
     return lines.search_exact(files(spark, sf_dir), ["the"])
 
 
-@query(_exact(r"regexp_matches(text, '\b(idiot|trash|[0-9]{3}\.[0-9]+)\b')", r"\b(idiot|trash|[0-9]{3}\.[0-9]+)\b"))
+@query(_exact(r"regexp_matches(text, '\b(idiot|trash|[0-9]{3}\.[0-9]+)\b')", r"\b(idiot|trash|[0-9]{3}\.[0-9]+)\b", before=r"regexp_replace(text, '(?s)\b(?:idiot|trash|[0-9]{3}\.[0-9]+)\b.*', '')"))
 def exact_regex(spark, sf_dir):
     return lines.search_exact(files(spark, sf_dir), [r"\b(idiot|trash|[0-9]{3}\.[0-9]+)\b"], regex=True)
 
 
-@query(_exact("contains(lower(text), 'license')", "LICENSE"))
+@query(_exact("contains(lower(text), 'license')", "LICENSE", before="substr(text, 1, strpos(lower(text), 'license') - 1)"))
 def exact_ci(spark, sf_dir):
     return lines.search_exact(files(spark, sf_dir), ["LICENSE"], case_sensitive=False)
 
 
 @query(
     f"WITH {FILES}, p AS (SELECT unnest(['stupid', 'ing the', 'xyzzy', '$$$']) AS pattern), "
-    "hit AS (SELECT pattern, path, line, text FROM lines, p WHERE contains(text, pattern)) " + _PAGE.format(1, 6)
+    "hit AS (SELECT pattern, path, line, text, substr(text, 1, strpos(text, pattern) - 1) AS before FROM lines, p WHERE contains(text, pattern)) " + _PAGE.format(1, 6)
 )
 def exact_batch(spark, sf_dir):
     return lines.search_exact(files(spark, sf_dir), ["stupid", "ing the", "xyzzy", "$$$"], limit=5)
@@ -789,22 +790,12 @@ def degraded_pages(spark, sf_dir):
     return measures.degrade(pages, 0.5, [F.col("position")], ["source"], page="question").select("question", "identity", "position")
 
 
-@query(
-    """WITH c AS (SELECT p_partkey AS cell, p_brand AS a, p_type AS b, p_size AS z FROM part WHERE p_size <= 5)
-SELECT 'a' AS factor, x.cell, y.cell AS other_cell FROM c x JOIN c y ON x.b = y.b AND x.z = y.z AND x.a < y.a UNION ALL SELECT 'b', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.z = y.z AND x.b < y.b
-UNION ALL SELECT 'z', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.z < y.z"""
-)
-def one_factor_contrasts(spark, sf_dir):
-    cells = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.col("p_size").alias("z"))
-    return suites.one_factor_contrasts(cells, ["a", "b", "z"])
-
-
 @query(
     """WITH c AS (SELECT p_partkey AS cell, p_brand AS a, p_type AS b, p_size AS z FROM part)
 SELECT 'a' AS factor, x.cell, y.cell AS other_cell FROM c x JOIN c y ON x.b = y.b AND x.z = y.z AND x.a < y.a UNION ALL SELECT 'b', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.z = y.z AND x.b < y.b
 UNION ALL SELECT 'z', x.cell, y.cell FROM c x JOIN c y ON x.a = y.a AND x.b = y.b AND x.z < y.z"""
 )
-def one_factor_contrasts_all(spark, sf_dir):
+def one_factor_contrasts(spark, sf_dir):
     cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("a"), F.col("p_type").alias("b"), F.col("p_size").alias("z"))
     return suites.one_factor_contrasts(cells, ["a", "b", "z"])
 
@@ -828,3 +819,6 @@ def suite_refusals(spark, sf_dir):
 def condition_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("arm"))
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("the"))).alias("matched"))
+
+
+from lexforge.plans import study_queries  # noqa: E402, F401 - registers further queries

@@ -59,7 +59,7 @@ class Session:
         order = {p: i for i, p in enumerate(patterns)}
         rows.sort(key=lambda r: (order[r["pattern"]], r["place"]))
         more = any(r["place"] > offset + limit for r in rows)
-        kept = [{k: r[k] for k in ("pattern", "path", "line", "excerpt")} for r in rows if r["place"] <= offset + limit]
+        kept = [{k: r[k] for k in ("pattern", "path", "line", "snippet", "truncated")} for r in rows if r["place"] <= offset + limit]
         walked = lines.files_searched(files, path).head()[0]
         return fit(Page(kept, more, offset + limit if more else None, {"files_searched": walked}), offset)
 

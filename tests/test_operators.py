@@ -26,13 +26,26 @@ def test_tokens(spark):
 
 def test_patterns_and_snippets():
     assert text.boundary_pattern("~Engine") == r"\~Engine\b" or text.boundary_pattern("~Engine") == r"~Engine\b"
-    shown, cut = text.snippet_of("é" * 100 + "needle" + "x" * 600, 200)
-    assert cut and len(shown) == 500 and shown.startswith("é" * 60 + "needle")
-    assert text.snippet_of("short needle", 6) == ("short needle", False)
     assert text.figure("764 k") == (764000.0, 500.0)
     assert text.glob_escape("a[1]*") == r"a\[1\]\*"
 
 
+def test_snippets(spark):
+    """120 bytes before the first match, moved left to a character; 500 characters."""
+    rows = ["é" * 100 + "needle" + "x" * 600, "short needle", "aé" * 59 + "ab" + "needle needle", "a" * 120 + "needle", "a" * 121 + "needle" + "b" * 374]
+    got = [tuple(r[0]) for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, text string").orderBy("i").select(lines.snippet("needle")).collect()]
+
+    def want(t):
+        data, at = t.encode(), max(0, t.encode().index(b"needle") - 120)
+        while at and data[at] & 0xC0 == 0x80:
+            at -= 1
+        rest = data[at:].decode()
+        return rest[:500], at > 0 or len(rest) > 500
+
+    assert got == [want(t) for t in rows]
+    assert [r[0].snippet for r in spark.createDataFrame([("x" * 300 + "NEEdle",)], "text string").select(lines.snippet("e+d", True, False)).collect()] == ["x" * 119 + "NEEdle"]
+
+
 def test_lines_and_search(spark):
     f = files(spark, a_dot_rs="alpha\r\nbeta alpha\n\ngamma", b__c_dot_rs="alpha\0alpha\nbeta\n", empty="")
     got = [(r.path, r.line, r.text) for r in lines.lines(f).orderBy("path", "line").collect()]
@@ -227,14 +240,36 @@ def test_suites(spark):
 
 
 def test_strict_grading():
-    assert grading.grade(["a", "b"], '{"answer": ["b", "a"]}', as_set=True)
-    assert not grading.grade(["a", "b"], '{"answer": ["b", "a"]}')
-    assert not grading.grade(["a"], '{"answer": ["a", "a"]}', as_set=True)
-    assert not grading.grade(1, '{"answer": true}') and grading.grade(1, '```json\n{"answer": 1}\n```')
-    assert not grading.grade(1, '{"answer": 1, "answer": 1}') and not grading.grade(1, "text {\"answer\": 1}")
+    def right(*args, **kw):
+        return grading.grade(*args, **kw).correct
+
+    assert right(["a", "b"], '{"answer": ["b", "a"]}', as_set=True) and not right(["a", "b"], '{"answer": ["b", "a"]}')
+    assert not right(["a"], '{"answer": ["a", "a"]}', as_set=True) and not right(1, '{"answer": 1.0}')
+    assert not right(1, '{"answer": true}') and not right(1, '{"answer": 1, "answer": 1}') and not right(1, 'text {"answer": 1}')
+    fenced = '```json\n{"answer": 1}\n```'
+    for version in (2, 3):  # text around one block is read, but isn't the format that was asked for
+        assert grading.grade(1, "It is\n" + fenced + "\nI think", version=version) == (True, False)
+        assert grading.grade(1, ' {"answer": 1} ', version=version) == (True, True)
+        assert grading.grade(1, fenced + "\n" + fenced, version=version) == (False, False)
+        assert grading.grade(1, '{"answer": NaN}', version=version) == (False, False)
+    quoted = "```python\nx = 1\n```\n" + fenced
+    assert not right(1, quoted, version=2) and right(1, quoted, version=3)
+    assert right(1, '{"answer": 2}', alternates=(2,))
     assert grading.lenient_answer('so {"answer": [1, 2]} it is') == [1, 2]
 
 
+def test_symbol_spellings():
+    index = {"handle": ["net/server.go", "net/client.go"], "from_db": ["db/base.py"], "main": ["src/uu/ls.rs", "src/uu/cat.rs"], "g": ["a.rs"]}
+    assert grading.resolve("net/server.go:(*Server).handle()", index) == ("net/server.go", "Server", "handle")
+    assert grading.resolve("base.py::Model.from_db", index) == ("db/base.py", "Model", "from_db")
+    assert grading.resolve("uu_ls::main", index) == ("src/uu/ls.rs", None, "main")
+    assert grading.resolve("handle", index) is None and grading.resolve("unknown", index) is None
+    assert grading.resolve("it is handle in net/client.go", index) == ("net/client.go", None, "handle")
+    assert grading.resolve("either g or from_db", index) is None
+    assert grading.credit("client.handle", "net/client.go::handle", index) == 1 and grading.credit("net/client.go::Other::handle", "net/client.go::Client::handle", index) == 0
+    assert grading.credit({"x": "a.rs::g"}, ["a.rs::g", "db/base.py::from_db"], index) == 0.5
+
+
 def test_credit():
     index = {"f": ["a.rs", "b.rs"], "g": ["a.rs"]}
     assert grading.credit(["a", "b", "x"], ["a", "b"]) == 0.5
@@ -242,12 +277,12 @@ def test_credit():
     assert grading.credit("calls g and b.rs::f", ["a.rs::g", "b.rs::f"], index) == 1.0
     assert grading.credit(None, None) == 1 and grading.credit("x", None) == 0
     assert grading.credit({"k": [1]}, [1]) == 1 and grading.credit({"a": 1, "b": 2}, {"a": 1, "b": 3}) == 0.5
-    assert grading.resolve("a.rs::f", index) == "a.rs::f" and grading.resolve("f", index) is None
+    assert grading.resolve("a.rs::f", index) == ("a.rs", None, "f") and grading.resolve("f", index) is None
 
 
 def test_grading_columns(spark):
     df = spark.createDataFrame([('{"answer": [1]}', '{"answer": [1]}'), ('{"answer": [1]}', None)], "gold string, reply string")
-    assert [tuple(r) for r in df.select(grading.graded(F.col("gold"), F.col("reply")), grading.credited(F.col("gold"), F.col("reply"))).collect()] == [(True, 1.0), (False, 0.0)]
+    assert [tuple(r) for r in df.select(grading.graded(F.col("gold"), F.col("reply")), grading.credited(F.col("gold"), F.col("reply"))).collect()] == [((True, True), 1.0), ((False, False), 0.0)]
 
 
 # ---- a source tree end to end ----

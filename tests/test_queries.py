@@ -62,5 +62,5 @@ def test_contrasts_cover_all_parts(spark, duck):
         for i in (1, 2, 3)
         if x[i] < y[i] and all(x[j] == y[j] for j in (1, 2, 3) if j != i)
     }
-    got = [tuple(r) for r in entry.queries()["one_factor_contrasts_all"](spark, SF).select("factor", "cell", "other_cell").collect()]
+    got = [tuple(r) for r in entry.queries()["one_factor_contrasts"](spark, SF).select("factor", "cell", "other_cell").collect()]
     assert want and len(got) == len(want) and set(got) == want
