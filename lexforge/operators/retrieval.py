@@ -12,34 +12,49 @@ from lexforge.operators.lines import lines, scope
 K1, B, FUSION_K, CANDIDATE_FILES, LINES_PER_FILE = 1.2, 0.75, 60, 400, 2048
 
 
+#: Stands once in every chunk's postings: it carries the chunk's length into the corpus figures.
+_CHUNK = "\0"
+
+
+def _tokens(chunks: DataFrame, key: str, text: str) -> DataFrame:
+    """doc, tokens: made once a row, whatever is asked of them later."""
+    return chunks.select(F.col(key).alias("doc"), concept_tokens(F.col(text)).alias("tokens"))
+
+
 def postings(chunks: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """doc, token, tf."""
-    tokens = chunks.select(F.col(key).alias("doc"), F.explode(concept_tokens(F.col(text))).alias("token"))
+    tokens = _tokens(chunks, key, text).select("doc", F.explode("tokens").alias("token"))
     return tokens.groupBy("doc", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def document_frequency(post: DataFrame) -> DataFrame:
-    return post.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+def token_frequency(chunks: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
+    """token, df (chunks that hold it), cf (times it stands in them): shuffled by token alone."""
+    one, none = F.lit(1), F.lit(0)
+    told = F.concat(
+        F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("token"), none.alias("c"), one.alias("d"))),
+        F.transform(F.col("tokens"), lambda t: F.struct(t.alias("token"), one.alias("c"), none.alias("d"))),
+    )
+    # an outer explode: the plain one would test the arrays' sizes first, and make the tokens twice for it
+    rows = _tokens(chunks, key, text).select(F.explode_outer(told).alias("t")).select("t.*").where("token IS NOT NULL")
+    return rows.groupBy("token").agg(F.sum("d").alias("df"), F.sum("c").alias("cf"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """query_id, doc, score of every chunk that shares a token with a query.
 
     ``queries``: query_id, text; its distinct tokens count.  Chunks without tokens aren't in the corpus.
+    One pass makes the tokens; frequencies, lengths and postings come from one exchange of those asked for.
     """
-    # Tokens are counted once per chunk, inside a row: only one row per distinct token is shuffled.
-    counted = chunks.select(F.col(key).alias("doc"), concept_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
-    counted = counted.withColumn("len", F.size("tokens"))
-    corpus = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct(concept_tokens(F.col("text")))).alias("token"))
-    wanted = asked.select("token").distinct()
-    post = (
-        counted.select("doc", "len", F.explode("tokens").alias("token"))
-        .join(wanted, "token", "left_semi")
-        .groupBy("token", "doc", "len")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    df = post.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    wanted = asked.select("token").union(asked.sparkSession.range(1).select(F.lit(_CHUNK))).distinct()
+    told = _tokens(chunks, key, text).select("doc", F.size("tokens").alias("len"), F.concat("tokens", F.array(F.lit(_CHUNK))).alias("tokens"))
+    post = told.select("doc", "len", F.explode_outer("tokens").alias("token")).join(wanted, "token", "left_semi")
+    post = post.groupBy("token", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
+    # all three read the same columns of the same exchange, so that it is made once
+    chunk = (F.col("token") == _CHUNK) & (F.col("len") > 0)
+    n = F.sum(F.when(chunk, F.col("tf")))
+    corpus = post.agg(n.alias("n"), (F.sum(F.when(chunk, F.col("len") * F.col("tf"))) / n).alias("avg_len"))
+    df = post.groupBy("token").agg(F.sum(F.when(F.col("len") > 0, F.least("tf", F.lit(1)))).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     scored = post.join(df, "token").join(F.broadcast(corpus)).withColumn("weight", weight)  # corpus is one row

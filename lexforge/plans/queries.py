@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexforge.functions.text import concept_tokens
 from lexforge.operators import graph, lines, measures, power, retrieval, sessions, suites
 from lexforge.operators.paging import page_per
+from lexforge.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,7 +47,7 @@ lens AS (SELECT doc, sum(tf) AS len FROM post GROUP BY doc)"""
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.concat_ws("/", "lang", "source", F.col("doc_id").cast("string")), F.lit(".txt"))
-    return table(spark, sf_dir, "documents").select(path.alias("path"), "doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select(path.alias("path"), "doc_id", "text"))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,7 @@ def corpus_cut(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT token, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM post GROUP BY token")
 def tokens_df(spark, sf_dir):
-    return retrieval.document_frequency(retrieval.postings(chunks(spark, sf_dir)))
+    return retrieval.token_frequency(chunks(spark, sf_dir))
 
 
 _BM25 = f"""WITH {TOKENS}, stat AS (SELECT count(*) AS n, avg(len) AS avg_len FROM lens),
@@ -182,7 +183,7 @@ _GOLD = "gold AS (SELECT item_id AS task_id, doc_id AS doc FROM benchmark b JOIN
 
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: a few hundred passages, each a literal, over one scan."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("task_id"), F.col("text").alias("passage"))
     # An equi-key first: the first three words of a passage stand in a row in the text.
     def threes(text):
@@ -192,8 +193,11 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # a passage may begin or end inside a word of the text: there its first whole words are the key
     key = F.element_at(threes(F.regexp_replace("passage", r"^\S*\s+", "")), 1)
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(threes(F.col("text")))).alias("key")).join(items.withColumn("key", key), "key")
-    return found.where(F.contains("text", F.col("passage"))).select("task_id", F.col("doc_id").alias("doc")).distinct()
+    keys = docs.select("doc_id", F.explode(F.array_distinct(threes(F.col("text")))).alias("key"))
+    # keys and ids meet first; a text moves once at most, and only to its few candidates
+    near = keys.join(items.withColumn("key", key), "key").select("doc_id", "task_id", "passage").distinct()
+    found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
+    return found.select("task_id", F.col("doc_id").alias("doc")).distinct()
 
 
 @query(
@@ -742,9 +746,15 @@ def symbol_sample(spark, sf_dir):
     return suites.unique_and_used(s, used, "name", "part")
 
 
+@query(f"WITH {TOKENS}, h AS (SELECT doc, tf, count(*) AS tokens FROM post GROUP BY ALL) SELECT doc, tf, tokens FROM h")
+def term_frequencies(spark, sf_dir):
+    """How many tokens stand so many times in a document."""
+    return retrieval.postings(chunks(spark, sf_dir)).groupBy("doc", "tf").agg(F.count(F.lit(1)).alias("tokens"))
+
+
 @query(f"WITH {TOKENS} SELECT doc AS doc_id, CAST(sum(tf) AS INTEGER) AS tokens, CAST(count(*) AS INTEGER) AS distinct_tokens FROM post GROUP BY doc")
 def token_counts(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").select("doc_id", concept_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
+    t = files(spark, sf_dir).select("doc_id", concept_tokens(F.col("text")).alias("t")).where(F.size("t") > 0)
     return t.select("doc_id", F.size("t").alias("tokens"), F.size(F.array_distinct("t")).alias("distinct_tokens"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +37,18 @@ class Session:
     enabled: tuple[str, ...] = OPERATIONS
     ranker: str = "lexical"
     semantic: Callable[[DataFrame, str, int], DataFrame] | None = None
+    _held: DataFrame | None = field(default=None, init=False, repr=False)
 
     def files(self) -> DataFrame:
         found = read_repo(self.spark, self.root, no_ignore=self.no_ignore)
         return found.select("path", "text", language(F.col("path")).alias("language"), family(F.col("path")).alias("family"))
 
+    def release(self) -> None:
+        """Give back what the last question kept in memory."""
+        if self._held is not None:
+            self._held.unpersist()
+            self._held = None
+
     def _allowed(self, name: str) -> None:
         if name not in self.enabled:
             raise ValueError(f"{name} isn't enabled")
@@ -80,7 +87,8 @@ class Session:
         """(files, symbols, refs) of the source files that hold a pattern: the filter comes before the parser."""
         files = self.files().where(F.col("language").isNotNull())
         some = files.where(F.col("text").rlike(pattern)) if pattern else files
-        rows = source.parse(some, references).persist()
+        self.release()
+        rows = self._held = source.parse(some, references).persist()
         return files, source.symbols(rows), source.refs(rows)
 
     def find_symbol(self, name: str, path: str | None = None, limit: int = 20, offset: int = 0) -> Page:
