@@ -5,6 +5,12 @@ of each.  Pieces come longest first, and each goes to the open bin that, under e
 leaves the smallest weighted norm of residuals (``rule="norm"``) or has the largest weighted
 dot-product with it (``rule="dot"``); if none has room, a bin is opened.
 
+By default a bin takes as many documents as it would take pieces of four ids, which binds only where
+such pieces fill whole bins, and the squared length of one full piece, which every piece has to fit:
+as squares add up to less than the square of their sum, that one never binds alone.  Both residuals
+weigh a quarter of the tokens' one in the choice of a bin, so that among bins left about equally
+full, documents and attention are spread.
+
 Pieces are dealt by a hash into shards of about ``shard_pieces`` pieces, packed independently, so
 memory is bounded and equal lengths never meet in one task.  A shard leaves about one bin partly
 filled, a share of less than 1 in 1000 of the bins at the default.
@@ -63,7 +69,11 @@ def token_pieces(
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(pieces, PIECES)
 
 
-def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attention: float, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
+#: Weights of the residual tokens, documents and attention cost.
+WEIGHTS = (1.0, 0.25, 0.25)
+
+
+def best_fit(lengths: np.ndarray, capacity: int, max_documents: int, max_attention: float, weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
     """(bin, offset) of each length; bins are numbered from 0 as they are opened."""
     if rule not in ("norm", "dot"):
         raise ValueError("rule is 'norm' or 'dot'")
@@ -104,16 +114,15 @@ def pack(
     capacity: int,
     max_documents: int | None = None,
     max_attention: float | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
     shard_pieces: int = 16384,
 ) -> DataFrame:
     """``pieces`` (columns of :data:`PIECES`) with sequence_id and offset.
 
-    The default capacities for documents and attention are those that a full bin of single ids and
-    a full bin of one piece need: they hold, but bind no sooner than the tokens do.
+    Without a number, ``max_documents`` is a quarter of ``capacity`` and ``max_attention`` its square.
     """
-    most_documents, most_attention = max_documents or capacity, max_attention or float(capacity) ** 2
+    most_documents, most_attention = max_documents or max(1, capacity // 4), max_attention or float(capacity) ** 2
     shards = max(1, math.ceil(pieces.count() / shard_pieces))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:

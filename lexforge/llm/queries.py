@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lexforge.llm import chat_format, exact_dedup, near_dedup, packing, piece_codec, quality, repeated_spans, token_records, toxicity, vector_graph
 from lexforge.llm._labels import fold
 from lexforge.shipping import ship
+from lexforge.sources.tables import spread
 
 
 def tokenizer_file(name: str) -> str:
@@ -24,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt over all cores, for the operators that run Python."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="largest").withColumnRenamed("id", "doc_id")
 
@@ -88,7 +94,7 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_char
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+    return near_dedup.near_groups(documents(spark, sf_dir), words=3, threshold=0.85)
 
 
 #: Bytes of a passage of fifty words of the shorter kind: op2 counts them beside the 400 bytes of its removal.
@@ -96,12 +102,12 @@ PASSAGE_BYTES = 200
 
 
 def op2_repeated_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans.removal_digests(table(spark, sf_dir, "documents"), length=400, passage=PASSAGE_BYTES)
+    return repeated_spans.removal_digests(documents(spark, sf_dir), length=400, passage=PASSAGE_BYTES)
 
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(
-        table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=2, split="byte"
+        documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"), end_id=2, split="byte"
     )
     return token_records.read_digests(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -112,17 +118,17 @@ def op5_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(
-        table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096
+        documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"), end_id=1, capacity=4096
     )
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_codec.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+    return piece_codec.encode_documents(documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.score_documents(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 5) != 0
+        documents(spark, sf_dir), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 5) != 0
     )
     return scores.select(
         "doc_id",
@@ -134,7 +140,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = quality.score_documents(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 4) != 2
+        documents(spark, sf_dir), table(spark, sf_dir, "labels"), usable=fold(F.col("id"), 4) != 2
     )
     return scores.select(
         "doc_id",

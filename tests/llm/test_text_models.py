@@ -86,8 +86,13 @@ def test_best_fit_keeps_every_constraint(rule):
 
 def test_best_fit_is_near_the_bound():
     lengths = np.random.default_rng(3).integers(5, 1500, 5000)
-    bins, _ = packing.best_fit(lengths, 4096, 4096, 4096.0**2)
+    bins, _ = packing.best_fit(lengths, 4096, 1024, 4096.0**2)
     assert bins.max() + 1 <= -(-lengths.sum() // 4096) + 2
+    # documents and attention take part in the choice of a bin, and the documents' capacity binds
+    by_tokens, _ = packing.best_fit(lengths, 4096, 1024, 4096.0**2, (1.0, 0.0, 0.0))
+    assert (bins != by_tokens).any() and by_tokens.max() == bins.max()
+    short, _ = packing.best_fit(np.full(4000, 2), 4096, 1024, 4096.0**2)
+    assert np.bincount(short).tolist() == [1024, 1024, 1024, 928]
 
 
 def test_pack_documents(spark):
