@@ -14,6 +14,8 @@ from lexforge.operators.paging import check_query, page_per, within_budget
 #: Bounds of a read.
 READ_DEFAULT_LINES, READ_MAX_LINES, READ_BYTES, READ_LINE_COST = 100, 500, 32 * 1024, 64
 MAX_PATTERNS = 8
+#: Lines of a ranked region, and characters of its excerpt.
+REGION_LINES, REGION_CHARS = 500, 500
 #: Syntax of Java's expressions that linear-time engines don't have.
 _REJECTED = re.compile(r"\(\?(?:[=!>]|<[=!])|\\[1-9]|[*+?}]\+|\\k<")
 
@@ -111,6 +113,19 @@ def read_source(files: DataFrame, path: str | None, start: int = 1, end: int | N
     return within_budget(some, read_cost(F.col("text")), [F.col("line")], budget, ["path"]).select("path", "line", "text")
 
 
+def excerpts(files: DataFrame, regions: DataFrame, chars: int = REGION_CHARS) -> DataFrame:
+    """path, start_line, end_line, excerpt, excerpt_truncated of regions: their current lines, cut to ``chars``.
+
+    A region ends 499 lines after its start at the latest.
+    """
+    clamped = F.least(F.col("end_line"), F.col("start_line") + REGION_LINES - 1)
+    wanted = regions.select("path", "start_line", clamped.alias("end_line")).distinct()
+    inside = lines(files).join(wanted, "path").where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    told = inside.groupBy("path", "start_line", "end_line").agg(body.alias("body"))
+    return told.select("path", "start_line", "end_line", F.substring("body", 1, chars).alias("excerpt"), (F.char_length("body") > chars).alias("excerpt_truncated"))
+
+
 def path_filter(files: DataFrame, include: list[str], exclude: list[str], suffixes: list[str]) -> DataFrame:
     """The cut of a corpus: below any included folder, below no excluded one, with one of the suffixes."""
     inside = F.lit(not include)

@@ -168,9 +168,14 @@ class Session:
         text = F.concat_ws(" ", "path", "container", "name", "body")
         return grouped.select(F.col("id").alias("doc"), "path", "start_line", "end_line", text.alias("text"))
 
-    def search_concept(self, query: str, path: str | None = None, limit: int = 10, offset: int = 0) -> Page:
-        """Definitions by lexical, semantic or fused rank; statistics are those of the candidate files."""
+    def search_concept(self, query: str, path: str | None = None, limit: int = 10, offset: int = 0, fields: tuple[str, ...] = ()) -> Page:
+        """Definitions by lexical, semantic or fused rank; statistics are those of the candidate files.
+
+        ``fields=("excerpt",)`` adds the beginning of each hit's current text.
+        """
         self._allowed("search_concept")
+        if set(fields) - {"excerpt"}:
+            raise ValueError("the only further field is excerpt")
         check_query(query)
         check_page(limit, offset)
         files = self.files().where(F.col("language").isNotNull())
@@ -191,9 +196,12 @@ class Session:
                 fused = retrieval.fuse(dense, ranked, ["path", "start_line"])
                 ends = dense.select("path", "start_line", "end_line").unionByName(ranked.select("path", "start_line", "end_line")).groupBy("path", "start_line").agg(F.min("end_line").alias("end_line"))
                 ranked = fused.join(ends, ["path", "start_line"])
-        shown = ranked.select("path", "start_line", "end_line", F.round("score", 6).alias("score"), "rank")
+        end = F.least(F.col("end_line"), F.col("start_line") + lines.REGION_LINES - 1).alias("end_line")
+        shown = ranked.select("path", "start_line", end, F.round("score", 6).alias("score"), "rank")
         found = page(shown, [F.col("rank")], limit, offset)
         self._label(found, files)
+        if fields:
+            self._quote(found, files)
         return fit(found, offset)
 
     def _label(self, found: Page, files: DataFrame) -> None:
@@ -210,6 +218,20 @@ class Session:
                 if label["span_line"] != r["start_line"]:
                     r["symbol_line"] = label["span_line"]
 
+    def _quote(self, found: Page, files: DataFrame) -> None:
+        """Each hit's excerpt, from the files as they are."""
+        if not found.results:
+            return
+        regions = self.spark.createDataFrame([(r["path"], int(r["start_line"]), int(r["end_line"])) for r in found.results], "path string, start_line int, end_line int")
+        some = files.join(F.broadcast(regions.select("path").distinct()), "path", "left_semi")  # a page of paths
+        told = {(r["path"], r["start_line"], r["end_line"]): r for r in lines.excerpts(some, regions).collect()}
+        for r in found.results:
+            row = told.get((r["path"], r["start_line"], r["end_line"]))
+            if row is not None:
+                r["excerpt"] = row["excerpt"]
+                if row["excerpt_truncated"]:
+                    r["excerpt_truncated"] = True
+
     def locate(self, path: str, line: int) -> dict | None:
         """The innermost definition around a line."""
         rows = source.symbols(source.parse(self.files().where(F.col("path") == path)))

@@ -181,6 +181,18 @@ def match_snippets(spark, sf_dir):
     return found.select("path", "line", lines.snippet(pattern, regex=True).alias("s")).select("path", "line", "s.snippet", "s.truncated")
 
 
+@query(
+    f"""WITH {FILES}, r AS (SELECT path, CAST(doc_id % 3 + 1 AS INTEGER) AS start_line, CAST(doc_id % 3 + 1 + CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 499 END AS INTEGER) AS end_line FROM files),
+b AS (SELECT r.path, start_line, end_line, string_agg(text, chr(10) ORDER BY line) AS body FROM r JOIN lines l ON l.path = r.path AND l.line BETWEEN start_line AND end_line GROUP BY ALL)
+SELECT path, start_line, end_line, substr(body, 1, 500) AS excerpt, length(body) > 500 AS excerpt_truncated FROM b"""
+)
+def region_excerpts(spark, sf_dir):
+    f, k = files(spark, sf_dir), F.col("doc_id")
+    start = (k % 3 + 1).cast("int")
+    regions = f.select("path", start.alias("start_line"), (start + F.when(k % 2 == 0, 2).otherwise(9999)).alias("end_line"))
+    return lines.excerpts(f, regions)
+
+
 # ---- call graph --------------------------------------------------------------------------------
 
 

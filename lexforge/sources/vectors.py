@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,6 +35,28 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]])
     return chunks.select("key", "text").mapInPandas(run, "key string, embedding array<double>")
 
 
+def http_embedder(url: str, model: str, timeout: float = 120.0, most_bytes: int = 8 << 20) -> Callable[[list[str]], list[list[float]]]:
+    """An embedder that posts ``{"model", "input", "truncate": false}`` as JSON and reads ``{"embeddings"}``.
+
+    It is called where the chunks are, by the tasks; no proxy is used, and a reply that is too long,
+    no JSON or without a vector for each text is an error.
+    """
+
+    def ask(texts: list[str]) -> list[list[float]]:
+        body = json.dumps({"model": model, "input": texts, "truncate": False}).encode()
+        request = urllib.request.Request(url, body, {"Content-Type": "application/json"})
+        with urllib.request.build_opener(urllib.request.ProxyHandler({})).open(request, timeout=timeout) as reply:
+            data = reply.read(most_bytes + 1)
+        if len(data) > most_bytes:
+            raise ValueError("the reply is too long")
+        vectors = json.loads(data).get("embeddings")
+        if not isinstance(vectors, list) or len(vectors) != len(texts):
+            raise ValueError(f"{len(texts)} texts, {len(vectors) if isinstance(vectors, list) else 'no'} vectors")
+        return vectors
+
+    return ask
+
+
 class VectorCache:
     """Vectors by content key and identity of the embedder, as a Parquet table.
 
