@@ -135,6 +135,21 @@ def _checkpoints(spark) -> bool:
     return context.getCheckpointDir() is not None
 
 
+#: Characters at the beginning of a name by which names that hold it are found.
+_BEGINNING = 3
+
+
+def _beginning(name: Column) -> Column:
+    return F.substring(name, 1, _BEGINNING)
+
+
+def _grams(name: Column) -> Column:
+    """Whatever the beginning of a name inside this one can be: its distinct parts of that length or less."""
+    places = F.sequence(F.lit(1), F.greatest(F.char_length(name), F.lit(1)))
+    parts = F.transform(places, lambda i: F.array(*(F.substring(name, i, F.lit(k)) for k in range(1, _BEGINNING + 1))))
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(parts)))
+
+
 def nearest_names(names: DataFrame, wanted: DataFrame, k: int = NEAREST) -> DataFrame:
     """For each wanted name the closest known names: wanted, name, score, rank.
 
@@ -151,9 +166,12 @@ def nearest_names(names: DataFrame, wanted: DataFrame, k: int = NEAREST) -> Data
     asked = wanted.select(F.col("name").alias("wanted")).distinct()
     asked_tokens = asked.select("wanted", F.explode(F.array_distinct(concept_tokens(F.col("wanted")))).alias("token"))
     shared = tokens.join(df, "token").join(asked_tokens, "token").select("wanted", "name", "w")
-    # a stated set of asked names against all known ones: the asked side is broadcast only if small
+    # The longer name holds the beginning of the shorter one: equal keys first, then the whole names.
     low_known, low_asked = F.lower("name"), F.lower("wanted")
-    inside = known.join(asked, F.contains(low_known, low_asked) | F.contains(low_asked, low_known)).join(F.broadcast(n))
+    around = known.select("name", F.explode(_grams(low_known)).alias("key")).join(asked.select("wanted", _beginning(low_asked).alias("key")), "key")
+    within = known.select("name", _beginning(low_known).alias("key")).join(asked.select("wanted", F.explode(_grams(low_asked)).alias("key")), "key")
+    held = around.where(F.contains(low_known, low_asked)).union(within.where(F.contains(low_asked, low_known)))
+    inside = held.select("wanted", "name").distinct().join(F.broadcast(n))
     both = shared.unionByName(inside.select("wanted", "name", F.col("n").alias("w")))
     scored = both.groupBy("wanted", "name").agg(F.sum("w").alias("score"))
     rank = F.row_number().over(Window.partitionBy("wanted").orderBy(F.desc("score"), "name"))

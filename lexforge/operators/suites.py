@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 def plan(tasks: DataFrame, systems: DataFrame, repetitions: int, seed: int) -> DataFrame:
     """Every repetition of every task on every system, with a place drawn from the seed.
 
-    A plan is this product by definition; systems and repetitions are a handful.
+    A plan is this product by definition; how it is made is left to the sizes of its sides.
     """
     reps = F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("repetition")
-    cells = tasks.select("*", reps).join(F.broadcast(systems))
+    cells = tasks.select("*", reps).crossJoin(systems)
     digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in cells.columns]), 256)
     return cells.withColumn("draw", digest)
 
@@ -23,7 +23,7 @@ def one_factor_contrasts(cells: DataFrame, factors: list[str]) -> DataFrame:
     for factor in factors:
         rest = [f for f in factors if f != factor]
         other = cells.select(*rest, F.col(factor).alias("other"), F.col("cell").alias("other_cell"))
-        found = cells.join(other, rest) if rest else cells.join(F.broadcast(other))
+        found = cells.join(other, rest) if rest else cells.crossJoin(other)
         found = found.where(F.col(factor) < F.col("other")).select(F.lit(factor).alias("factor"), "cell", "other_cell")
         out = found if out is None else out.unionByName(found)
     return out

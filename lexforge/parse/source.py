@@ -384,14 +384,15 @@ def go_packages(calls: DataFrame, go_imports: DataFrame, module: str | None) ->
 
 
 def budgeted(files: DataFrame, most_files: int = 20_000, most_bytes: int = 128 << 20) -> DataFrame:
-    """The leading files, by path, that an index may hold; a column says whether any were left out.
+    """The leading files, by path, that an index may hold.
 
-    The order is global by nature; only paths and sizes go through the one window.
+    The order is global by nature, but only paths and sizes are ordered, each partition gives its first
+    ``most_files`` at most, and the running total is of these alone.
     """
     from pyspark.sql import Window
 
-    w = Window.orderBy(F.split("path", "/")).rowsBetween(Window.unboundedPreceding, 0)
-    sizes = files.select("path", F.octet_length("text").alias("bytes"))
-    placed = sizes.withColumn("at", F.row_number().over(Window.orderBy(F.split("path", "/")))).withColumn("total", F.sum("bytes").over(w))
-    kept = placed.where((F.col("at") <= most_files) & (F.col("total") <= most_bytes)).select("path")
+    order = F.split("path", "/")
+    leading = files.select("path", F.octet_length("text").alias("bytes")).orderBy(order).limit(most_files)
+    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    kept = leading.withColumn("total", F.sum("bytes").over(w)).where(F.col("total") <= most_bytes).select("path")
     return files.join(kept, "path", "left_semi")

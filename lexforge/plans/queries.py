@@ -125,9 +125,12 @@ def read_budget(spark, sf_dir):
 
 
 @query(
-    """WITH e AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, lang || '/' || source AS folder, sha256(text) AS digest FROM documents),
-f AS (SELECT folder, sha256(string_agg(path || ' ' || digest, chr(10) ORDER BY path || ' ' || digest)) AS digest FROM e GROUP BY folder)
-SELECT sha256(string_agg(folder || ' ' || digest, chr(10) ORDER BY folder || ' ' || digest)) AS fingerprint FROM f"""
+    """WITH e AS (SELECT lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, sha256(text) AS digest FROM documents),
+l AS (SELECT substr(sha256(path), 1, 6) AS node, path || ' ' || digest AS entry FROM e),
+l6 AS (SELECT node, node || ' ' || sha256(string_agg(entry, chr(10) ORDER BY entry)) AS entry FROM l GROUP BY node),
+l4 AS (SELECT node[:4] AS node, node[:4] || ' ' || sha256(string_agg(entry, chr(10) ORDER BY entry)) AS entry FROM l6 GROUP BY node[:4]),
+l2 AS (SELECT node[:2] AS node, node[:2] || ' ' || sha256(string_agg(entry, chr(10) ORDER BY entry)) AS entry FROM l4 GROUP BY node[:2])
+SELECT sha256(string_agg(entry, chr(10) ORDER BY entry)) AS fingerprint FROM l2"""
 )
 def corpus_fingerprint(spark, sf_dir):
     return lines.fingerprint(files(spark, sf_dir))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import grading, text
 from lexforge.operators import graph, lines, measures, paging, power, retrieval, sessions, suites
+from lexforge.parse import source
 from lexforge.plans import compose, render
 from lexforge.plans.session import Session
 
@@ -168,6 +169,43 @@ def test_nearest_names_and_locate(spark):
     assert {(x.path, x.line): x.span_name for x in graph.locate(pts, spans, ["path"]).collect()} == {("a", 4): "inner", ("a", 9): "outer", ("b", 1): None}
 
 
+def test_contained_names_equal_brute_force(spark):
+    known = ["", "a", "ab", "abc", "xabcx", "Abcdef", "été", "l'été", "get", "get_all", "getter", "zz"]
+    asked = ["", "A", "bc", "abcd", "ABCDEFG", "ét", "get", "target", "nothing"]
+    names = spark.createDataFrame([(k,) for k in [*known, "get", None]], "name string")
+    wanted = spark.createDataFrame([(a,) for a in [*asked, "get", None]], "name string")
+    got = graph.nearest_names(names, wanted, k=100).collect()
+    n = len(known) + 1  # the unnamed one counts
+    held = {(a, k) for a in asked for k in known if a.lower() in k.lower() or k.lower() in a.lower()}
+    assert {(r.wanted, r.name) for r in got if r.score >= n} == held
+    assert len(got) == len({(r.wanted, r.name) for r in got})
+    assert graph.nearest_names(names.where("false"), wanted).count() == 0
+
+
+def test_fingerprint_depends_on_paths_and_contents_alone(spark):
+    rows = [(f"d{i % 3}/f{i}", str(i)) for i in range(40)]
+
+    def told(some):
+        return lines.fingerprint(spark.createDataFrame(some, "path string, text string")).head()[0]
+
+    first = told(rows)
+    assert told(rows[::-1]) == first
+    assert len({first, told(rows[1:]), told([*rows[1:], ("d0/f0", "x")]), told([*rows[1:], ("d0/g0", "0")]), told([])}) == 5
+    assert told([("a", None)]) == told([("a", "")])
+
+
+def test_index_budgets(spark):
+    tree = spark.createDataFrame([("b/z", "xxxx"), ("a", "xx"), ("b", "xx"), ("b/a", "xx"), ("c", "x")], "path string, text string")
+
+    def kept(most_files, most_bytes):
+        return sorted(r.path for r in source.budgeted(tree, most_files, most_bytes).collect())
+
+    assert kept(10, 100) == ["a", "b", "b/a", "b/z", "c"]
+    assert kept(3, 100) == ["a", "b", "b/a"]
+    assert kept(10, 6) == ["a", "b", "b/a"]
+    assert kept(10, 9) == ["a", "b", "b/a"] and kept(0, 9) == []
+
+
 # ---- sessions ----
 
 
