@@ -16,6 +16,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -45,6 +46,39 @@ _NOT_CALLS = frozenset(
     "defined assert super yield delete case import export class struct enum interface def lambda".split()
 )
 
+#: Words of each family that are no identifiers (keywords, primitive types, literals).
+_RESERVED = {
+    "rust": frozenset(
+        "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self static "
+        "struct super trait true type unsafe use where while bool char str i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64".split()
+    ),
+    "ecmascript": frozenset(
+        "break case catch class const continue debugger default delete do else enum export extends false finally for function if implements import in "
+        "instanceof interface let new null private protected public return static super switch this throw true try typeof undefined var void while with "
+        "yield".split()
+    ),
+    "go": frozenset(
+        "break case chan const continue default defer else fallthrough false for func go goto if import interface iota map nil package range return select "
+        "struct switch true type var".split()
+    ),
+    "java": frozenset(
+        "abstract assert boolean break byte case catch char class continue default do double else enum extends false final finally float for if implements "
+        "import instanceof int interface long native new null package private protected public return short static strictfp super switch synchronized this "
+        "throw throws transient true try void volatile while".split()
+    ),
+    "c": frozenset(
+        "alignas alignof auto bool break case catch char class concept const constexpr const_cast continue co_await co_return co_yield decltype default delete "
+        "do double dynamic_cast else enum explicit export extern false final float for friend goto if inline int long mutable namespace new "
+        "noexcept nullptr NULL operator override private protected public register reinterpret_cast requires restrict return short signed sizeof size_t static "
+        "static_assert static_cast struct switch template this throw true try typedef typename union unsigned using virtual void volatile while "
+        "int8_t int16_t int32_t int64_t uint8_t uint16_t uint32_t uint64_t".split()
+    ),
+}
+
+#: Words that are reserved in some places only: types, and modifiers before another word.
+_SCRIPT_TYPES = frozenset("any bigint boolean never number object string symbol unknown".split())
+_SCRIPT_MODIFIERS = frozenset("abstract as async await declare from get infer is keyof module namespace of override readonly satisfies set type".split())
+
 _ID = r"[A-Za-z_$][\w$]*"
 #: kind -> pattern of a definition; the group "name" is its name.
 _DEFINITIONS = {
@@ -65,7 +99,7 @@ _DEFINITIONS = {
         ("interface", rf"\binterface\s+(?P<name>{_ID})"),
         ("type", rf"\btype\s+(?P<name>{_ID})\s*(?:<[^=]*>)?\s*="),
         ("enum", rf"\benum\s+(?P<name>{_ID})"),
-        ("variable", rf"\b(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|class\b|\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n{{]+)?=>|{_ID}\s*=>)"),
+        ("variable", rf"\b(?:const|let|var)\s+(?P<name>{_ID})\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b|class\b|(?:<[^>(]*>\s*)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^=\n{{]+)?=>|{_ID}\s*=>)"),
         ("method", rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?:(?:public|private|protected|static|async|override|readonly|abstract|get|set)\s+)*\*?#?(?P<name>{_ID})\s*(?:<[^>(]*>)?\([^;{{}}]*\)\s*(?::[^;{{}}=]+)?(?=\{{)"),
     ],
     "go": [
@@ -78,7 +112,7 @@ _DEFINITIONS = {
         ("class", rf"\b(?:class|record)\s+(?P<name>{_ID})"),
         ("interface", rf"@?\binterface\s+(?P<name>{_ID})"),
         ("enum", rf"\benum\s+(?P<name>{_ID})"),
-        ("method", rf"(?m)^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>{{;]+>\s*)?(?:[\w$.<>\[\],? ]+?\s+)?(?P<name>{_ID})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w$., ]+)?(?=[{{;])"),
+        ("method", rf"(?m)(?:^|(?<=[{{}};]))[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*(?:<[^>{{;]+>\s*)?(?:[\w$.<>\[\],? ]+?\s+)?(?P<name>{_ID})\s*\([^;{{}}]*\)\s*(?:throws\s+[\w$., ]+)?(?=[{{;])"),
     ],
     "c": [
         ("macro", rf"(?m)^[ \t]*#[ \t]*define[ \t]+(?P<name>{_ID})\("),
@@ -100,7 +134,7 @@ _IMPORTS = {
 }
 _CALL = re.compile(rf"(?P<new>\bnew\s+)?(?P<full>(?:{_ID}(?:\.|::|->|\?\.))*(?P<name>~?{_ID}))(?:::<[^>(]*>|<[\w$, .\[\]?]*>)?(?P<bang>!)?\s*\(")
 _NEW_ONLY = re.compile(rf"\bnew\s+(?:{_ID}\.)*(?P<name>{_ID})\b(?!\s*[(<.])")
-_WORD = re.compile(_ID)
+_WORD = re.compile(rf"(?<![\w$]){_ID}")
 _JS_ENDS = ("ts", "tsx", "js", "jsx", "mts", "cts", "mjs", "cjs")
 
 
@@ -209,10 +243,15 @@ def _python(path: str, text: str) -> Parsed:
                 target = node.module if not node.level else "." + (node.module or "")
                 out.imports.append({"path": path, "line": node.lineno, "statement": statement[:EXCERPT_CHARS], "candidate_files": import_candidates("python", path, target or "")})
             return
-        if isinstance(node, ast.arguments):  # names of parameters aren't uses; their defaults may hold some
-            for child in [*node.defaults, *node.kw_defaults]:
-                if child is not None:
-                    visit(child, owner, container, depth + 1)
+        if isinstance(node, ast.Lambda):
+            for child in [*node.args.defaults, *filter(None, node.args.kw_defaults), node.body]:
+                visit(child, owner, container, depth + 1)
+            return
+        if isinstance(node, ast.arguments):  # what parameters hold are no uses, but calls in defaults count
+            before = len(out.refs)
+            for child in [*node.defaults, *filter(None, node.kw_defaults)]:
+                visit(child, owner, container, depth + 1)
+            out.refs[before:] = [r for r in out.refs[before:] if r["kind"] == "call"]
             return
         if isinstance(node, ast.Call):
             target = node.func
@@ -236,6 +275,55 @@ def _python(path: str, text: str) -> Parsed:
     return out
 
 
+def _closing(bare: str, at: int) -> int:
+    """The offset after the parenthesis that closes the one at ``at``."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(bare, at):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return m.end()
+    return len(bare)
+
+
+_TYPE_PARAMETERS = re.compile(r"\s*<[^<>(){};]*(?:<[^<>(){};]*>[^<>(){};]*)*>")
+_ASSIGNED = re.compile(r"\s*(?::[^=\n]+)?=\s*(?:async\s*)?(?:function\b\s*\*?\s*[\w$]*)?")
+_IMPL = re.compile(r"(?:unsafe\s+)?impl\b")
+
+
+def _is_script_word(bare: str, word: re.Match) -> bool:
+    """Whether a word of a script is the name of a property, a type of the language or a modifier."""
+    before = bare[max(0, word.start() - 20) : word.start()]
+    if before.endswith((".", "#")) and not before.endswith("..."):
+        return True
+    if word[0] in _SCRIPT_TYPES:
+        return re.search(r"(?:[:<|&]|\bas|\bis)\s*$", before) is not None
+    return word[0] in _SCRIPT_MODIFIERS and re.match(r"[ \t]+(?!(?:as|of|in|is|satisfies|instanceof)\b)[\w$({<\[\"'`]", bare[word.end() : word.end() + 20]) is not None
+
+
+def _declared(bare: str, family: str, kind: str, start: int, name: int, size: int) -> list[tuple[int, int]]:
+    """Ranges of the parameters (types of them too) that a definition declares."""
+    spans, at = [], name + size
+    if kind == "impl":
+        head = _IMPL.match(bare, start)
+        generic = head and _TYPE_PARAMETERS.match(bare, head.end())
+        return [generic.span()] if generic else []
+    if family == "go" and kind == "method":
+        spans.append((start, name))  # the receiver
+    if kind == "variable":
+        at = _ASSIGNED.match(bare, at).end() if _ASSIGNED.match(bare, at) else at
+    if generic := _TYPE_PARAMETERS.match(bare, at):
+        spans.append(generic.span())
+        at = generic.end()
+    if kind in ("function", "method", "variable", "macro"):
+        opened = re.compile(r"\s*\(").match(bare, at)
+        while opened:
+            end = _closing(bare, opened.end() - 1)
+            spans.append((opened.start(), end))
+            # results of Go in parentheses are declared like parameters
+            opened = re.compile(r"[ \t]*\(").match(bare, end) if family == "go" else None
+    return spans
+
+
 def _braces(path: str, text: str, family: str) -> Parsed:
     bare = without_literals(text, family)
     if family == "rust":  # arguments of macros are invisible
@@ -247,7 +335,7 @@ def _braces(path: str, text: str, family: str) -> Parsed:
     for kind, pattern in _DEFINITIONS[family]:
         for m in re.finditer(pattern, bare):
             name = m["name"]
-            if name in _NOT_CALLS or len(name) > MAX_NAME or m.start("name") in names and kind != "impl":
+            if name in _NOT_CALLS or name in _RESERVED[family] or len(name) > MAX_NAME or m.start("name") in names and kind != "impl":
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             k = bisect_right(opens, m.end() - 1) if not bare[m.end() - 1 : m.end()] == "{" else bisect_right(opens, m.end() - 2)
@@ -260,7 +348,7 @@ def _braces(path: str, text: str, family: str) -> Parsed:
                 end = m.end()
                 while shown.line(shown.at(end)[0]).endswith("\\") and shown.at(end)[0] < len(shown.starts):
                     end = shown.starts[shown.at(end)[0]]
-            if kind == "method" and family == "java" and end == m.end() and re.match(r"\s*(return|new|throw)\b", m[0]):
+            if kind == "method" and family == "java" and end == m.end() and re.match(r"\s*(return|new|throw|else|do|assert|yield)\b", m[0]):
                 continue
             if kind == "method" and family == "java" and end == m.end() and not re.search(rf"[\w>\]]\s+{re.escape(name)}\s*\(", m[0]):
                 continue  # a call as a statement
@@ -295,7 +383,7 @@ def _braces(path: str, text: str, family: str) -> Parsed:
         before = bare[max(0, at - 12) : at]
         if name[0] == "~" and m["full"] == name:
             continue  # a destructor's declaration
-        if name in _NOT_CALLS or at in names or m["bang"] or re.search(r"\b(fn|func|function|def)\s+$", before):
+        if name in _NOT_CALLS or name in _RESERVED[family] or at in names or m["bang"] or re.search(r"\b(fn|func|function|def)\s+$", before):
             continue
         line, column = shown.at(at)
         taken.add(at)
@@ -315,9 +403,21 @@ def _braces(path: str, text: str, family: str) -> Parsed:
             "path": path, "line": shown.at(m.start() + len(m[0]) - len(m[0].lstrip()))[0], "statement": statement[:EXCERPT_CHARS],
             "candidate_files": import_candidates(family, path, target, "mod" if "mod" in g else ""),
         })
+    for start, _, kind, name, _, at in found:
+        spans += _declared(bare, family, kind, start, at, len(name))
+    if family in ("go", "java"):
+        spans += [m.span() for m in re.finditer(r"(?m)^[ \t]*package\s+[\w.]+", bare)][:1]
+    spans.sort()
+    reach = list(accumulate((e for _, e in spans), max))
+    begins = [b for b, _ in spans]
     for m in _WORD.finditer(bare):
         at = m.start()
-        if at in taken or at in names or m[0] in _NOT_CALLS or len(m[0]) > MAX_NAME or any(s <= at < e for s, e in spans):
+        if at in taken or at in names or m[0] in _RESERVED[family] or len(m[0]) > MAX_NAME:
+            continue
+        k = bisect_right(begins, at)
+        if k and at < reach[k - 1]:
+            continue  # in an import or among declared parameters
+        if family == "ecmascript" and _is_script_word(bare, m) or family == "c" and re.search(r"#[ \t]*$", bare[max(0, at - 20) : at]):
             continue
         if len(out.refs) > MAX_NODES:
             break

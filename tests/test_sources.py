@@ -152,3 +152,21 @@ def test_meter_stream(spark, tmp_path):
         q.awaitTermination(120)
     assert [r.forwarded for r in spark.table("metered").orderBy("sequence").collect()] == [True, True, False, False]
     assert [r.sequence for r in spark.table("violations").orderBy("sequence").collect()] == [1, 2]
+
+
+def test_references_leave_out_parameters_and_reserved_words():
+    """What parameters declare, types of the language, modifiers and names of properties aren't uses."""
+
+    def uses(path, text):
+        return [r["name"] for r in parse_text(path, text).refs if r["kind"] == "possible_reference"]
+
+    assert uses("a.ts", "const f = async <T>(a: Foo, b = bar()): Promise<string> => { const q: number = a.b + 0x1F; return g(type as any, ...rest); };\n") == ["Promise", "q", "a", "type", "rest"]
+    assert uses("b.rs", "impl<T: Clone> Foo<T> for Bar<T> {\n    fn go<U>(&self, x: Vec<u8>) -> Option<Baz> { let y: Qux = x; y }\n}\n") == ["Foo", "T", "T", "Option", "Baz", "y", "Qux", "x", "y"]
+    assert uses("c.go", "package m\nfunc (t *T) Do(a int) (n int, err error) { return a, nil }\n") == ["a"]
+    java = parse_text("F.java", "class F { void a() { if (x) b(); else c(); synchronized (this) { d(); } } }\n")
+    assert [x["name"] for x in java.symbols] == ["F", "a"] and [r["name"] for r in java.refs if r["kind"] == "call"] == ["b", "c", "d"]
+    assert uses("E.java", "package p.q;\nclass E { Foo run(int x) { return this.make(x, y); } }\n") == ["Foo", "x", "y"]
+    assert uses("d.c", "#ifdef A\nstatic struct inode *get(struct inode *p) { int i = 0; return find(p, include); }\n#endif\n") == ["A", "inode", "i", "p", "include"]
+    e = parse_text("e.py", "def f(a: X = y, *, k=make(z)) -> R:\n    g = lambda q=w: q + a\n")
+    assert [(r["kind"], r["name"]) for r in e.refs if r["line"] == 1] == [("call", "make"), ("possible_reference", "R")]
+    assert [r["name"] for r in e.refs if r["line"] == 2] == ["g", "w", "q", "a"]
