@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import chat_format, exact_dedup, near_dedup, packing, piece_codec, quality, repeated_spans, token_records, toxicity, vector_graph
+from lexforge.llm import (
+    chat_format,
+    exact_dedup,
+    label_shards,
+    near_dedup,
+    packing,
+    periodic_runs,
+    piece_codec,
+    quality,
+    repeated_spans,
+    token_records,
+    toxicity,
+    vector_codes,
+    vector_graph,
+)
 from lexforge.llm._labels import fold
 from lexforge.shipping import ship
 from lexforge.sources.tables import spread
@@ -150,6 +164,79 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.code_vectors(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+    return vector_codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_digest(books)).alias("codebooks_sha256")
+    )
+
+
+def _op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds written out: an assignment and a mean for each."""
+    steps = [
+        """q AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c AS MATERIALIZED (
+  SELECT vec_id, part, i - part * w AS pos, v[i + 1] AS x
+  FROM (SELECT vec_id, v, len(v) // {parts} AS w, unnest(range(len(v))) AS i FROM q), range({parts}) AS p(part)
+  WHERE i // w = part)""",
+        f"""b0 AS MATERIALIZED (
+  SELECT part, rank - 1 AS entry, pos, x FROM c
+  JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS rank FROM q ORDER BY vec_id LIMIT {entries}) USING (vec_id))""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""d{k} AS MATERIALIZED (
+  SELECT c.vec_id, c.part, entry, CAST(sum((c.x - b.x) * (c.x - b.x)) AS BIGINT) AS far
+  FROM c JOIN b{k} AS b ON c.part = b.part AND c.pos = b.pos GROUP BY c.vec_id, c.part, entry),
+a{k} AS MATERIALIZED (
+  SELECT vec_id, part, min(far) AS far, arg_min(entry, far * {entries} + entry) AS entry FROM d{k} GROUP BY vec_id, part)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (
+  SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{k} AS b LEFT JOIN (
+    SELECT part, entry, pos, CAST(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*) AS BIGINT) // count(*) AS x
+    FROM c JOIN a{k} USING (vec_id, part) GROUP BY part, entry, pos) AS m USING (part, entry, pos))""")
+    return f"""
+WITH {", ".join(steps)},
+r AS (
+  SELECT vec_id, string_agg(lpad(to_hex(entry), 2, '0'), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+s AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM r JOIN q USING (vec_id), s
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = label_shards.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document (by its hash) repeats its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    at = split.withColumn("n", n).where("n > 0").withColumn("g", g).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    at = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
+    other = split.where("words IS NULL OR size(words) = 0").select("doc_id", "text")
+    return other.unionByName(at.select("doc_id", changed.alias("text")))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(planted_periods(documents(spark, sf_dir)))
+    return found.withColumnRenamed("id", "doc_id").drop("n_words", "runs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": op1_near_dedup,
@@ -162,8 +249,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_quality": op9_quality,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_label_shards": op12_label_shards,
+        "op13_periodic_runs": op13_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op8_chat_format": OP8_SQL, "op10_exact_dedup": OP10_SQL, "op11_vector_codes": OP11_SQL}
