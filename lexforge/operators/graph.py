@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.intervals import best_around, point_nodes, range_nodes
 from lexforge.operators.lines import path_order, scope
 
 #: Rows per relation in an inspection, and caps of caller pages.
@@ -193,31 +194,39 @@ def file_relationships(refs: DataFrame, symbols: DataFrame, name: str, imports:
 def locate(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "line") -> DataFrame:
     """Each point with the innermost span around it: shortest first, then by name; null without one.
 
-    ``keys`` (a path, say) are compared for equality, so the join is a hash or sort-merge join.
+    Spans are aggregated per dyadic node before they meet the points, so deep nesting makes no pairs.
     """
-    marked = points.withColumn("__point", F.xxhash64(*[F.col(c) for c in points.columns]))
     inner = spans.select(*keys, F.col("name").alias("span_name"), F.col("line").alias("span_line"), F.col("end_line").alias("span_end"))
-    around = marked.join(inner, keys).where(F.col(at).between(F.col("span_line"), F.col("span_end")))
-    best = around.groupBy("__point").agg(F.min(F.struct((F.col("span_end") - F.col("span_line")).alias("size"), "span_name", "span_line", "span_end")).alias("s"))
-    return marked.join(best, "__point", "left").select(*points.columns, "s.span_name", "s.span_line", "s.span_end")
+    shortest = F.struct((F.col("span_end") - F.col("span_line")).alias("size"), "span_name", "span_line", "span_end")
+    best = best_around(points, inner, keys, at, "span_line", "span_end", shortest, "s")
+    return points.join(best, [*keys, at], "left").select(*points.columns, "s.span_name", "s.span_line", "s.span_end")
+
+
+def _calls_inside(symbols: DataFrame, sites: DataFrame) -> DataFrame:
+    """path, name, line, end_line, called, calls: the names called inside each span, with the number of sites.
+
+    Sites of one name are counted per dyadic node before they meet the spans.
+    """
+    own = symbols.select("path", "name", "line", "end_line").distinct()
+    nodes = point_nodes(sites, "at", own, "line", "end_line").groupBy("path", "level", "node", "called").agg(F.count(F.lit(1)).alias("n"))
+    met = range_nodes(own, "line", "end_line").join(nodes, ["path", "level", "node"])
+    return met.groupBy("path", "name", "line", "end_line", "called").agg(F.sum("n").alias("calls"))
 
 
 def calls_within(symbols: DataFrame, refs: DataFrame) -> DataFrame:
     """Definitions with the number of call sites inside their span, and the distinct names called."""
     sites = refs.where("kind = 'call'").select("path", F.col("line").alias("at"), F.col("name").alias("called"))
-    joined = symbols.join(sites, "path", "left").where(F.col("at").isNull() | F.col("at").between(F.col("line"), F.col("end_line")))
-    counts = joined.groupBy("path", "name", "line", "end_line").agg(F.count("at").alias("calls"), F.array_sort(F.collect_set("called")).alias("names"))
-    none = symbols.select("path", "name", "line", "end_line").join(counts, ["path", "name", "line", "end_line"], "left_anti")
-    empty = none.select("*", F.lit(0).cast("long").alias("calls"), F.array().cast("array<string>").alias("names"))
-    return counts.unionByName(empty)
+    spans = ["path", "name", "line", "end_line"]
+    found = _calls_inside(symbols, sites).groupBy(*spans).agg(F.sum("calls").alias("calls"), F.array_sort(F.collect_set("called")).alias("names"))
+    every = symbols.select(*spans).distinct().join(found, spans, "left")
+    return every.select(*spans, F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("names", F.array().cast("array<string>")).alias("names"))
 
 
 def calls_among(symbols: DataFrame, refs: DataFrame, names: DataFrame) -> DataFrame:
     """Which of some names (column name) each definition's body calls: path, name, line, end_line, called."""
     wanted = names.select(F.col("name").alias("called")).distinct()
     sites = refs.where("kind = 'call'").select("path", F.col("line").alias("at"), F.col("name").alias("called")).join(wanted, "called", "left_semi")
-    inside = symbols.select("path", "name", "line", "end_line").join(sites, "path").where(F.col("at").between(F.col("line"), F.col("end_line")))
-    return inside.drop("at").distinct()
+    return _calls_inside(symbols, sites).drop("calls")
 
 
 def coverage(files: DataFrame, skipped: DataFrame, budget_files: int = 20_000) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.functions.text import method_class
+from lexforge.operators.intervals import covered_before, overlapping
 
 
 def _in_order(by: str = "session") -> object:
@@ -102,18 +103,15 @@ def first_tool(calls: DataFrame) -> DataFrame:
 def redundant_reads(reads: DataFrame) -> DataFrame:
     """Reads (session, sequence, path, start, end; inclusive) with whether earlier reads cover them all.
 
-    A position is new where the running union of earlier ranges ends before it.  Lines are counted by
-    exploding the ranges, which a read bounds (500 lines), so no pair of reads is made.
+    A range costs the nodes it is cut into, some two per doubling of its length; no lines are exploded.
     """
-    w = Window.partitionBy("session", "path", "line").orderBy("sequence")
-    seen = reads.withColumn("line", F.explode(F.sequence("start", "end"))).withColumn("first", F.min("sequence").over(w))
-    return seen.groupBy("session", "sequence", "path", "start", "end").agg(F.bool_and(F.col("first") < F.col("sequence")).alias("covered"))
+    found = covered_before(reads.select("session", "sequence", "path", "start", "end"), ["session", "path"], "sequence")
+    return found.groupBy("session", "sequence", "path", "start", "end").agg(F.bool_and("covered").alias("covered"))
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of inclusive ranges (start, end) with equal keys that share a position."""
-    r = right.select(*keys, F.col("start").alias("other_start"), F.col("end").alias("other_end"))
-    return left.join(r, keys).where(F.greatest("start", "other_start") <= F.least("end", "other_end"))
+    return overlapping(left, right.select(*keys, "start", "end"), keys)
 
 
 def token_turns(records: DataFrame, trial: str = "trial", order: str = "pos", size: Column | None = None) -> DataFrame:
@@ -187,8 +185,6 @@ def location_ranges(events: DataFrame) -> DataFrame:
 
 def follow_ups(calls: DataFrame, ranges: DataFrame) -> DataFrame:
     """Later reads of a session that overlap what an earlier call showed: both sequences and the path."""
-    shown = ranges.withColumnRenamed("sequence", "shown_by")
-    later = calls.select("session", "path", "start", "end", "sequence")
-    both = later.join(shown.select("session", "path", F.col("start").alias("s"), F.col("end").alias("e"), "shown_by"), ["session", "path"])
-    meet = (F.col("shown_by") < F.col("sequence")) & (F.greatest("start", "s") <= F.least("end", "e"))
-    return both.where(meet).select("session", "path", "shown_by", "sequence")
+    shown = ranges.select("session", "path", "start", "end", F.col("sequence").alias("shown_by"))
+    both = overlapping(calls.select("session", "path", "start", "end", "sequence"), shown, ["session", "path"])
+    return both.where(F.col("shown_by") < F.col("sequence")).select("session", "path", "shown_by", "sequence")
