@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexforge.operators.intervals import best_around, point_nodes, range_nodes
 from lexforge.operators.lines import path_order, scope
+from lexforge.scratch import discard, materialise, new_folder
 
 #: Rows per relation in an inspection, and caps of caller pages.
 RELATION_CAPS = {"definition": 3, "inbound": 6, "outbound": 6, "member": 8}
@@ -103,39 +104,56 @@ def inspect(symbols: DataFrame, refs: DataFrame, name: str | None = None, path:
     return placed.where(F.col("place") <= F.element_at(caps, F.col("relation"))).join(totals, ["name", "relation"])
 
 
+def bucketed_edges(refs: DataFrame, here: str, path: str | None = None) -> tuple[DataFrame, str]:
+    """(distinct call edges of a scope, written once in buckets by the end that is expanded; the table's name).
+
+    A join by that end reads the buckets as they lie: the edges don't move again, whatever the number of levels.
+    """
+    spark = refs.sparkSession
+    edges = refs.where("kind = 'call' AND caller IS NOT NULL").where(scope(path))
+    edges = edges.select("caller", F.col("name").alias("callee"), "path", "line").distinct()
+    folder = new_folder(spark, "edges")
+    name = folder.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    edges.write.bucketBy(buckets, here).sortBy(here).option("path", folder).saveAsTable(name)
+    table = spark.table(name)
+    table._lexforge_path = folder
+    return table, name
+
+
+def expand(edges: DataFrame, frontier: DataFrame, here: str) -> DataFrame:
+    """The edges that leave a frontier (column at)."""
+    return edges.join(frontier, edges[here] == frontier["at"], "left_semi")
+
+
 def trace(refs: DataFrame, root: str, direction: str = "callees", depth: int = DEFAULT_DEPTH, path: str | None = None) -> DataFrame:
     """Edges reachable from a name: depth, caller, callee, path, line; each name is expanded once.
 
-    One join per level, at most five; levels are written to the shared folder, so none is computed twice.
+    The edges are written once, in buckets; then there is one join a level, at most five, to which only the
+    frontier moves.  Levels and frontiers are written to the shared folder, so none is computed twice.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1..{MAX_DEPTH}")
     if direction not in ("callers", "callees"):
         raise ValueError("direction is 'callers' or 'callees'")
     spark = refs.sparkSession
-    edges = refs.where("kind = 'call' AND caller IS NOT NULL").where(scope(path))
-    edges = edges.select("caller", F.col("name").alias("callee"), "path", "line").distinct()
     here, there = ("caller", "callee") if direction == "callees" else ("callee", "caller")
-    frontier = spark.range(1).select(F.lit(root).alias("at"))
-    visited, levels = frontier, None
+    edges, name = bucketed_edges(refs, here, path)
+    frontier = visited = spark.range(1).select(F.lit(root).alias("at"))
+    levels = None
     for level in range(1, depth + 1):
-        step = edges.join(frontier, edges[here] == frontier["at"], "left_semi").withColumn("depth", F.lit(level))
-        step = step.checkpoint() if _checkpoints(spark) else step
+        step = materialise(expand(edges, frontier, here).withColumn("depth", F.lit(level)), "trace-level")
         levels = step if levels is None else levels.unionByName(step)
-        frontier = step.select(F.col(there).alias("at")).distinct().join(visited, "at", "left_anti")
-        visited = visited.unionByName(frontier)
+        if level < depth:
+            frontier = materialise(step.select(F.col(there).alias("at")).distinct().join(visited, "at", "left_anti"), "trace-frontier")
+            if frontier.isEmpty():
+                break
+            visited = visited.unionByName(frontier)
+    spark.sql(f"DROP TABLE {name}")
+    discard(edges)
     return levels.select("depth", "caller", "callee", "path", "line")
 
 
-def _checkpoints(spark) -> bool:
-    """Whether the session has a folder for checkpoints; it is handed to the context if need be."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder and context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir() is not None
-
-
 #: Characters at the beginning of a name by which names that hold it are found.
 _BEGINNING = 3
 

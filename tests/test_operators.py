@@ -8,6 +8,7 @@ from lexforge.operators import graph, lines, measures, paging, power, retrieval,
 from lexforge.parse import source
 from lexforge.plans import compose, render
 from lexforge.plans.session import Session
+from lexforge.scratch import materialise
 
 
 def files(spark, **named):
@@ -372,3 +373,23 @@ def test_composition_and_rendering(spark, tree):
     page = paging.Page([{"a": "x\ty\nz\\", "b": 1.5}, {"a": "q"}])
     assert rendered_rows(render.render(page)) == [{"a": "x\ty\nz\\", "b": "1.500"}, {"a": "q"}]
     assert compose.crawl(s, ["leaf"], [("src/chain.rs", "leaf")])["found"] == 1
+
+
+def test_trace_moves_its_edges_once(spark):
+    rows = [(f"n{i}", "call", f"p{i % 7}", i, f"n{i // 3}") for i in range(1, 2000)]
+    refs = spark.createDataFrame(rows, "name string, kind string, path string, line int, caller string")
+    edges, name = graph.bucketed_edges(refs, "caller")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        frontier = spark.range(3).select(F.concat(F.lit("n"), F.col("id")).alias("at"))
+        for _ in range(3):  # level 3 and those before: the only exchange is the frontier's
+            step = graph.expand(edges, frontier, "caller")
+            plan = step._jdf.queryExecution().executedPlan().toString()
+            edges_side = plan[plan.index("SortMergeJoin") :].split("Exchange")[0]
+            assert plan.count("Exchange") == 1 and "Bucketed: true" in edges_side
+            frontier = materialise(step.select(F.col("callee").alias("at")).distinct(), "test")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"DROP TABLE {name}")
+    found = {(r["depth"], r["callee"]) for r in graph.trace(refs, "n0", "callees", 3).collect()}
+    assert found == {(1, "n1"), (1, "n2"), (2, "n3"), (2, "n4"), (2, "n5"), (2, "n6"), (2, "n7"), (2, "n8")} | {(3, f"n{i}") for i in range(9, 27)}
