@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +34,11 @@ def scope(path: str | None, column: Column | None = None) -> Column:
     return F.lit(True) if not path else (column == path) | column.startswith(path.rstrip("/") + "/")
 
 
+def within(files: DataFrame, path: str | None) -> DataFrame:
+    """The files of a scope.  The prefix is said apart, since sources can take that, but no choice of two tests."""
+    return files.where(F.col("path").startswith(path.rstrip("/"))).where(scope(path)) if path else files
+
+
 def path_order(column: str = "path") -> Column:
     """Paths ordered component by component."""
     return F.split(F.col(column), "/")
@@ -56,18 +62,18 @@ def exact_matches(
     if not 1 <= len(patterns) <= MAX_PATTERNS:
         raise ValueError(f"1..{MAX_PATTERNS} patterns")
     text = F.col("text")
-    tests = [(p, match(text, p, regex, case_sensitive)) for p in patterns]
+    tests = [match(text, p, regex, case_sensitive) for p in patterns]
+    some = reduce(Column.__or__, tests)
     # a binary file ends at its first NUL; a file without any of the patterns makes no lines at all
     kept = files.where(scope(path)).withColumn("text", F.substring_index("text", "\0", 1))
     if not regex and case_sensitive:
-        some = tests[0][1]
-        for _, test in tests[1:]:
-            some = some | test
         kept = kept.where(some)
-    hits = F.filter(F.array(*[F.when(test, F.lit(i)) for i, (_, test) in enumerate(tests)]), lambda x: x.isNotNull())
-    found = lines(kept).withColumn("pattern_at", F.explode(hits))
-    name = F.element_at(F.array(*[F.lit(p) for p in patterns]), F.col("pattern_at") + 1)
-    return found.select(name.alias("pattern"), "path", "line", "text")
+    found = lines(kept).where(some)
+    if len(patterns) == 1:
+        return found.select(F.lit(patterns[0]).alias("pattern"), "path", "line", "text")
+    # lines that hold any of the patterns, by far the fewest, are asked for each
+    hits = F.array_compact(F.array(*[F.when(test, F.lit(p)) for p, test in zip(patterns, tests)]))
+    return found.select(F.explode(hits).alias("pattern"), "path", "line", "text")
 
 
 def snippet(pattern: str, regex: bool = False, case_sensitive: bool = True, text: str = "text") -> Column:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: Limits of a page.
 MAX_LIMIT, MAX_OFFSET, DEFAULT_LIMIT, PAGE_BYTES = 100, 10_000, 20, 64 * 1024
 
+_THRESHOLD = "spark.sql.optimizer.windowGroupLimitThreshold"
+
 
 @dataclass
 class Page:
@@ -45,11 +47,23 @@ def plain(row: Row) -> dict:
     return {k: v for k, v in row.asDict(recursive=True).items() if v is not None and v != []}
 
 
+#: Rows a page can need: those skipped, those shown and one more.
+DEEPEST = MAX_OFFSET + MAX_LIMIT + 1
+
+
 def page_per(df: DataFrame, key: str, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
-    """For each value of ``key`` rows offset+1..offset+limit+1; column ``place`` counts from 1."""
+    """For each value of ``key`` rows offset+1..offset+limit+1; column ``place`` counts from 1.
+
+    The selection has two steps: each part of the input keeps its own first offset + limit + 1 rows of a key, and
+    only these meet.  Spark does so for ranks up to a threshold, which is raised to the deepest page.
+    """
     check_page(limit, offset)
+    conf = df.sparkSession.conf
+    if int(conf.get(_THRESHOLD)) < DEEPEST:
+        conf.set(_THRESHOLD, str(DEEPEST))
     place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return df.withColumn("place", place).where(F.col("place").between(offset + 1, offset + limit + 1))
+    ranked = df.withColumn("place", place).where(F.col("place") <= offset + limit + 1)
+    return ranked.where(F.col("place") > offset)
 
 
 def fit(found: Page, offset: int = 0, most: int = PAGE_BYTES) -> Page:

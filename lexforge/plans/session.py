@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import boundary_pattern, family, language, scan_tokens
+from lexforge.functions.text import LANGUAGES, boundary_pattern, family, language, scan_tokens
 from lexforge.operators import graph, lines, retrieval
+from lexforge.operators.intervals import stab
 from lexforge.operators.paging import Page, check_page, check_query, fit, page
 from lexforge.parse import source
 from lexforge.sources.repo import go_module, read_repo, resolve
@@ -39,8 +40,14 @@ class Session:
     semantic: Callable[[DataFrame, str, int], DataFrame] | None = None
     _held: DataFrame | None = field(default=None, init=False, repr=False)
 
-    def files(self) -> DataFrame:
-        found = read_repo(self.spark, self.root, no_ignore=self.no_ignore)
+    def files(self, path: str | None = None) -> DataFrame:
+        """The files below a path; nothing outside it is opened."""
+        found = lines.within(read_repo(self.spark, self.root, no_ignore=self.no_ignore), path)
+        return found.select("path", "text", language(F.col("path")).alias("language"), family(F.col("path")).alias("family"))
+
+    def sources(self) -> DataFrame:
+        """The files of a known language; no others are opened."""
+        found = read_repo(self.spark, self.root, no_ignore=self.no_ignore).where(F.col("suffix").isin(sorted(LANGUAGES)))
         return found.select("path", "text", language(F.col("path")).alias("language"), family(F.col("path")).alias("family"))
 
     def release(self) -> None:
@@ -61,19 +68,20 @@ class Session:
         if path:
             resolve(self.root, path)
         check_page(limit, offset)
-        files = self.files()
-        rows = lines.search_exact(files, patterns, path, regex, case_sensitive, limit, offset).collect()
+        # one job: the files are counted while they are scanned
+        walked = Observation()
+        files = self.files(path).observe(walked, F.count(F.lit(1)).alias("files_searched"))
+        rows = lines.search_exact(files, patterns, None, regex, case_sensitive, limit, offset).collect()
         order = {p: i for i, p in enumerate(patterns)}
         rows.sort(key=lambda r: (order[r["pattern"]], r["place"]))
         more = any(r["place"] > offset + limit for r in rows)
         kept = [{k: r[k] for k in ("pattern", "path", "line", "snippet", "truncated")} for r in rows if r["place"] <= offset + limit]
-        walked = lines.files_searched(files, path).head()[0]
-        return fit(Page(kept, more, offset + limit if more else None, {"files_searched": walked}), offset)
+        return fit(Page(kept, more, offset + limit if more else None, {"files_searched": walked.get["files_searched"]}), offset)
 
     def read_source(self, path: str, start_line: int = 1, end_line: int | None = None) -> Page:
         self._allowed("read_source")
         resolve(self.root, path)
-        files = self.files().where(F.col("path") == path)
+        files = self.files(path).where(F.col("path") == path)
         total = lines.lines(files).agg(F.max("line")).head()[0]
         if total is None or start_line > total:
             raise ValueError("start is past the end of the file")
@@ -85,7 +93,7 @@ class Session:
 
     def _parsed(self, pattern: str | None, references: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(files, symbols, refs) of the source files that hold a pattern: the filter comes before the parser."""
-        files = self.files().where(F.col("language").isNotNull())
+        files = self.sources()
         some = files.where(F.col("text").rlike(pattern)) if pattern else files
         self.release()
         rows = self._held = source.parse(some, references).persist()
@@ -105,8 +113,8 @@ class Session:
         tokens = scan_tokens(name)
         if not tokens:
             return []
-        near = retrieval.candidate_files(self.files().where(F.col("language").isNotNull()), name).select("path")
-        rows = source.parse(self.files().join(F.broadcast(near), "path", "left_semi"))  # 400 paths at most
+        near = retrieval.candidate_files(self.sources(), name).select("path")
+        rows = source.parse(self.sources().join(F.broadcast(near), "path", "left_semi"))  # 400 paths at most
         asked = self.spark.range(1).select(F.lit(name).alias("name"))
         return [r["name"] for r in graph.nearest_names(source.symbols(rows), asked).orderBy("rank").collect()]
 
@@ -114,7 +122,7 @@ class Session:
         self._allowed("find_callers")
         check_query(name)
         files, symbols, refs = self._parsed(boundary_pattern(name), include_references)
-        module = go_module(self.files())
+        module = go_module(self.files("go.mod"))
         if module:
             rows = source.parse(files.where((F.col("family") == "go") & F.col("text").rlike(boundary_pattern(name))))
             refs = source.go_packages(refs, source.imports(rows, files), module)
@@ -155,16 +163,18 @@ class Session:
     def chunks(self, files: DataFrame) -> DataFrame:
         """doc, path, start_line, end_line, text of every definition with the comment block above it."""
         rows = source.symbols(source.parse(files)).where(~F.col("kind").isin(list(NOT_CHUNKED)))
-        every = lines.lines(files).select("path", F.col("line").alias("at"), F.col("text").alias("code"))
+        # comment lines in a row are an island; what ends right above a definition belongs to it, 30 lines at most
         comment = F.ltrim("code").rlike(r'^(//|/\*|\*|#|""")')
-        inside = rows.join(every, "path").where(F.col("at").between(F.col("line") - 30, F.col("end_line")))
-        # the nearest line above the definition that isn't a comment ends the block
-        stop = F.max(F.when((F.col("at") < F.col("line")) & ~comment, F.col("at")))
-        from pyspark.sql import Window
-
-        inside = inside.withColumn("stop", F.coalesce(stop.over(Window.partitionBy("id")), F.col("line") - 31)).where(F.col("at") > F.col("stop"))
+        every = lines.lines(files).select("path", F.col("line").alias("at"), F.col("text").alias("code"))
+        island = F.col("at") - F.count_if(comment).over(Window.partitionBy("path").orderBy("at"))
+        comments = every.withColumn("island", island).where(comment)
+        first = F.min("at").over(Window.partitionBy("path", "island"))
+        ends = comments.select("path", (F.col("at") + 1).alias("line"), first.alias("first"))
+        placed = rows.join(ends, ["path", "line"], "left").withColumn("first", F.greatest(F.coalesce("first", "line"), F.col("line") - 30))
+        spans = placed.select("id", "path", "name", "container", F.col("line").alias("start_line"), "end_line", "first")
+        inside = stab(every, spans, ["path"], "at", "first", "end_line")
         body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "code"))), lambda x: x["code"]), "\n")
-        grouped = inside.groupBy("id", "path", "name", "container", F.col("line").alias("start_line"), "end_line").agg(body.alias("body"))
+        grouped = inside.groupBy("id", "path", "name", "container", "start_line", "end_line").agg(body.alias("body"))
         text = F.concat_ws(" ", "path", "container", "name", "body")
         return grouped.select(F.col("id").alias("doc"), "path", "start_line", "end_line", text.alias("text"))
 
@@ -178,7 +188,7 @@ class Session:
             raise ValueError("the only further field is excerpt")
         check_query(query)
         check_page(limit, offset)
-        files = self.files().where(F.col("language").isNotNull())
+        files = self.sources()
         near = retrieval.candidate_files(files, query).select("path")
         chunks = self.chunks(files.join(F.broadcast(near), "path", "left_semi"))  # 400 paths at most
         ranked = None
@@ -234,7 +244,7 @@ class Session:
 
     def locate(self, path: str, line: int) -> dict | None:
         """The innermost definition around a line."""
-        rows = source.symbols(source.parse(self.files().where(F.col("path") == path)))
+        rows = source.symbols(source.parse(self.files(path).where(F.col("path") == path)))
         point = self.spark.range(1).select(F.lit(path).alias("path"), F.lit(line).alias("line"))
         row = graph.locate(point, rows, ["path"]).head()
         return row.asDict() if row and row["span_name"] else None

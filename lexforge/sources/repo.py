@@ -3,24 +3,34 @@
 Hidden entries, ``.git``, a root ``target`` folder, and what ``.gitignore`` and ``.ignore`` files
 exclude are left out (unless ``no_ignore``), as are symlinks, files over 2 MiB, files with a NUL and
 files that aren't UTF-8; the last three stand in the table with a ``reason`` if ``skipped`` is set.
-The walk happens on the driver, reading in tasks of 64 files; the folder must be one that the
-executors see.
+The driver lists the top of the tree until there are folders enough; tasks list and read what lies below
+them.  Filters on ``path`` and ``suffix`` are pushed into the walk: folders that can't match aren't entered, and
+files that don't match aren't opened.  The folder must be one that the executors see.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, StringContains, StringEndsWith, StringStartsWith
 from pyspark.sql.types import StructType
 
 #: Bounds of a workspace.
 MAX_FILE_BYTES, MAX_PATH_BYTES, FILES_PER_TASK = 2 << 20, 4096, 64
-SCHEMA = "path string, text string, bytes long, reason string"
+#: Folders from which on each is a task of its own.
+FOLDER_TASKS = 256
+SCHEMA = "path string, text string, bytes long, reason string, suffix string"
+
+
+def suffix_of(path: str) -> str:
+    """What follows the last full stop of the file's name, in lower case."""
+    return path.rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rsplit("/", 1)[-1] else ""
 
 
 def resolve(root: str, path: str) -> str:
@@ -108,35 +118,45 @@ def _rules(folder: str) -> list[Rule]:
     return found
 
 
-def walk(root: str, no_ignore: bool = False) -> list[str]:
-    """Relative paths of the files of a tree, ordered component by component."""
-    out: list[str] = []
-
-    def enter(folder: str, relative: str, stack: list[tuple[str, list[Rule]]]) -> None:
-        if not no_ignore:
-            stack = [*stack, (relative, _rules(folder))]
-        with os.scandir(folder) as entries:
-            entries = sorted(entries, key=lambda e: e.name)
+def _listed(root: str, relative: str, rules: list[tuple[str, list[Rule]]], no_ignore: bool) -> tuple[list[str], list[str], list[tuple[str, list[Rule]]]]:
+    """(files, folders, rules that hold inside) of one folder; ``rules`` are those of the folders above it."""
+    folder = os.path.join(root, relative) if relative else root
+    if not no_ignore:
+        rules = [*rules, (relative, _rules(folder))]
+    files, folders = [], []
+    with os.scandir(folder) as entries:
         for e in entries:
             path = f"{relative}/{e.name}" if relative else e.name
-            if e.name.startswith(".") or e.is_symlink() or path == "target" and e.is_dir():
-                continue
             is_dir = e.is_dir(follow_symlinks=False)
+            if e.name.startswith(".") or e.is_symlink() or path == "target" and is_dir:
+                continue
             ignored = False
-            for base, rules in stack:
+            for base, own in rules:
                 inner = path[len(base) + 1 :] if base else path
-                for rule in rules:
+                for rule in own:
                     if rule.pattern.match(inner) and (is_dir or not rule.folders_only):
                         ignored = not rule.negated
             if ignored:
                 continue
             if is_dir:
-                enter(e.path, path, stack)
+                folders.append(path)
             elif e.is_file(follow_symlinks=False):
-                out.append(path)
+                files.append(path)
+    return files, folders, rules
 
-    enter(root, "", [])
-    return sorted(out, key=lambda p: p.split("/"))
+
+def walk(root: str, no_ignore: bool = False, below: str = "", fits: Callable[[str], bool] = lambda folder: True) -> Iterator[str]:
+    """Relative paths of the files below a folder of a tree, entering the folders that ``fits``."""
+    rules: list[tuple[str, list[Rule]]] = []
+    if below and not no_ignore:  # the rules of the folders above hold as well
+        parts = below.split("/")
+        rules = [(at, _rules(os.path.join(root, at))) for at in ("/".join(parts[:k]) for k in range(len(parts)))]
+    todo = [(below, rules)]
+    while todo:
+        folder, rules = todo.pop()
+        files, folders, inside = _listed(root, folder, rules, no_ignore)
+        yield from files
+        todo += [(f, inside) for f in folders if fits(f)]
 
 
 def load_text(path: str) -> tuple[str | None, int, str | None]:
@@ -154,9 +174,12 @@ def load_text(path: str) -> tuple[str | None, int, str | None]:
         return None, size, "not_text"
 
 
-class _Files(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+@dataclass
+class _Part(InputPartition):
+    """What one task lists and reads: whole folders, and files of folders that were listed already."""
+
+    folders: list[str]
+    files: list[str]
 
 
 class _Reader(DataSourceReader):
@@ -164,22 +187,70 @@ class _Reader(DataSourceReader):
         self.root = options["path"].removeprefix("file://")
         self.no_ignore = options.get("no_ignore", "false").lower() == "true"
         self.skipped = options.get("skipped", "false").lower() == "true"
-        self.scope = options.get("scope", "")
+        #: Conjunctive tests of a path: (kind, values).
+        self.tests: list[tuple[str, tuple[str, ...]]] = []
+        if scope := options.get("scope", ""):
+            self.tests.append(("below", (scope.rstrip("/"),)))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Tests of the path and of the suffix are decided before a file is opened."""
+        for f in filters:
+            kind = {EqualTo: "is", StringStartsWith: "starts", StringEndsWith: "ends", StringContains: "holds"}.get(type(f))
+            if f.attribute == ("path",) and kind:
+                self.tests.append((kind, (f.value,)))
+            elif f.attribute == ("path",) and isinstance(f, In):
+                self.tests.append(("is", tuple(f.value)))
+            elif f.attribute == ("suffix",) and isinstance(f, EqualTo):
+                self.tests.append(("suffix", (f.value,)))
+            elif f.attribute == ("suffix",) and isinstance(f, In):
+                self.tests.append(("suffix", tuple(f.value)))
+            else:
+                yield f
+
+    def _wanted(self, path: str) -> bool:
+        test = {
+            "is": lambda v: path == v,
+            "below": lambda v: path == v or path.startswith(v + "/"),
+            "starts": path.startswith,
+            "ends": path.endswith,
+            "holds": lambda v: v in path,
+            "suffix": lambda v: suffix_of(path) == v,
+        }
+        return all(any(test[kind](v) for v in values) for kind, values in self.tests)
+
+    def _entered(self, folder: str) -> bool:
+        """Whether a folder can hold a wanted path."""
+        inside = folder + "/"
+        for kind, values in self.tests:
+            heads = [v + "/" for v in values] if kind == "below" else values
+            if kind in ("is", "below", "starts") and not any(inside.startswith(h) or h.startswith(inside) for h in heads):
+                return False
+        return True
 
     def partitions(self) -> list[InputPartition]:
-        paths = walk(self.root, self.no_ignore)  # ignore rules hold from the root, whatever the scope
-        if self.scope:
-            paths = [p for p in paths if p == self.scope or p.startswith(self.scope.rstrip("/") + "/")]
-        return [_Files(paths[i : i + FILES_PER_TASK]) for i in range(0, len(paths), FILES_PER_TASK)] or [_Files([])]
-
-    def read(self, partition: _Files):
-        for path in partition.paths:
+        """The top of the tree is listed here, folder by folder, until there are enough folders for many tasks."""
+        files: list[str] = []
+        todo: list[tuple[str, list[tuple[str, list[Rule]]]]] = [("", [])]
+        at = 0
+        while at < len(todo) and len(todo) - at < FOLDER_TASKS:
+            folder, rules = todo[at]
+            at += 1
+            own, folders, inside = _listed(self.root, folder, rules, self.no_ignore)
+            files += [p for p in own if self._wanted(p)]
+            todo += [(f, inside) for f in folders if self._entered(f)]
+        parts = [_Part([folder], []) for folder, _ in todo[at:]]
+        parts += [_Part([], files[i : i + FILES_PER_TASK]) for i in range(0, len(files), FILES_PER_TASK)]
+        return parts or [_Part([], [])]
+
+    def read(self, partition: _Part):
+        listed = (p for folder in partition.folders for p in walk(self.root, self.no_ignore, folder, self._entered) if self._wanted(p))
+        for path in chain(partition.files, listed):
             try:
                 text, size, reason = load_text(os.path.join(self.root, path))
             except OSError:
                 text, size, reason = None, 0, "unreadable"
             if reason is None or self.skipped:
-                yield path, text, size, reason
+                yield path, text, size, reason, suffix_of(path)
 
 
 class RepoDataSource(DataSource):
@@ -201,6 +272,7 @@ def read_repo(spark: SparkSession, root: str, **options: object) -> DataFrame:
     from lexforge.shipping import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RepoDataSource)
     return spark.read.format("repo").options(**{k: str(v).lower() if isinstance(v, bool) else v for k, v in options.items()}).load(root)
 
