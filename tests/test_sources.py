@@ -127,33 +127,6 @@ def test_vector_cache(spark, tmp_path):
     assert not asked
 
 
-def test_log_stream_equals_batch(spark, tmp_path):
-    from lexforge.streaming import log
-
-    events = [("s", 1, "tool_start", 1), ("s", 1, "tool_end", 2), ("s", 2, "tool_end", 3), ("s", 3, "tool_start", 4), ("s", 3, "tool_start", 5), ("s", 3, "tool_end", 6)]
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "a.json").write_text("\n".join(json.dumps({"session_id": s, "sequence": q, "event": e, "tool": "x", "timestamp_ms": t}) for s, q, e, t in events))
-    query = log.pair_stream(log.read_log(spark, str(folder))).writeStream.format("memory").queryName("paired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {(r.sequence, r.warning) for r in spark.table("paired").collect()}
-    assert got == {(1, None), (2, "end without start"), (3, "duplicate start"), (3, None)}
-
-
-def test_meter_stream(spark, tmp_path):
-    from lexforge.streaming import log
-
-    folder = tmp_path / "in"
-    folder.mkdir()
-    (folder / "a.json").write_text("\n".join(json.dumps({"session": "s", "sequence": i, "bytes": 40, "tool": "read" if i < 3 else "search"}) for i in range(1, 5)))
-    calls = spark.readStream.schema("session string, sequence long, bytes long, tool string").json(str(folder))
-    for name, stream in (("metered", log.meter_stream(calls, 10, 100)), ("violations", log.policy_stream(calls, ["search"]))):
-        q = stream.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert [r.forwarded for r in spark.table("metered").orderBy("sequence").collect()] == [True, True, False, False]
-    assert [r.sequence for r in spark.table("violations").orderBy("sequence").collect()] == [1, 2]
-
-
 def test_references_leave_out_parameters_and_reserved_words():
     """What parameters declare, types of the language, modifiers and names of properties aren't uses."""
 
