@@ -7,32 +7,26 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.selection import exact_medians, with_medians
 
-def distribution(value: Column, prefix: str = "", total: bool = False) -> list[Column]:
-    """count, mean, median, min and max (and sum) of the values that aren't null."""
-    out = [
-        F.count(value).alias(prefix + "n"),
-        F.avg(value).alias(prefix + "mean"),
-        F.median(value).alias(prefix + "median"),
-        F.min(value).alias(prefix + "min"),
-        F.max(value).alias(prefix + "max"),
-    ]
-    return [*out, F.sum(value).alias(prefix + "sum")] if total else out
 
+def distribution(rows: DataFrame, by: list[str], value: Column | str, total: bool = False) -> DataFrame:
+    """count, mean, median, min and max (and sum) of the values that aren't null, per group; the median is exact at any size."""
+    held = rows.select(*by, (F.col(value) if isinstance(value, str) else value).alias("value"))
+    stats = [F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max")]
+    out = held.groupBy(*by).agg(*stats, *([F.sum("value").alias("sum")] if total else []))
+    return with_medians(out, held, by, {"median": "value"})
 
-def rounded_stat(value: Column, prefix: str = "") -> list[Column]:
-    """Median and mean, half to even at one decimal, and the count."""
-    return [
-        F.bround(F.median(value), 1).alias(prefix + "median"),
-        F.bround(F.avg(value), 1).alias(prefix + "mean"),
-        F.count(value).alias(prefix + "n"),
-    ]
 
+def rounded_stat(rows: DataFrame, by: list[str], value: Column | str) -> DataFrame:
+    """Median and mean, half to even at one decimal, and the count, per group."""
+    found = distribution(rows, by, value)
+    return found.select(*by, F.bround("median", 1).alias("median"), F.bround("mean", 1).alias("mean"), "n")
 
-def upper_median(value: Column) -> Column:
-    """The element in the middle of the sorted values, the upper one of two."""
-    held = F.array_sort(F.collect_list(value))
-    return F.try_element_at(held, (F.floor(F.size(held) / 2) + 1).cast("int"))
+
+def upper_median(rows: DataFrame, by: list[str], value: Column | str) -> DataFrame:
+    """(by, median): the value in the middle of each group, the upper one of two."""
+    return exact_medians(rows, by, value).select(*by, F.col("upper").alias("median"))
 
 
 def eligible(runs: DataFrame) -> Column:
@@ -83,16 +77,16 @@ def pair_differences(runs: DataFrame, keys: list[str], arm: str, pairs: list[tup
 
 def pair_summary(differences: DataFrame, by: tuple[str, ...] = ("baseline", "variant")) -> DataFrame:
     d = F.col("difference")
-    return differences.groupBy(*by).agg(
+    out = differences.groupBy(*by).agg(
         F.count(F.lit(1)).alias("pairs"),
         F.count(d).alias("comparable"),
         F.count_if(d > 0).alias("fewer"),
         F.count_if(d == 0).alias("equal"),
         F.count_if(d < 0).alias("more"),
         F.avg(d).alias("mean"),
-        F.median(d).alias("median"),
         F.sum(d).alias("sum"),
     )
+    return with_medians(out, differences, list(by), {"median": "difference"})
 
 
 def leave_one_out(rows: DataFrame, by: list[str], item: str, value: str) -> DataFrame:
@@ -269,12 +263,13 @@ def page_cut(sightings: DataFrame, fractions: tuple[float, ...] = (0.9, 0.75, 0.
     ``sightings``: question, identity, page_rows, position (from 1).  An identity survives if any of
     its sightings lies within the kept rows.
     """
-    cut = sightings.withColumn("fraction", F.explode(F.array(*[F.lit(f) for f in fractions])))
-    alive = cut.groupBy("fraction", "question", "identity").agg(
-        F.bool_or(F.col("position") <= kept_rows(F.col("page_rows"), F.col("fraction"))).alias("alive")
-    )
-    per = alive.groupBy("fraction", "question").agg(F.bool_or(~F.col("alive")).alias("any_lost"), F.bool_and(~F.col("alive")).alias("all_lost"))
-    return per.groupBy("fraction").agg(F.count(F.lit(1)).alias("questions"), F.count_if("any_lost").alias("any_lost"), F.count_if("all_lost").alias("all_lost"))
+    # one bit a fraction: a sighting says where it lives, an identity lives where any does, a question loses where one doesn't
+    bits = [F.when(F.col("position") <= kept_rows(F.col("page_rows"), F.lit(f)), F.lit(1 << i)).otherwise(0) for i, f in enumerate(fractions)]
+    alive = sightings.groupBy("question", "identity").agg(F.bit_or(reduce(Column.__add__, bits)).alias("alive"))
+    per = alive.groupBy("question").agg(F.bit_and("alive").alias("every"), F.bit_or("alive").alias("some"))
+    tests = [F.struct(F.lit(f).alias("fraction"), (F.col("every").bitwiseAND(1 << i) == 0).alias("any_lost"), (F.col("some").bitwiseAND(1 << i) == 0).alias("all_lost")) for i, f in enumerate(fractions)]
+    told = per.select(F.explode(F.array(*tests)).alias("t")).select("t.*")
+    return told.groupBy("fraction").agg(F.count(F.lit(1)).alias("questions"), F.count_if("any_lost").alias("any_lost"), F.count_if("all_lost").alias("all_lost"))
 
 
 def page_bands(sightings: DataFrame, bands: tuple[float, ...] = (0.1, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
@@ -346,15 +341,15 @@ def prompt_evidence(launches: DataFrame, by: str = "document") -> DataFrame:
 
 def arm_totals(rows: DataFrame, by: tuple[str, ...] = ("study", "arm")) -> DataFrame:
     """Published totals of each arm: trials, correct, input tokens, calls, token-turns, answers without evidence."""
-    return rows.groupBy(*by).agg(
+    out = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("trials"),
         F.count_if("correct").alias("correct"),
         F.sum("input_tokens").alias("input_tokens"),
         F.sum("calls").alias("calls"),
         F.sum("token_turns").alias("token_turns"),
-        F.median("first_pos").alias("calls_to_first_evidence"),
         F.count_if(F.col("correct") & F.col("first_pos").isNull()).alias("answered_without_evidence"),
     )
+    return with_medians(out, rows, list(by), {"calls_to_first_evidence": "first_pos"})
 
 
 def excess_calls(calls: DataFrame, base: str, other: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexforge.functions.text import concept_pattern, concept_tokens, scan_tokens
 from lexforge.operators.lines import lines, scope
+from lexforge.operators.selection import with_medians
 
 #: BM25, fusion and candidate selection.
 K1, B, FUSION_K, CANDIDATE_FILES, LINES_PER_FILE = 1.2, 0.75, 60, 400, 2048
@@ -206,23 +207,22 @@ def tiers(ranks: DataFrame, by: list[str]) -> DataFrame:
 
 def rung_summary(cells: DataFrame, rung: str = "rung") -> DataFrame:
     """Per rung of a scale ladder: tasks, found, median and mean rank, bytes and latency."""
-    return cells.groupBy(rung).agg(
+    out = cells.groupBy(rung).agg(
         F.count(F.lit(1)).alias("n"),
         F.count("rank").alias("found"),
-        F.median("rank").alias("median_rank"),
         F.avg("rank").alias("mean_rank"),
         F.sum("bytes").alias("bytes"),
-        F.median("latency_ms").alias("median_latency_ms"),
     )
+    return with_medians(out, cells, [rung], {"median_rank": "rank", "median_latency_ms": "latency_ms"})
 
 
 def cold_and_warm(calls: DataFrame, by: str, order: list[Column], latency: str = "latency_ms") -> DataFrame:
     """Per group: the first call's latency, and median and largest of the others'."""
     first = F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1
     marked = calls.withColumn("first", first)
-    return marked.groupBy(by).agg(
+    out = marked.groupBy(by).agg(
         F.max(F.when(F.col("first"), F.col(latency))).alias("cold"),
-        F.median(F.when(~F.col("first"), F.col(latency))).alias("warm_median"),
         F.max(F.when(~F.col("first"), F.col(latency))).alias("warm_max"),
         F.count(F.lit(1)).alias("calls"),
     )
+    return with_medians(out, marked.where(~F.col("first")), [by], {"warm_median": latency})

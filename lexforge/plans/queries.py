@@ -632,7 +632,7 @@ def sign_counts(spark, sf_dir):
 
 @query("SELECT o_orderpriority AS arm, count(o_totalprice) AS n, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS median, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1")
 def distribution(spark, sf_dir):
-    out = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("arm")).agg(*measures.distribution(F.col("o_totalprice")))
+    out = measures.distribution(table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "arm"), ["arm"], "o_totalprice")
     return out.withColumn("mean", F.round("mean", 4)).withColumn("median", F.round("median", 4))
 
 

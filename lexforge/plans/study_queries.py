@@ -373,14 +373,14 @@ def usage_totals(spark, sf_dir):
 
 @query("SELECT l_returnflag AS arm, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, median(l_quantity) AS median, min(l_quantity) AS min, max(l_quantity) AS max, CAST(sum(l_quantity) AS DOUBLE) AS sum FROM lineitem GROUP BY 1")
 def distribution_totals(spark, sf_dir):
-    out = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("arm")).agg(*measures.distribution(F.col("l_quantity").cast("double"), total=True))
+    out = measures.distribution(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "arm"), ["arm"], F.col("l_quantity").cast("double"), total=True)
     return out.withColumn("mean", F.round("mean", 6))
 
 
 @query("SELECT l_returnflag AS arm, l_linestatus AS kind, round_even(median(l_quantity), 1) AS median, round_even(avg(l_quantity), 1) AS mean, count(l_quantity) AS n FROM lineitem GROUP BY ALL")
 def rounded_stats(spark, sf_dir):
-    by = [F.col("l_returnflag").alias("arm"), F.col("l_linestatus").alias("kind")]
-    return table(spark, sf_dir, "lineitem").groupBy(*by).agg(*measures.rounded_stat(F.col("l_quantity").cast("double")))
+    rows = table(spark, sf_dir, "lineitem").withColumnsRenamed({"l_returnflag": "arm", "l_linestatus": "kind"})
+    return measures.rounded_stat(rows, ["arm", "kind"], F.col("l_quantity").cast("double"))
 
 
 @query(
