@@ -34,8 +34,18 @@ def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def append_events(events: DataFrame, path: str) -> None:
-    """Append log records as JSON lines."""
-    events.write.mode("append").json(path)
+    """Append log records as JSON lines: all of them, or none where a task fails."""
+    from lexforge.sources import manifested
+
+    manifested.write(events.select(F.to_json(F.struct("*")).alias("value")), path, "append", layout="text")
+
+
+def appended_events(spark: SparkSession, path: str) -> DataFrame:
+    """The records appended so far."""
+    from lexforge.sources import manifested
+
+    lines = manifested.read(spark, path, empty="value string")
+    return lines.select(F.from_json("value", EVENTS).alias("e")).select("e.*")
 
 
 def read_runs(spark: SparkSession, folder: str) -> DataFrame:

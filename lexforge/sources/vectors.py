@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import urllib.request
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexforge.sources import manifested
+
 BATCH, MAX_DIMENSIONS = 32, 8192
 
 
@@ -58,35 +60,26 @@ def http_embedder(url: str, model: str, timeout: float = 120.0, most_bytes: int
 
 
 class VectorCache:
-    """Vectors by content key and identity of the embedder, as a Parquet table.
+    """Vectors by content key and identity of the embedder: one manifested table for each identity.
 
-    Vectors are written first, the manifest that names them afterwards; readers follow the manifest,
-    so a torn write is never read and what was there before stays.  One writer at a time.
+    A torn, failed or second write leaves what was there before (:mod:`lexforge.sources.manifested`).
     """
 
+    _SCHEMA = "key string, embedding array<double>"
+
     def __init__(self, spark: SparkSession, folder: str, identity: str):
-        self.spark, self.folder, self.identity = spark, folder.rstrip("/"), identity
+        self.spark, self.identity = spark, identity
+        self.folder = f"{folder.rstrip('/')}/{hashlib.sha256(identity.encode()).hexdigest()[:16]}"
 
     def load(self) -> DataFrame:
-        empty = self.spark.createDataFrame([], "key string, embedding array<double>")
-        try:
-            manifests = self.spark.read.schema("identity string, data string, at timestamp").json(f"{self.folder}/manifest")
-            row = manifests.where(F.col("identity") == self.identity).orderBy(F.desc("at")).head()
-        except Exception as error:  # no manifest yet; anything else is passed on
-            if "PATH_NOT_FOUND" in str(error):
-                return empty
-            raise
-        return self.spark.read.schema(empty.schema).parquet(f"{self.folder}/{row['data']}") if row else empty
+        return manifested.read(self.spark, self.folder, empty=self._SCHEMA)
 
     def save(self, vectors: DataFrame) -> None:
         """Replace this identity's vectors."""
         sizes = vectors.agg(F.min(F.size("embedding")).alias("a"), F.max(F.size("embedding")).alias("b")).head()
         if sizes["a"] != sizes["b"]:
             raise ValueError("vectors of unequal length")
-        data = f"data-{uuid.uuid4().hex}"
-        vectors.select("key", "embedding").write.parquet(f"{self.folder}/{data}")
-        line = self.spark.range(1).select(F.lit(self.identity).alias("identity"), F.lit(data).alias("data"), F.current_timestamp().alias("at"))
-        line.coalesce(1).write.mode("append").json(f"{self.folder}/manifest")
+        manifested.write(vectors.select("key", "embedding"), self.folder, "overwrite")
 
 
 def refreshed(chunks: DataFrame, cache: VectorCache, embedder: Callable[[list[str]], list[list[float]]]) -> DataFrame:
