@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the retrieval interface.
@@ -120,9 +120,13 @@ def snippet(line: Column, before: Column) -> Column:
     return F.struct(shown.alias("snippet"), ((left > 0) | (F.char_length(line) - left > SNIPPET_CHARS)).alias("truncated"))
 
 
+#: The tools of the structural class.
+STRUCTURAL = ("find_symbol", "find_callers", "trace_dependencies")
+
+
 def method_class(tool: Column) -> Column:
-    """The class of a tool: the part before the first underscore (search, read, find, ...)."""
-    return F.substring_index(tool, "_", 1)
+    """The class of a tool: the structural ones are one class, any other is its own."""
+    return F.when(tool.isin(*STRUCTURAL), "structural").otherwise(tool)
 
 
 def normal_path(path: Column) -> Column:
@@ -131,70 +135,166 @@ def normal_path(path: Column) -> Column:
     return F.array_join(parts, "/")
 
 
-def signature(tool: Column, arguments: dict[str, tuple[Column, object]]) -> Column:
-    """Canonical JSON of a call: defaults filled in, keys in order."""
-    filled = [F.coalesce(value, F.lit(default)).alias(name) for name, (value, default) in sorted(arguments.items())]
-    return F.to_json(F.struct(tool.alias("tool"), *filled))
+def tidy_path(path: Column) -> Column:
+    """A path without empty and ``.`` components, each ``..`` taking the one before it along; nothing left is ``.``."""
+    absolute = path.startswith("/")
+
+    def step(kept: Column, part: Column) -> Column:
+        before = F.try_element_at(kept, F.lit(-1))
+        return (
+            F.when((part == "") | (part == "."), kept)
+            .when((part == "..") & (before != ".."), F.slice(kept, F.lit(1), F.size(kept) - 1))
+            .when((part == "..") & absolute, kept)
+            .otherwise(F.concat(kept, F.array(part)))
+        )
+
+    kept = F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step)
+    joined = F.array_join(kept, "/")
+    return F.when(absolute, F.concat(F.lit("/"), joined)).otherwise(F.when(F.size(kept) == 0, ".").otherwise(joined))
+
+
+#: What a tool takes an argument for that isn't given.
+DEFAULTS: dict[str, dict[str, object]] = {
+    "search_exact": {"path": ".", "regex": False, "case_sensitive": True, "limit": 20, "offset": 0},
+    "find_symbol": {"path": ".", "limit": 20, "offset": 0},
+    "find_callers": {"path": ".", "include_references": False, "limit": 20, "offset": 0},
+    "trace_dependencies": {"direction": "callers", "depth": 3, "path": ".", "limit": 20, "offset": 0},
+    "search_concept": {"limit": 20, "offset": 0},
+    "read_source": {"start_line": 1},
+}
+#: Fixed value: a read without an end shows its start and so many lines more.
+READ_ON = 99
+
+
+def signature(tool: Column, arguments: dict[str, Column]) -> Column:
+    """Canonical JSON of a call: the tool's own defaults filled in, a read's end said, the path tidied, names in order, nulls left out."""
+    names = set(arguments) | {name for own in DEFAULTS.values() for name in own} | {"end_line"}
+    filled = {}
+    for name in names:
+        own = [(t, values[name]) for t, values in DEFAULTS.items() if name in values]
+        options = [F.when(tool == t, F.lit(value)) for t, value in own]
+        filled[name] = F.coalesce(*([arguments[name]] if name in arguments else []), *options, F.lit(None))
+    filled["end_line"] = F.coalesce(filled["end_line"].cast("long"), F.when(tool == "read_source", filled["start_line"] + READ_ON))
+    filled["path"] = tidy_path(filled["path"])
+    return F.to_json(F.struct(tool.alias("tool"), *[filled[name].alias(name) for name in sorted(filled)]))
+
+
+def _named(tests: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]))
 
 
 def call_labels(tool: Column, query: Column, regex: Column, results: Column, failed: Column) -> Column:
-    """What looks wrong with a search call: error, empty, escaped pipes, alternation or several words as a literal."""
-    search = tool.startswith("search")
-    literal = ~F.coalesce(regex, F.lit(False))
-    tests = [
-        ("error", failed),
-        ("empty", ~failed & (results == 0)),
-        ("escaped_pipe_literal", search & literal & F.contains(query, F.lit("\\|"))),
-        ("escaped_pipe_regex", search & ~literal & F.contains(query, F.lit("\\|"))),
-        ("alternation_shaped", search & literal & F.contains(query, F.lit("|")) & ~F.contains(query, F.lit("\\|"))),
-        ("literal_multiword", search & literal & query.rlike(r"\S\s+\S")),
-    ]
-    return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests]), lambda x: x.isNotNull())
+    """What can be seen of a call: error or empty; of an exact search also escaped pipes, several alternatives, several words as a literal."""
+    exact, is_regex = tool == "search_exact", F.coalesce(regex, F.lit(False))
+    escaped = F.contains(query, F.lit("\\|"))
+    alternatives = F.filter(F.split(F.replace(query, F.lit("\\|"), F.lit("|")), r"\|", -1), lambda part: part.rlike(r"\S"))
+    return _named(
+        [
+            ("error", failed),
+            ("empty", ~failed & (results == 0)),
+            ("escaped_pipe_regex", exact & escaped & is_regex),
+            ("escaped_pipe_literal", exact & escaped & ~is_regex),
+            ("alternation_shaped", exact & F.contains(query, F.lit("|")) & (F.size(alternatives) > 1)),
+            ("literal_multiword", exact & ~is_regex & query.rlike(r"(?s)\S.* .*\S")),
+        ]
+    )
 
 
 def word_pieces(name: Column) -> Column:
-    """Lower-cased pieces of an identifier, each once."""
+    """Lower-cased pieces of more than two letters of an identifier or a text, each once."""
     found = F.regexp_extract_all(name, F.lit(r"([A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+)"), F.lit(1))
-    return F.array_distinct(F.transform(found, F.lower))
+    return F.array_distinct(F.transform(F.filter(found, lambda p: F.char_length(p) > 2), F.lower))
+
+
+def names_target(message: Column, identities: Column) -> Column:
+    """Whether a message echoes a piece of the last name of any identity (``path::Owner::name``)."""
+    leaves = F.transform(identities, lambda i: F.element_at(F.split(i, "::"), -1))
+    return F.arrays_overlap(word_pieces(message), word_pieces(F.array_join(leaves, " ")))
 
 
 def vocabulary(text: Column) -> Column:
-    """Distinct concept tokens of more than two characters."""
-    return F.array_distinct(F.filter(concept_tokens(text), lambda t: F.char_length(t) > 2))
+    """Distinct lower-cased words of three characters or more, and the pieces of more than two letters inside them."""
+    words = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_]{2,})"), F.lit(1))
+    inside = F.regexp_extract_all(F.array_join(words, " "), F.lit(r"([A-Z]?[a-z]+|[A-Z]+(?![a-z]))"), F.lit(1))
+    return F.array_distinct(F.transform(F.concat(words, F.filter(inside, lambda p: F.char_length(p) > 2)), F.lower))
+
+
+#: What a trailer of a commit message begins with.
+TRAILERS = (
+    "signed-off-by", "co-authored-by", "reviewed-by", "acked-by", "tested-by", "reported-by", "suggested-by", "cc", "fixes", "closes", "close", "resolves", "link", "bug",
+    "change-id", "reviewed-on", "differential revision", "pull-request", "pr", "see also", "ref", "refs",
+)
 
 
 def clean_message(message: Column) -> Column:
-    """A commit message's first paragraph without trailers, issue numbers and doubled spaces."""
-    body = F.regexp_replace(message, r"(?im)^(signed-off-by|co-authored-by|reviewed-by|fixes|closes|cc):.*$", "")
-    body = F.regexp_replace(F.substring_index(F.trim(body), "\n\n", 1), r"\(?#\d+\)?", "")
-    return F.trim(F.regexp_replace(body, r"\s+", " "))
+    """The prose of a commit message: without trailers, comment lines and addresses, at most one blank line in a row."""
+    rows = F.transform(F.split(message, r"\r?\n", -1), lambda x: F.regexp_replace(x, r"\s+$", ""))
+    trailer = r"(?i)^\s*(" + "|".join(TRAILERS) + r")\s*[:#]"
+    prose = F.array_join(F.filter(rows, lambda x: ~x.rlike(trailer) & ~x.rlike(r"^\s*#")), "\n")
+    bare = F.regexp_replace(F.regexp_replace(prose, r"https?://\S+", ""), r"\n{3,}", "\n\n")
+    return F.regexp_replace(bare, r"^\s+|\s+$", "")
 
 
 def strip_identifiers(text: Column) -> Column:
-    """A question without what looks like code: backticked spans, snake_case, camelCase, calls."""
-    bare = F.regexp_replace(text, r"`[^`]*`", " ")
-    bare = F.regexp_replace(bare, r"\b\w*(_\w+|[a-z][A-Z]\w*)\b(\(\))?|\b\w+\(\)", " ")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """A question without what looks like code: words with an underscore, colon, quote, brace or bracket, or a source file's suffix."""
+    words = F.filter(F.split(text, r"[\s,.]+", -1), lambda w: (w != "") & ~w.rlike(r'[_:{}"\[\]]') & ~w.isin("JSON", "Return"))
+    return F.array_join(words, " ")
+
 
+#: Words of questions that aren't taken for names.
+PROSE = (
+    "that", "this", "which", "with", "when", "where", "from", "into", "each", "every", "returns", "return", "identify", "answer", "question", "object", "objects", "method", "methods",
+    "class", "classes", "function", "functions", "definition", "definitions", "symbol", "symbols", "name", "names", "path", "value", "values", "list", "json", "call", "calls", "called",
+    "caller", "callers", "module", "modules", "package", "packages", "field", "fields", "model", "models", "first", "second", "other", "same", "only", "their", "there", "those", "these",
+    "through", "without", "within", "before", "after", "then", "than", "must", "does", "have", "been", "using", "used", "uses", "make", "made", "over", "some", "such", "both", "while",
+    "whose", "what", "given", "line", "lines", "code", "source", "file", "files", "text", "type", "types",
+)
 
-def question_terms(text: Column) -> Column:
-    """array<struct<term, weight>>: 5 in backticks, 3 if shaped like code, else 1."""
-    quoted = F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1))
-    plain = F.regexp_extract_all(F.regexp_replace(text, r"`[^`]*`", " "), F.lit(r"(\w{3,})"), F.lit(1))
-    shaped = r"_|[a-z][A-Z]|\d"
+
+def term_scores(text: Column) -> Column:
+    """array<struct<term, weight>>, one for each time a name stands in a question: 5 inside backticks, and anywhere 3 if it looks like code, else 1.
+
+    Names have four characters at least; words of prose count in backticks only.
+    """
+    names = lambda of: F.regexp_extract_all(of, F.lit(r"([A-Za-z_][A-Za-z0-9_]{3,})"), F.lit(1))
+    quoted = F.array_join(F.regexp_extract_all(text, F.lit(r"`([^`]+)`"), F.lit(1)), " ")
+    plain = F.filter(names(text), lambda t: ~F.lower(t).isin(*PROSE))
     return F.concat(
-        F.transform(F.array_distinct(quoted), lambda t: F.struct(t.alias("term"), F.lit(5).alias("weight"))),
-        F.transform(
-            F.array_except(F.array_distinct(plain), quoted),
-            lambda t: F.struct(t.alias("term"), F.when(t.rlike(shaped), 3).otherwise(1).alias("weight")),
-        ),
+        F.transform(names(quoted), lambda t: F.struct(t.alias("term"), F.lit(5).alias("weight"))),
+        F.transform(plain, lambda t: F.struct(t.alias("term"), F.when(t.rlike("[_A-Z]"), 3).otherwise(1).alias("weight"))),
     )
 
 
-def name_variants(name: str) -> list[str]:
-    """Spellings of an identifier in prose: itself, its words apart, joined, hyphenated."""
-    words = [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", name)]
-    return sorted({name, name.lower(), " ".join(words), "".join(words), "-".join(words), "_".join(words)})
+def question_terms(questions: DataFrame, key: str, text: str, forbidden: str | None = None) -> DataFrame:
+    """(key, term, weight) of the names that each question supplies, without those in its array ``forbidden``."""
+    kept = term_scores(F.col(text))
+    if forbidden is not None:
+        kept = F.filter(kept, lambda t: ~F.array_contains(F.coalesce(forbidden, F.array()), t["term"]))
+    rows = questions.select(key, F.explode(kept).alias("t"))
+    return rows.groupBy(key, F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("weight"))
+
+
+def _literal(text: Column) -> Column:
+    """A pattern that matches the text itself."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}_\s])", r"\\$1")
+
+
+def name_variants(name: Column) -> Column:
+    """Lower-cased spellings of an identifier that prose might use: itself, its words apart, its words joined."""
+    words = F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), r"(?<=[a-z0-9])(?=[A-Z])", " "), r"^\s+|\s+$", "")
+    apart = F.lower(F.regexp_replace(words, r"\s+", " "))
+    return F.array_distinct(F.array(F.lower(name), apart, F.replace(apart, F.lit(" "), F.lit(""))))
+
+
+def clean_comment(comment: Column, name: Column) -> Column:
+    """The prose of a doc comment, without links, code, tags, comment marks and any spelling of the name it is about."""
+    bare = comment
+    for noise in (r"\{@\w+\s+[^}]*\}", r"`[^`]*`", r"(?m)^\s*@\w+.*$", r"[*/]+"):
+        bare = F.regexp_replace(bare, noise, " ")
+    tidy = lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^ | $", "")
+    # the longest spelling first
+    longest = F.reverse(F.array_sort(F.transform(name_variants(name), lambda v: F.struct(F.char_length(v), v.alias("v")))))
+    return tidy(F.aggregate(longest, tidy(bare), lambda kept, v: F.regexp_replace(kept, F.concat(F.lit("(?iu)"), _literal(v["v"])), F.lit(" "))))
 
 
 def schema_tokens(minified_json: Column) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.functions.grading import strict_grade
+from lexforge.operators.intervals import overlapping
 from lexforge.operators.selection import exact_medians, with_medians
 
 
@@ -196,53 +198,163 @@ def never_solved(rows: DataFrame) -> DataFrame:
 
 
 def tail(symbol: Column) -> Column:
-    """The last component of a spelled symbol: after ``::``, ``.``, ``#`` or ``->``, without call brackets."""
-    return F.regexp_replace(F.regexp_replace(symbol, r"\(.*\)$", ""), r"^.*(::|\.|#|->)", "")
+    """The last name of a spelled symbol, with its owner where that begins with a capital; parts that name a ``.rs`` file don't count."""
+    parts = F.filter(F.split(symbol, "::|/"), lambda p: (p != "") & ~p.endswith(".rs"))
+    last, owner = F.try_element_at(parts, F.lit(-1)), F.when(F.size(parts) > 1, F.try_element_at(parts, F.lit(-2)))
+    return F.when(owner.rlike(r"^\p{Lu}"), F.concat_ws("::", owner, last)).otherwise(F.coalesce(last, symbol))
 
 
-def notation(rows: DataFrame) -> DataFrame:
-    """How many answers agree strictly, and how many only by the tails of their symbols."""
-    strict = F.array_sort("got") == F.array_sort("gold")
-    loose = F.array_sort(F.transform("got", tail)) == F.array_sort(F.transform("gold", tail))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(strict).alias("strict"), F.count_if(~strict & loose).alias("tail_only"))
+def notation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per condition: trials, answers that agree strictly, and those that agree once symbols are cut to their tails.
 
+    ``rows``: strict (the payload matches), got and gold (arrays; got is null without an answer).
+    """
+    alike = F.array_sort(F.transform("got", tail)) == F.array_sort(F.transform("gold", tail))
+    resolved = F.col("strict") | F.coalesce(alike, F.lit(False))
+    return rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trials"), F.count_if("strict").alias("strict"), F.count_if(resolved).alias("symbol_resolved"), F.count_if(resolved & ~F.col("strict")).alias("notation_only")
+    )
 
-def closure_verdict(rows: DataFrame) -> DataFrame:
-    """Where a treatment scores below control: stopped early, saw the evidence, or skipped an expansion."""
-    missing = F.size(F.array_except("gold", "seen")) > 0
-    known = F.size(F.array_intersect(F.array_except("gold", "seen"), "control_seen")) > 0
-    verdict = F.when(missing & known, "expansion_skipped").when(missing, "premature_stop").otherwise("evidence_seen")
-    return rows.where("treatment_credit < control_credit").withColumn("verdict", verdict)
 
+def closure(rows: DataFrame) -> DataFrame:
+    """``rows`` where a treatment scores below control, with ``verdict`` (did it stop early, or see the evidence?) and ``expansion_skipped``.
 
-def failure_mode(credit: Column, answer: Column, found_any: Column, found_all: Column) -> Column:
-    return (
-        F.when(credit >= 1, "correct")
-        .when(answer.isNull(), "no answer")
-        .when(~found_any, "never retrieved")
-        .when(~found_all, "partly retrieved")
-        .otherwise("retrieved, not used")
+    What was never retrieved is the gold that isn't among ``seen``; an expansion was skipped where control did see some of that.
+    """
+    missing = F.array_except("gold", "seen")
+    early = F.size(missing) > 0
+    found = rows.where("treatment_credit < control_credit")
+    return found.select("*", F.when(early, "premature_stop").otherwise("evidence_seen").alias("verdict"), (early & F.arrays_overlap(missing, "control_seen")).alias("expansion_skipped"))
+
+
+def closure_report(rows: DataFrame) -> DataFrame:
+    """One row: pairs, regressions, improvements, and how many regressions stopped early, saw the evidence, skipped an expansion.
+
+    A skipped expansion is counted beside the premature stop that it is.
+    """
+    counts = rows.agg(
+        F.count(F.lit(1)).alias("questions_paired"),
+        F.count_if(F.col("treatment_credit") < F.col("control_credit")).alias("treatment_regressions"),
+        F.count_if(F.col("treatment_credit") > F.col("control_credit")).alias("treatment_improvements"),
+    )
+    verdicts = closure(rows).agg(
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in ("premature_stop", "evidence_seen")], F.count_if("expansion_skipped").alias("expansion_skipped")
     )
+    return counts.join(F.broadcast(verdicts), F.lit(True))  # one row each
 
 
-def reach_verdict(solved: Column, wrong_reach: Column, seed_defined: Column, available: Column, chosen: Column, right_level: Column) -> Column:
-    """Why a seeded expansion did or didn't lead to the answer, first reason first."""
+def saw_evidence(delivered: DataFrame, wanted: DataFrame, trials: DataFrame) -> DataFrame:
+    """``trials`` (trial, task_id, ...) and ``saw``: whether any delivered range (trial, path, start, end) meets a wanted one (task_id, path, start, end)."""
+    asked = wanted.join(trials.select("trial", "task_id"), "task_id").select("trial", "path", "start", "end")
+    met = overlapping(delivered.select("trial", "path", "start", "end"), asked, ["trial", "path"]).select("trial").distinct().withColumn("__met", F.lit(True))
+    return trials.join(met, "trial", "left").withColumn("saw", F.col("__met").isNotNull()).drop("__met")
+
+
+def failure_mode(saw: Column, got: Column, gold: Column) -> Column:
+    """Why a trial failed: it never saw the evidence; gave part of the gold, or nothing; or misread what it saw."""
+    nothing = got.isNull() | (F.size(got) == 0)
+    part = (F.size(F.array_except(got, gold)) == 0) & (F.size(got) < F.size(gold))
+    return F.when(~saw, "never_saw_evidence").when(nothing | part, "incomplete").otherwise("misread")
+
+
+def failure_modes(trials: DataFrame, by: str = "condition") -> DataFrame:
+    """Per condition and mode (``correct`` among them) the number of trials; ``trials``: credit, saw, got, gold."""
+    mode = F.when(F.col("credit") == 1, "correct").otherwise(failure_mode(F.col("saw"), F.col("got"), F.col("gold")))
+    return trials.groupBy(by, mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def reach_verdict(solved: Column, depth: Column, seed_defined: Column, workable: Column, visible: Column) -> Column:
+    """Why a seeded expansion did or didn't lead to the answer.
+
+    ``depth``: hops from the seed to the gold, null if unreachable; ``workable``: a seed that reaches the gold was in sight;
+    ``visible``: any definition was.
+    """
     return (
         F.when(solved, "solved")
-        .when(wrong_reach, "wrong_reach")
-        .when(~seed_defined & ~available, "unavailable")
-        .when(~chosen, "unchosen")
-        .when(~right_level, "wrong_level")
+        .when(depth.isNotNull(), "wrong_reach")
+        .when(workable, "unchosen")
+        .when(seed_defined & visible, "wrong_level")
         .otherwise("unavailable")
     )
 
 
+def reach_report(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group: decisions, each verdict but ``solved``, how far the seeds lie from the gold, seeds that are indexed, bytes returned.
+
+    ``rows``: solved, depth, seed_defined, workable, visible, returned_bytes.
+    """
+    depth = F.col("depth")
+    verdict = reach_verdict(F.col("solved"), depth, F.col("seed_defined"), F.col("workable"), F.col("visible"))
+    out = rows.withColumn("verdict", verdict).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("structural_decisions"),
+        *[F.count_if(F.col("verdict") == v).alias(v) for v in ("unavailable", "unchosen", "wrong_level", "wrong_reach")],
+        F.count_if(depth == 0).alias("at_gold"),
+        F.count_if(depth == 1).alias("one_hop"),
+        F.count_if(depth > 1).alias("two_to_five_hops"),
+        F.count_if(depth.isNull()).alias("unreachable"),
+        F.count_if("seed_defined").alias("indexed_seeds"),
+        F.sum("returned_bytes").alias("returned_bytes_total"),
+    )
+    return with_medians(out, rows, by, {"returned_bytes_median": "returned_bytes"})
+
+
+#: Names of the distributions among the end-to-end measures.
+END_TO_END = (
+    "input_tokens", "output_tokens", "reasoning_tokens", "retrieval_bytes", "context_token_turns", "retrieval_calls", "source_reads", "retrieval_latency_ms", "wall_time_ms",
+    "calls_to_first_hit", "calls_after_first_hit", "bytes_after_first_hit", "input_tokens_after_first_hit",
+)
+
+
+def end_to_end(rows: DataFrame, system: str = "system", category: str = "category") -> DataFrame:
+    """Every end-to-end measure per system (``category`` null) and per category of a system, by one and the same code.
+
+    ``rows``: one trial each, with task_id, status, correct, resolved_correct, resolved_credit, budget_exhausted, cost_usd,
+    first_hit_call, answered_without_evidence, contaminated and the columns in ``END_TO_END``.  Each of those has a median and a
+    mean (half to even at one decimal) and a count; input tokens and retrieval bytes also have a median over the resolved trials.
+    A trial without a category is ``uncategorized``.  Every trial counts in two buckets, so nothing is computed twice over.
+    """
+    buckets = F.array(F.lit(None).cast("string"), F.coalesce(category, F.lit("uncategorized")))
+    both = rows.withColumn("__bucket", F.explode(buckets)).drop(category).withColumnRenamed("__bucket", category)
+    by = [system, category]
+    on = lambda c: F.coalesce(F.col(c), F.lit(False))
+    blind = on("answered_without_evidence")
+    out = both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("trials"),
+        F.count_distinct("task_id").alias("questions"),
+        F.count_if(F.col("status") == "completed").alias("completed"),
+        F.count_if(on("correct")).alias("correct"),
+        F.count_if(on("resolved_correct")).alias("resolved_correct"),
+        F.bround(F.avg("resolved_credit"), 3).alias("resolved_credit_mean"),
+        F.count_if(on("budget_exhausted")).alias("budget_exhausted"),
+        F.bround(F.sum("cost_usd"), 4).alias("cost_usd"),
+        F.count("first_hit_call").alias("trials_with_hit"),
+        F.count_if(blind).alias("answered_without_evidence"),
+        F.count_if(on("contaminated")).alias("contaminated"),
+        F.count_if(blind & ~on("resolved_correct")).alias("wrong_without_evidence"),
+    )
+    # the distributions as rows: one selection serves all of them
+    resolved = {f"resolved_{m}": F.when(on("resolved_correct"), F.col(m)) for m in ("input_tokens", "retrieval_bytes")}
+    values = {**{m: F.col(m) for m in END_TO_END}, **resolved}
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), v.cast("double").alias("value")) for m, v in values.items()])
+    long = both.select(*by, F.explode(pairs).alias("p")).select(*by, "p.measure", "p.value")
+    stats = rounded_stat(long, [*by, "measure"], "value")
+    wide = stats.groupBy(*by).agg(
+        *[F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{m}_{c}") for m in END_TO_END for c in ("median", "mean", "n")],
+        *[F.max(F.when(F.col("measure") == m, F.col("median"))).alias(f"{m}_median") for m in resolved],
+    )
+    same = F.col(f"o.{system}").eqNullSafe(F.col(f"w.{system}")) & F.col(f"o.{category}").eqNullSafe(F.col(f"w.{category}"))
+    return out.alias("o").join(wide.alias("w"), same).select("o.*", *[f"w.{c}" for c in wide.columns if c not in by])
+
+
 def converged(runs: DataFrame, order: str = "run", value: str = "tokens", within: float = 0.02) -> DataFrame:
-    """Whether the last two values of each group lie within 2 % of each other."""
-    w = Window.partitionBy("group").orderBy(F.desc(order))
-    last = runs.withColumn("place", F.row_number().over(w)).where("place <= 2").groupBy("group")
-    a, b = F.max(F.when(F.col("place") == 1, F.col(value))), F.max(F.when(F.col("place") == 2, F.col(value)))
-    return last.agg(F.coalesce(F.abs(a - b) <= within * F.abs(b), F.lit(False)).alias("converged"))
+    """(group, converged): the last value of each group, if the one before it lies within 2 % of it, or within 1; else null.
+
+    A last value of zero and a single run don't count as settled.
+    """
+    last = runs.groupBy("group").agg(F.max_by(value, order).alias("last"), F.max(order).alias("__last"))
+    before = runs.join(last.select("group", "__last"), "group").where(F.col(order) < F.col("__last")).groupBy("group").agg(F.max_by(value, order).alias("before"))
+    near = F.abs(F.col("last") - F.col("before")) <= F.greatest(F.lit(1.0), within * F.col("last"))
+    return last.join(before, "group", "left").select("group", F.when((F.col("last") != 0) & near, F.col("last")).alias("converged"))
 
 
 def ratios(arms: DataFrame, value: str) -> DataFrame:
@@ -314,9 +426,14 @@ def regrade_changes(old: DataFrame, new: DataFrame, key: list[str], value: str =
     return joined.where(F.abs(F.col("before") - F.col("after")) > least)
 
 
-def label_counts(rows: DataFrame, by: str, labels: str = "labels") -> DataFrame:
-    """Label histogram and the share of empty results per condition."""
-    return rows.select(by, F.explode(labels).alias("label")).groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+def label_report(rows: DataFrame, by: str, labels: str = "labels") -> DataFrame:
+    """Per condition: calls, empty ones and their share, and a map from label to count."""
+    held = F.coalesce(F.col(labels), F.array())
+    empty = F.count_if(F.array_contains(held, "empty"))
+    out = rows.groupBy(by).agg(F.count(F.lit(1)).alias("calls"), empty.alias("empty_calls"), (empty / F.count(F.lit(1))).alias("empty_share"))
+    counts = histogram(rows.select(by, F.explode(labels).alias("label")), [by], "label")
+    named = out.alias("o").join(counts.alias("c"), F.col(f"o.{by}").eqNullSafe(F.col(f"c.{by}")), "left")
+    return named.select("o.*", F.coalesce("c.histogram", F.create_map().cast("map<string,bigint>")).alias("labels"))
 
 
 def answer_cells(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -361,18 +478,38 @@ def excess_calls(calls: DataFrame, base: str, other: str) -> DataFrame:
     return per.select("task_id", (F.col("base_all") - F.col("other_all")).alias("excess"), (F.col("base_found") - F.col("other_found")).alias("excess_found"))
 
 
-def payload_audit(rows: DataFrame, by: str = "arm") -> DataFrame:
-    """Tallies of replies per arm: whole payloads, fenced ones, text around them, none at all."""
-    reply = F.coalesce(F.trim("reply"), F.lit(""))
-    whole = reply.rlike(r'(?s)^\{\s*"answer"\s*:.*\}$')
-    fenced = reply.rlike(r'(?s)^```(json)?\s*\{\s*"answer"\s*:.*\}\s*```$')
-    holds = reply.rlike(r'(?s)\{\s*"answer"\s*:')
-    return rows.groupBy(by).agg(
+def payload(reply: Column) -> Column:
+    """The one JSON object of a reply (as text), null if there is none or more than one: fences come in one pair or not at all."""
+    fences = (F.octet_length(reply) - F.octet_length(F.replace(reply, F.lit("```"), F.lit("")))) / 3
+    body = F.when(F.locate("{", reply) > 0, F.substring(reply, F.locate("{", reply), F.char_length(reply)))
+    # the object ends at the first closing brace up to which the text is whole
+    pieces = F.split(body, r"\}", -1)
+    ends = F.transform(F.sequence(F.lit(1), F.greatest(F.size(pieces) - 1, F.lit(1))), lambda k: F.concat(F.array_join(F.slice(pieces, F.lit(1), k), "}"), F.lit("}")))
+    first = F.try_element_at(F.filter(ends, lambda c: F.try_parse_json(c).isNotNull()), F.lit(1))
+    rest = F.substring(body, F.char_length(first) + 1, F.char_length(body))
+    return F.when(fences.isin(0, 2) & ~F.contains(rest, F.lit("{")), first)
+
+
+def payload_audit(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Per group and outcome the trials: what the one JSON object of an answer says of the gold, whatever stands around it.
+
+    ``rows``: status, correct (as first graded), answer, gold (JSON ``{"answer": ...}``), as_set.  Outcomes: payload_matches,
+    payload_differs, manual_review (no single well-formed object), excluded_unfinished.  ``recovered`` counts matches that were
+    graded wrong, ``original_passes`` what was graded right.
+    """
+    graded = strict_grade(payload(F.col("answer")), F.col("gold"), F.col("as_set"))
+    outcome = (
+        F.when(F.col("status") != "completed", "excluded_unfinished")
+        .when(~F.coalesce(graded["format_correct"], F.lit(False)), "manual_review")
+        .when(graded["correct"], "payload_matches")
+        .otherwise("payload_differs")
+    )
+    right = F.coalesce("correct", F.lit(False))
+    done = rows.withColumn("outcome", outcome)
+    return done.groupBy(*by, "outcome").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(whole).alias("whole"),
-        F.count_if(~whole & fenced).alias("fenced"),
-        F.count_if(~whole & ~fenced & holds).alias("around"),
-        F.count_if(~holds).alias("none"),
+        F.count_if(right & (F.col("outcome") != "excluded_unfinished")).alias("original_passes"),
+        F.count_if(~right & (F.col("outcome") == "payload_matches")).alias("recovered"),
     )
 
 

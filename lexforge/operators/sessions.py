@@ -139,11 +139,16 @@ def visible(text: Column, path: Column, leaf: Column) -> Column:
     return F.contains(text, path) & F.contains(text, leaf)
 
 
-def page_followed(calls: DataFrame) -> DataFrame:
-    """Truncated calls with whether a later call of the session asks for the same with an offset."""
-    later = calls.where("offset > 0").select("session", "request", F.col("sequence").alias("later"))
-    joined = calls.where("truncated").join(later, ["session", "request"], "left")
-    return joined.groupBy("session", "sequence", "request").agg(F.max(F.coalesce(F.col("later") > F.col("sequence"), F.lit(False))).alias("followed"))
+def page_labels(calls: DataFrame) -> DataFrame:
+    """Full pages (results >= limit) with ``label``: whether any call of the session asks the same tool for the same query at an offset.
+
+    ``calls``: session, tool, query, results, limit, offset.
+    """
+    asked = calls.where("offset <> 0").select("session", "tool", "query").distinct()
+    full = calls.where("results >= limit").alias("c")
+    same = (F.col("c.session") == F.col("a.session")) & (F.col("c.tool") == F.col("a.tool")) & F.col("c.query").eqNullSafe(F.col("a.query"))
+    followed = full.join(asked.alias("a"), same, "left").select("c.*", F.col("a.session").isNotNull().alias("followed"))
+    return followed.withColumn("label", F.when(F.col("followed"), "page_followed").otherwise("page_truncated_not_followed")).drop("followed")
 
 
 def budget_meter(calls: DataFrame, most_calls: int, most_bytes: int, failure_bytes: int = 0) -> DataFrame:

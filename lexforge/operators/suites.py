@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.operators.lines import lines
+
 
 def plan(tasks: DataFrame, systems: DataFrame, repetitions: int, seed: int) -> DataFrame:
     """Every repetition of every task on every system, with a place drawn from the seed.
@@ -72,23 +74,53 @@ def commit_rules() -> list[tuple[str, Column]]:
         ("no symbol changed", F.size("identities") == 0),
         ("too many symbols", F.size("identities") > 5),
         ("only tests", F.forall("files", lambda f: is_test_path(f))),
-        ("leaks the answer", F.exists("identities", lambda i: leaks(F.col("message"), F.element_at(F.split(i, "::"), -1)))),
+        ("leaks the answer", F.exists("identities", lambda i: leaks(F.col("message"), i))),
     ]
 
 
+#: Folders, files and names of test code, and the line that opens a test scope.
+TEST_FOLDER = r"(^|/)(tests?|testing|spec|specs|__tests__)(/|$)"
+TEST_FILE = r"(?i)(^|[._-])(test|spec)s?[._]|_test\.|\.test\.|\.spec\."
+TEST_NAME = r"^(test[_A-Z]|Test[A-Z]|should[A-Z])"
+TEST_SCOPE = r"^\s*#\[cfg\(test\)\]"
+
+
 def is_test_path(path: Column) -> Column:
     """Test code by its path: a test folder, or a file named as a test."""
-    return path.rlike(r"(?i)(^|/)(tests?|__tests__|spec|testdata|fixtures)/") | path.rlike(r"(?i)(^|/)(test_[^/]*|[^/]*[_.-](test|spec)s?)\.[a-z+]+$")
+    return path.rlike(TEST_FOLDER) | F.element_at(F.split(path, "/"), -1).rlike(TEST_FILE)
+
 
+def is_test_name(leaf: Column) -> Column:
+    return leaf.rlike(TEST_NAME)
 
-def is_test_code(path: Column, leaf: Column, scope: Column) -> Column:
-    return is_test_path(path) | leaf.rlike(r"^(test|Test|should)[_A-Z]|^tests?$") | F.coalesce(scope, F.lit("")).rlike(r"(?i)\btests?\b")
+
+def test_code(definitions: DataFrame, files: DataFrame) -> DataFrame:
+    """``definitions`` (path, leaf, line) and ``is_test``: by path, by name, or declared below a line of its file that opens a test scope.
+
+    Of several declarations of a name in a file the first counts.
+    """
+    marker = lines(files).where(F.col("text").rlike(TEST_SCOPE)).groupBy("path").agg(F.min("line").alias("__marker"))
+    first = definitions.groupBy("path", "leaf").agg(F.min("line").alias("__first"))
+    below = first.join(marker, "path").where("__first > __marker").select("path", "leaf", F.lit(True).alias("__below"))
+    found = definitions.join(below, ["path", "leaf"], "left")
+    return found.withColumn("is_test", is_test_path(F.col("path")) | is_test_name(F.col("leaf")) | F.col("__below").isNotNull()).drop("__below")
 
 
-def leaks(prose: Column, leaf: Column) -> Column:
-    """Whether prose holds the leaf as a whole word."""
-    quoted = F.regexp_replace(leaf, r"([^\p{L}\p{N}_])", r"\\$1")
-    return F.regexp_like(prose, F.concat(F.lit(r"(?iu)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+def whole_word(prose: Column, token: Column) -> Column:
+    """Whether a token stands in a text with no word character on either side."""
+    quoted = F.regexp_replace(token, r"([^\p{L}\p{N}_\s])", r"\\$1")
+    return (token != "") & F.regexp_like(prose, F.concat(F.lit(r"(?U)(?<!\w)"), quoted, F.lit(r"(?!\w)")))
+
+
+def leaks(prose: Column, identity: Column, defined: Column | None = None) -> Column:
+    """Whether prose holds the last name of an identity (``path::Owner::name``), or its file's stem, as a whole word.
+
+    With ``defined`` (an array of names) a stem counts only if something of that name is defined.
+    """
+    parts = F.split(identity, "::")
+    stem = F.regexp_replace(F.element_at(F.split(F.element_at(parts, 1), "/"), -1), r"(?<=.)\.[^.]*$", "")
+    by_stem = whole_word(prose, stem) if defined is None else whole_word(prose, stem) & F.array_contains(defined, stem)
+    return whole_word(prose, F.element_at(parts, -1)) | by_stem
 
 
 def contamination(tool: Column, path: Column, allowed: list[str], root: str) -> Column:
@@ -112,10 +144,26 @@ def suite_problems(questions: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def competency(rows: DataFrame) -> DataFrame:
-    """Right answer and right behaviour: every demanded tool called, no forbidden one."""
-    called = F.transform("calls", lambda c: c["tool"])
-    demanded = F.forall("demanded", lambda t: F.array_contains(called, t))
-    return rows.withColumn("score", F.when(F.col("correct") & demanded & ~F.arrays_overlap(called, "forbidden"), 1).otherwise(0))
+    """``rows`` and ``satisfied``, ``score``: a right answer in the right form, found in the way the task asks for.
+
+    ``rows``: correct, format_correct, kind, file, expected (array of lines) and calls (name, regex, limit, path, start_line, end_line,
+    lines: those delivered of ``file``, none where the call failed).  Kinds: ``regex`` - one regular-expression search delivers
+    just the expected lines; ``paging`` - nothing but searches of one or two rows a page, which deliver the expected lines
+    together; ``read`` - nothing but reads of that file's one line.  Any other kind asks for nothing.
+    """
+    wanted = F.array_sort("expected")
+    searches = F.filter("calls", lambda c: c["name"] == "search_exact")
+    by_regex = F.exists(searches, lambda c: F.coalesce(c["regex"], F.lit(False)) & (F.array_sort(c["lines"]) == wanted))
+    small = F.forall("calls", lambda c: (c["name"] == "search_exact") & F.coalesce(c["limit"], F.lit(20)).between(1, 2))
+    together = F.array_sort(F.array_distinct(F.flatten(F.transform(searches, lambda c: c["lines"])))) == wanted
+    one = F.element_at("expected", 1)
+    reads = F.forall(
+        "calls", lambda c: (c["name"] == "read_source") & (c["path"] == F.col("file")) & (c["start_line"] == one) & (c["end_line"] == one) & (c["lines"] == F.array(one))
+    )
+    any_call = F.size("calls") > 0
+    way = F.when(F.col("kind") == "regex", by_regex).when(F.col("kind") == "paging", any_call & small & together).when(F.col("kind") == "read", any_call & reads).otherwise(True)
+    way = F.coalesce(way, F.lit(False))
+    return rows.withColumn("satisfied", way).withColumn("score", (F.col("correct") & F.col("format_correct") & way).cast("int"))
 
 
 def true_callers(uses: DataFrame, spans: DataFrame) -> DataFrame:
@@ -132,7 +180,7 @@ def localisation_rules() -> list[tuple[str, Column]]:
         ("no gold", F.size("gold") == 0),
         ("gold isn't in the corpus", F.size(F.array_except("gold", "defined")) > 0),
         ("only test code", F.forall("gold", lambda g: is_test_path(F.element_at(F.split(g, "::"), 1)))),
-        ("leaks the answer", F.forall("gold", lambda g: leaks(F.col("issue"), F.element_at(F.split(g, "::"), -1)))),
+        ("leaks the answer", F.forall("gold", lambda g: leaks(F.col("issue"), g))),
     ]
 
 

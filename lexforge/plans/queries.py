@@ -503,15 +503,6 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {CALLS}, m AS (SELECT *, lag(tool) OVER (PARTITION BY session ORDER BY sequence) AS b FROM calls)
-SELECT session, count(*) AS calls, count(*) FILTER (NOT failed) AS completed, count(*) FILTER (failed) AS errors, count(*) FILTER (tool <> b) AS switches,
-  count(*) FILTER (split_part(tool, '_', 1) <> split_part(b, '_', 1)) AS method_switches, CAST(sum(bytes) AS BIGINT) AS bytes, round(sum(latency_ms), 4) AS latency_ms FROM m GROUP BY session"""
-)
-def session_summary(spark, sf_dir):
-    return sessions.session_summary(calls(spark, sf_dir)).withColumn("latency_ms", F.round("latency_ms", 4))
-
-
 @query(f"WITH {CALLS}, m AS (SELECT *, lag(tool) OVER (PARTITION BY session ORDER BY sequence) AS before FROM calls) SELECT before, tool, count(*) AS n FROM m WHERE before IS NOT NULL GROUP BY ALL")
 def tool_switches(spark, sf_dir):
     return sessions.tool_switches(calls(spark, sf_dir))
@@ -537,7 +528,7 @@ def prior_asof(spark, sf_dir):
 
 @query(
     f"""WITH {CALLS}, {_ASOF} SELECT session, sequence, tool, prior_tool, CASE WHEN prior_failed THEN 'error' ELSE 'empty' END AS reason FROM p
-WHERE (prior_failed OR prior_tool = 'view') AND split_part(tool, '_', 1) <> split_part(prior_tool, '_', 1)"""
+WHERE (prior_failed OR prior_tool = 'view') AND tool <> prior_tool"""
 )
 def fallback_proxies(spark, sf_dir):
     return sessions.fallbacks(_timed(spark, sf_dir)).select("session", "sequence", "tool", F.col("prior.tool").alias("prior_tool"), "reason")
@@ -813,15 +804,6 @@ def one_factor_contrasts(spark, sf_dir):
     return suites.one_factor_contrasts(cells, ["a", "b", "z"])
 
 
-@query(f"WITH {CALLS} SELECT session, sequence, tool, CASE WHEN failed THEN 'error' WHEN tool = 'view' THEN 'empty' END AS label FROM calls WHERE failed OR tool = 'view'")
-def call_labels(spark, sf_dir):
-    from lexforge.functions.text import call_labels as labels
-
-    c = calls(spark, sf_dir)
-    found = labels(F.col("tool"), F.col("request"), F.lit(False), F.col("results"), F.col("failed"))
-    return c.select("session", "sequence", "tool", F.explode(found).alias("label"))
-
-
 @query("SELECT doc_id, CASE WHEN n_chars < 200 THEN 'too short' WHEN lang <> 'en' THEN 'not English' WHEN contains(text, '|') THEN 'a table' END AS refusal FROM documents")
 def suite_refusals(spark, sf_dir):
     rules = [("too short", F.col("n_chars") < 200), ("not English", F.col("lang") != "en"), ("a table", F.contains("text", F.lit("|")))]
@@ -834,4 +816,4 @@ def condition_counts(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("the"))).alias("matched"))
 
 
-from lexforge.plans import source_queries, study_queries  # noqa: E402, F401 - registers further queries
+from lexforge.plans import source_queries, study_queries, trial_queries  # noqa: E402, F401 - registers further queries

@@ -1,4 +1,4 @@
-"""Further registered queries: graded answers, audits, suites, logs and text functions, each beside its SQL.
+"""Further registered queries: audits, suites, logs and text functions, each beside its SQL.
 
 Adapters derive the operators' inputs from the tables, mostly by remainders of keys, so that every
 branch of an operator is met; the SQL contains the same adapters and states the operators' rules anew.
@@ -6,11 +6,9 @@ branch of an operator is met; the SQL contains the same adapters and states the
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
-from lexforge.functions import grading, text
+from lexforge.functions import text
 from lexforge.operators import graph, lines, measures, power, retrieval, sessions, suites
 from lexforge.plans.queries import CALLS, FILES, GRAPH, _busiest, _spans, calls, files, query, refs, symbols, table
 from lexforge.sources import logs
@@ -54,35 +52,6 @@ def whole_name_files(spark, sf_dir):
     return files(spark, sf_dir).select(F.explode(hits).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("files"))
 
 
-_PATHS = ["src/tests/a.py", "test_a.py", "src/a_test.go", "lib/a.py", "spec/b.rb", "contest/a.rs", "a/b.spec.ts"]
-_LEAVES = ["test_x", "Testing", "shouldRun", "main", "tests"]
-_SCOPES = [None, "unit tests", "x"]
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, {_sql_list(_PATHS)}[doc_id % 7 + 1] AS path, {_sql_list(_LEAVES)}[doc_id % 5 + 1] AS leaf, {_sql_list(_SCOPES)}[doc_id % 3 + 1] AS scope FROM documents)
-SELECT doc_id, regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec|testdata|fixtures)/') OR regexp_matches(path, '(?i)(^|/)(test_[^/]*|[^/]*[_.-](test|spec)s?)\\.[a-z+]+$')
-  OR leaf IN ('test_x', 'shouldRun', 'tests') OR coalesce(scope = 'unit tests', FALSE) AS is_test FROM a"""
-)
-def test_code(spark, sf_dir):
-    d = F.col("doc_id")
-    scope = F.when(d % 3 == 1, "unit tests").when(d % 3 == 2, "x")
-    return table(spark, sf_dir, "documents").select("doc_id", suites.is_test_code(_pick(d, _PATHS), _pick(d, _LEAVES), scope).alias("is_test"))
-
-
-_WORDS = ["the", "license", "les", "a.b", "ing"]
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, text, {_sql_list(_WORDS)}[doc_id % 5 + 1] AS leaf FROM documents)
-SELECT doc_id, leaf FROM a WHERE regexp_matches(text, '(?i)(^|[^0-9A-Za-z_])' || replace(leaf, '.', '\\.') || '($|[^0-9A-Za-z_])')"""
-)
-def prose_leaks(spark, sf_dir):
-    leaf = _pick(F.col("doc_id"), _WORDS)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", leaf.alias("leaf"))
-    return d.where(suites.leaks(F.col("text"), F.col("leaf"))).select("doc_id", "leaf")
-
-
 @query(
     """SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view') THEN 'tool not allowed' WHEN event_id % 3 = 1 THEN 'path outside the corpus' END AS reason FROM events"""
 )
@@ -92,64 +61,6 @@ def disallowed_calls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
 
 
-@query(
-    "SELECT doc_id, array_to_string(list_sort(list_distinct([lower(lang), 'source' || regexp_extract(source, '^[a-z]+'), regexp_extract(source, '[0-9]+$'), 'id', CAST(doc_id AS VARCHAR), 'http'])), ' ') AS pieces FROM documents"
-)
-def identifier_pieces(spark, sf_dir):
-    name = F.concat("lang", F.lit("Source"), "source", F.lit("_ID"), F.col("doc_id").cast("string"), F.lit("HTTP"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.word_pieces(name)), " ").alias("pieces"))
-
-
-_MESSAGE = r"substr(text, 1, 60) || ' (#' || doc_id || ')  for  #12' || chr(10) || 'Fixes: 7' || chr(10) || chr(10) || 'Signed-off-by: a'"
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, {_MESSAGE} AS m FROM documents),
-b AS (SELECT doc_id, trim(regexp_replace(m, '(?im)^(signed-off-by|co-authored-by|reviewed-by|fixes|closes|cc):.*$', '', 'g')) AS m FROM a),
-c AS (SELECT doc_id, regexp_replace(split_part(m, chr(10) || chr(10), 1), '\\(?#[0-9]+\\)?', '', 'g') AS m FROM b)
-SELECT doc_id, trim(regexp_replace(m, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS message FROM c"""
-)
-def commit_messages(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    message = F.concat(F.substring("text", 1, 60), F.lit(" (#"), F.col("doc_id").cast("string"), F.lit(")  for  #12\nFixes: 7\n\nSigned-off-by: a"))
-    return d.select("doc_id", text.clean_message(message).alias("message"))
-
-
-@query(
-    "SELECT doc_id, 'please fix in and call at ' || lang || ' now' AS question, 'concept ' || lang || ' fix' || doc_id || ' term' AS rewritten FROM documents"
-)
-def bare_questions(spark, sf_dir):
-    """Questions without what looks like code, and queries put together anew."""
-    d = F.col("doc_id").cast("string")
-    asked = F.concat(F.lit("please fix `"), "lang", F.lit("` in parse_"), "source", F.lit(" and call run() at camelCase"), d, F.lit(" "), "lang", F.lit(" now"))
-    again = suites.reformulated(F.concat(F.lit("concept "), F.col("lang")), F.concat(F.lit("fix"), d), F.lit("term"))
-    return table(spark, sf_dir, "documents").select("doc_id", text.strip_identifiers(asked).alias("question"), again.alias("rewritten"))
-
-
-@query(
-    """WITH t AS (SELECT doc_id, unnest([{'term': lang, 'weight': 5}, {'term': 'where', 'weight': 1}, {'term': 'parse_' || source, 'weight': 3}, {'term': 'and', 'weight': 1},
-  {'term': 'doc' || doc_id, 'weight': 3}, {'term': 'the', 'weight': 1}, {'term': 'camelCase', 'weight': 3}], recursive := true) FROM documents) SELECT doc_id, term, CAST(weight AS INTEGER) AS weight FROM t"""
-)
-def question_weights(spark, sf_dir):
-    d = F.col("doc_id").cast("string")
-    asked = F.concat(F.lit("where is `"), "lang", F.lit("` and parse_"), "source", F.lit(" of doc"), d, F.lit(" the the camelCase"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(text.question_terms(asked)).alias("t")).select("doc_id", "t.term", "t.weight")
-
-
-@query(r"SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), lambda x: length(x) > 2))) AS INTEGER) AS words FROM documents")
-def text_vocabulary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.vocabulary(F.col("text"))).alias("words"))
-
-
-@query(
-    """SELECT event_id, '{"tool":"' || event_type || '","limit":' || CASE WHEN event_id % 3 = 0 THEN '20' ELSE CAST(event_id % 50 AS VARCHAR) END || ',"path":"' || CASE WHEN event_id % 2 = 0 THEN '.' ELSE 'src/a' END || '"}' AS signature FROM events"""
-)
-def request_signatures(spark, sf_dir):
-    k = F.col("event_id")
-    asked = {"path": (F.when(k % 2 == 1, F.lit("src/a")), "."), "limit": (F.when(k % 3 > 0, (k % 50).cast("int")), 20)}
-    return table(spark, sf_dir, "events").select("event_id", text.signature(F.col("event_type"), asked).alias("signature"))
-
-
 @query("SELECT doc_id, 'src/' || lang || '/a.py' AS path FROM documents")
 def normal_paths(spark, sf_dir):
     written = F.concat(F.lit("./src\\"), "lang", F.lit("//./a.py"))
@@ -289,15 +200,6 @@ def paired_events(spark, sf_dir):
     return sessions.pair_events(e).drop("error")
 
 
-@query(
-    f"""WITH {CALLS}, x AS (SELECT *, bytes % 2 = 0 AS truncated, sequence % 3 AS off FROM calls)
-SELECT a.session, a.sequence, EXISTS (SELECT 1 FROM x b WHERE b.session = a.session AND b.tool = a.tool AND b.arg IS NOT DISTINCT FROM a.arg AND b.off > 0 AND b.sequence > a.sequence) AS followed FROM x a WHERE truncated"""
-)
-def pages_followed(spark, sf_dir):
-    c = calls(spark, sf_dir).withColumn("truncated", F.col("bytes") % 2 == 0).withColumn("offset", F.col("sequence") % 3)
-    return sessions.page_followed(c).select("session", "sequence", "followed")
-
-
 _SHOWN = """e AS (SELECT conv_id AS session, turn AS sequence, CASE WHEN length(text) % 7 > 0 THEN role END AS path, length(text) % 17 AS line, CASE WHEN length(text) % 5 > 0 THEN length(text) % 17 + length(text) % 9 - 3 END AS end_line FROM conversations),
 shown AS (SELECT session, sequence, path, line AS start, greatest(coalesce(end_line, line), line) AS "end" FROM e WHERE path IS NOT NULL AND line >= 1)"""
 
@@ -409,39 +311,6 @@ def tool_verdicts(spark, sf_dir):
     return table(spark, sf_dir, "part").select(k.alias("tool"), verdict.alias("verdict"))
 
 
-@query(
-    """SELECT o_orderpriority AS condition, CASE WHEN o_orderkey % 4 = 0 THEN 'correct' WHEN o_orderkey % 5 = 0 THEN 'no answer' WHEN o_orderkey % 3 = 0 THEN 'never retrieved' WHEN o_orderkey % 2 = 0 THEN 'partly retrieved' ELSE 'retrieved, not used' END AS mode, count(*) AS n FROM orders GROUP BY ALL"""
-)
-def failure_modes(spark, sf_dir):
-    k = F.col("o_orderkey")
-    mode = measures.failure_mode(F.when(k % 4 == 0, 1.0).otherwise(0.5), F.when(k % 5 > 0, F.lit("a")), k % 3 > 0, k % 2 > 0)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("condition"), mode.alias("mode")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    """SELECT o_orderpriority AS arm, CASE WHEN k % 6 = 0 THEN 'solved' WHEN k % 5 = 0 THEN 'wrong_reach' WHEN k % 2 > 0 AND k % 3 > 0 THEN 'unavailable' WHEN k % 7 = 0 THEN 'unchosen' WHEN k % 11 = 0 THEN 'wrong_level' ELSE 'unavailable' END AS verdict, count(*) AS n
-FROM (SELECT *, o_orderkey AS k FROM orders) GROUP BY ALL"""
-)
-def reach_verdicts(spark, sf_dir):
-    k = F.col("o_orderkey")
-    verdict = measures.reach_verdict(k % 6 == 0, k % 5 == 0, k % 2 == 0, k % 3 == 0, k % 7 > 0, k % 11 > 0)
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("arm"), verdict.alias("verdict")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(
-    """WITH r AS (SELECT p_partkey AS k, [p_size % 5, p_size % 7 + 10] AS gold, [p_size % 5, p_partkey % 7 + 10] AS seen, [p_partkey % 7 + 10, p_size % 7 + 10 * (p_partkey % 2)] AS control FROM part),
-m AS (SELECT *, list_filter(gold, lambda x: NOT list_contains(seen, x)) AS missing FROM r WHERE k % 3 > 0)
-SELECT CASE WHEN len(missing) > 0 AND len(list_filter(missing, lambda x: list_contains(control, x))) > 0 THEN 'expansion_skipped' WHEN len(missing) > 0 THEN 'premature_stop' ELSE 'evidence_seen' END AS verdict, count(*) AS n FROM m GROUP BY 1"""
-)
-def closure_verdicts(spark, sf_dir):
-    k, s = F.col("p_partkey"), F.col("p_size")
-    r = table(spark, sf_dir, "part").select(
-        F.array(s % 5, s % 7 + 10).alias("gold"), F.array(s % 5, k % 7 + 10).cast("array<int>").alias("seen"), F.array(k % 7 + 10, s % 7 + 10 * (k % 2)).cast("array<int>").alias("control_seen"),
-        F.when(k % 3 > 0, 0.5).otherwise(1.0).alias("treatment_credit"), F.lit(1.0).alias("control_credit"),
-    )
-    return measures.closure_verdict(r.withColumn("gold", F.col("gold").cast("array<int>"))).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query(
     "SELECT o_orderpriority AS language, round(sum(o_orderkey % 3) / sum(o_orderkey % 3 + o_orderkey % 2), 9) AS precision, round(sum(o_orderkey % 3) / sum(o_orderkey % 3 + o_orderkey % 5), 9) AS recall, CAST(sum(o_orderkey % 3) AS BIGINT) AS agreed FROM orders GROUP BY 1"
 )
@@ -462,37 +331,6 @@ def scale_rungs(spark, sf_dir):
     return retrieval.rung_summary(cells).withColumn("mean_rank", F.round("mean_rank", 9))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (p_partkey % 3 = 0) AS strict, count(*) FILTER (p_partkey % 3 = 1) AS tail_only FROM part")
-def notation_diagnostic(spark, sf_dir):
-    k = F.col("p_partkey")
-    gold = F.array(F.concat(F.lit("x::"), F.col("p_brand")), F.col("p_type"))
-    got = F.when(k % 3 == 0, F.array(F.col("p_type"), F.concat(F.lit("x::"), F.col("p_brand")))).when(k % 3 == 1, F.array(F.col("p_brand"), F.concat("p_type", F.lit("()"))))
-    return measures.notation(table(spark, sf_dir, "part").select(gold.alias("gold"), got.otherwise(F.array(F.lit("y::z"), F.lit("zz"))).alias("got")))
-
-
-_REPLIES = ['{"answer": 1}', '```json\n{"answer": 2}\n```', 'well, {"answer": 3} it is', "no idea", None]
-
-
-@query("SELECT lang AS arm, count(*) AS n, count(*) FILTER (doc_id % 5 = 0) AS whole, count(*) FILTER (doc_id % 5 = 1) AS fenced, count(*) FILTER (doc_id % 5 = 2) AS around, count(*) FILTER (doc_id % 5 > 2) AS none FROM documents GROUP BY 1")
-def payload_audit(spark, sf_dir):
-    return measures.payload_audit(table(spark, sf_dir, "documents").select(F.col("lang").alias("arm"), _pick(F.col("doc_id"), _REPLIES).alias("reply")))
-
-
-@query(
-    """WITH w AS (SELECT doc_id, string_split(lower(substr(text, 1, 200)), ' ') AS w FROM documents), a AS (SELECT doc_id, w[1:10] AS q, w[6:15] AS o, w[3:18] AS r FROM w)
-SELECT doc_id AS task_id, CAST(len(list_distinct(list_filter(r, lambda x: list_contains(q, x) AND NOT list_contains(o, x)))) AS INTEGER) AS from_question,
-  CAST(len(list_distinct(list_filter(r, lambda x: list_contains(o, x) AND NOT list_contains(q, x)))) AS INTEGER) AS from_observed,
-  CAST(len(list_distinct(list_filter(r, lambda x: list_contains(o, x) AND list_contains(q, x)))) AS INTEGER) AS from_both,
-  CAST(len(list_distinct(list_filter(r, lambda x: NOT list_contains(o, x) AND NOT list_contains(q, x)))) AS INTEGER) AS new FROM a"""
-)
-def query_vocabulary(spark, sf_dir):
-    words = F.split(F.lower(F.substring("text", 1, 200)), " ")
-    rows = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("task_id"), F.slice(words, 1, 10).alias("question"), F.slice(words, 6, 10).alias("observed"), F.slice(words, 3, 16).alias("rewritten")
-    )
-    return measures.vocabulary_provenance(rows)
-
-
 @query(
     """SELECT o_orderpriority AS cell, count(*) AS n, count(*) FILTER (o_orderkey % 6 = 0) AS strict, count(*) FILTER (o_orderkey % 3 = 2) AS resolved, CAST(sum(o_orderkey % 3 / 2.0) AS DOUBLE) AS credit, count(*) FILTER (o_orderkey % 2 = 0) AS evidence,
 count(*) FILTER (o_orderkey % 5 = 0) AS declined, count(*) FILTER (o_orderkey % 5 > 0 AND o_orderkey % 3 = 0) AS fabricated FROM orders GROUP BY 1"""
@@ -505,15 +343,6 @@ def answer_cells(spark, sf_dir):
     return measures.answer_cells(rows, ["cell"])
 
 
-@query(
-    """WITH o AS (SELECT o_orderpriority AS "group", o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey DESC) AS place FROM orders),
-w AS (SELECT "group", max(v) FILTER (place = 1) AS a, max(v) FILTER (place = 2) AS b FROM o WHERE place <= 2 GROUP BY 1) SELECT "group", coalesce(abs(a - b) <= 0.5 * abs(b), FALSE) AS converged FROM w"""
-)
-def convergence(spark, sf_dir):
-    r = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("group"), F.col("o_orderkey").alias("run"), F.col("o_totalprice").alias("tokens"))
-    return measures.converged(r, within=0.5)
-
-
 _ARM_MEANS = "a AS (SELECT o_orderstatus AS study, o_orderpriority AS arm, avg(o_totalprice) AS v FROM orders GROUP BY ALL)"
 
 
@@ -563,16 +392,6 @@ def prompt_evidence(spark, sf_dir):
     return measures.prompt_evidence(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document"), (k % 4 == 0).alias("carries"), (k % 4 == 1).alias("suppresses")))
 
 
-@query(
-    """WITH rows AS (SELECT o_custkey AS c, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN ['empty'] WHEN 1 THEN ['error', 'empty'] ELSE [] END AS l FROM orders),
-x AS (SELECT c % 7 AS condition, unnest(l) AS label FROM rows) SELECT condition, label, count(*) AS n FROM x GROUP BY ALL"""
-)
-def label_histogram(spark, sf_dir):
-    k = F.col("o_orderkey")
-    labels = F.when(k % 3 == 0, F.array(F.lit("empty"))).when(k % 3 == 1, F.array(F.lit("error"), F.lit("empty"))).otherwise(F.array().cast("array<string>"))
-    return measures.label_counts(table(spark, sf_dir, "orders").select((F.col("o_custkey") % 7).alias("condition"), labels.alias("labels")), "condition")
-
-
 _MASS = "exp(lgamma(21) - lgamma(k + 1) - lgamma(21 - k) + CASE WHEN k > 0 THEN k * ln(r) ELSE 0 END + CASE WHEN k < 20 THEN (20 - k) * ln(1 - r) ELSE 0 END)"
 _POWER = f"""ks AS (SELECT unnest(range(0, 21)) AS k), rates AS (SELECT round(n * 0.001, 3) AS margin, least(1.0, round(n * 0.001, 3) + 0.5) AS r FROM (SELECT unnest(range(0, 501)) AS n)),
 null_mass AS (SELECT k, sum(m) OVER (ORDER BY k DESC) AS tail FROM (SELECT k, {_MASS.replace("(r)", "(0.5)").replace("- r)", "- 0.5)")} AS m FROM ks)), c AS (SELECT min(k) AS k FROM null_mass WHERE tail <= 0.05),
@@ -593,125 +412,8 @@ def reachable_margin(spark, sf_dir):
 # ---- suites ------------------------------------------------------------------------------------
 
 
-@query(
-    f"""WITH {FILES}, q AS (SELECT doc_id // 2 AS task_id, doc_id, path FROM files)
-SELECT task_id, 'error' AS severity, 'doubled id' AS problem FROM q GROUP BY task_id HAVING count(*) > 1
-UNION ALL SELECT task_id, 'error', 'blank question' FROM q WHERE doc_id % 7 = 0 UNION ALL SELECT task_id, 'error', 'no answer' FROM q WHERE doc_id % 5 = 0
-UNION ALL SELECT DISTINCT task_id, 'error', 'no file gone/' || path FROM q WHERE doc_id % 17 > 0 AND doc_id % 11 = 0
-UNION ALL SELECT DISTINCT task_id, 'error', 'not in ' || path FROM q WHERE doc_id % 17 > 0 AND doc_id % 11 > 0 AND doc_id % 13 = 0
-UNION ALL SELECT task_id, 'warning', 'no evidence' FROM q WHERE doc_id % 17 = 0"""
-)
-def suite_problems(spark, sf_dir):
-    f, k = files(spark, sf_dir), F.col("doc_id")
-    holds = F.when(k % 13 == 0, F.array(F.substring("text", 1, 20), F.lit("xyzzy$"))).otherwise(F.array(F.substring("text", 1, 20)))
-    proof = F.struct(F.when(k % 11 == 0, F.concat(F.lit("gone/"), "path")).otherwise(F.col("path")).alias("path"), holds.alias("contains"))
-    q = f.select(
-        F.floor(k / 2).alias("task_id"), F.when(k % 7 == 0, " ").otherwise("what").alias("question"), F.when(k % 5 > 0, F.lit("{}")).alias("expected_json"), F.when(k % 17 > 0, F.array(proof)).alias("evidence")
-    )
-    return suites.suite_problems(q, f.select("path", "text"))
-
-
-@query(
-    r"""WITH a AS (SELECT doc_id, lang AS symbol, CASE WHEN doc_id % 9 > 0 THEN substr(text, 1, 200) END AS comment, doc_id % 3 AS definitions FROM documents),
-b AS (SELECT *, CASE WHEN comment IS NOT NULL THEN len(regexp_split_to_array(trim(comment), '\s+')) ELSE -1 END AS words FROM a)
-SELECT CASE WHEN definitions <> 1 THEN 'several definitions' WHEN coalesce(trim(comment), '') = '' THEN 'no comment' WHEN words < 6 THEN 'too short' WHEN words > 30 THEN 'too long' WHEN contains(lower(comment), lower(symbol)) THEN 'names the symbol' END AS refusal, count(*) AS n FROM b GROUP BY 1"""
-)
-def mechanical_refusals(spark, sf_dir):
-    k = F.col("doc_id")
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("symbol"), F.when(k % 9 > 0, F.substring("text", 1, 200)).alias("comment"), (k % 3).alias("definitions"))
-    return suites.refusal_histogram(rows, suites.mechanical_rules(6, 30))
-
-
-_GOLD_NAMES = ["p::the", "q::license", "r::ing", "s::die", "t::xyzzy", "u::les", "v::w"]
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN substr(text, 1, 100) ELSE ' ' END AS message, {_sql_list(_GOLD_NAMES)}[1:doc_id % 8] AS ids FROM documents)
-SELECT CASE WHEN trim(message) = '' THEN 'no message' WHEN doc_id % 8 = 0 THEN 'no symbol changed' WHEN doc_id % 8 > 5 THEN 'too many symbols' WHEN doc_id % 3 = 0 THEN 'only tests'
-  WHEN len(list_filter(ids, lambda i: regexp_matches(message, '(?i)(^|[^0-9A-Za-z_])' || split_part(i, '::', 2) || '($|[^0-9A-Za-z_])'))) > 0 THEN 'leaks the answer' END AS refusal, count(*) AS n FROM a GROUP BY 1"""
-)
-def commit_refusals(spark, sf_dir):
-    k = F.col("doc_id")
-    ids = F.slice(F.array(*[F.lit(n) for n in _GOLD_NAMES]), F.lit(1), (k % 8).cast("int"))
-    changed = F.when(k % 3 == 0, F.array(F.lit("tests/a.py"))).otherwise(F.array(F.lit("src/a.py"), F.lit("tests/a.py")))
-    rows = table(spark, sf_dir, "documents").select(F.when(k % 10 > 0, F.substring("text", 1, 100)).otherwise(" ").alias("message"), ids.alias("identities"), changed.alias("files"))
-    return suites.refusal_histogram(rows, suites.commit_rules())
-
-
-@query(
-    f"""WITH a AS (SELECT doc_id, CASE WHEN doc_id % 10 > 0 THEN substr(text, 1, 100) END AS issue, {_sql_list(_GOLD_NAMES)}[1:doc_id % 3] AS gold FROM documents)
-SELECT CASE WHEN coalesce(trim(issue), '') = '' THEN 'no issue text' WHEN doc_id % 3 = 0 THEN 'no gold' WHEN doc_id % 5 = 0 THEN 'gold isn''t in the corpus'
-  WHEN len(list_filter(gold, lambda i: NOT regexp_matches(issue, '(?i)(^|[^0-9A-Za-z_])' || split_part(i, '::', 2) || '($|[^0-9A-Za-z_])'))) = 0 THEN 'leaks the answer' END AS refusal, count(*) AS n FROM a GROUP BY 1"""
-)
-def localisation_refusals(spark, sf_dir):
-    k, names = F.col("doc_id"), F.array(*[F.lit(n) for n in _GOLD_NAMES])
-    defined = F.when(k % 5 == 0, F.array(F.lit("z::z"))).otherwise(names)
-    rows = table(spark, sf_dir, "documents").select(F.when(k % 10 > 0, F.substring("text", 1, 100)).alias("issue"), F.slice(names, F.lit(1), (k % 3).cast("int")).alias("gold"), defined.alias("defined"))
-    return suites.refusal_histogram(rows, suites.localisation_rules())
-
-
-@query(
-    f"""WITH {CALLS}, s AS (SELECT session, list(tool) AS tools FROM calls GROUP BY session)
-SELECT session, CAST(CASE WHEN session % 2 = 0 AND list_contains(tools, 'click') AND NOT list_contains(tools, 'error') THEN 1 ELSE 0 END AS INTEGER) AS score FROM s"""
-)
-def competency_scores(spark, sf_dir):
-    per = calls(spark, sf_dir).groupBy("session").agg(F.collect_list(F.struct("tool")).alias("calls"))
-    rows = per.select("session", "calls", (F.col("session") % 2 == 0).alias("correct"), F.array(F.lit("click")).alias("demanded"), F.array(F.lit("error")).alias("forbidden"))
-    return suites.competency(rows).select("session", "score")
-
-
 @query(
     """WITH p AS (SELECT p_partkey, sha256('7|' || CAST(p_partkey AS VARCHAR)) AS d FROM part) SELECT p_partkey FROM p ORDER BY d, p_partkey LIMIT 50"""
 )
 def hashed_sample(spark, sf_dir):
     return suites.sample_by_hash(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"], 50, seed=7)
-
-
-# ---- graded answers ----------------------------------------------------------------------------
-
-_GOLD_JSON = json.dumps({"answer": ["a::f", "b::g"]})
-#: reply -> (correct, format_correct) by the second and by the third version of the strict rule.
-_GRADED = [
-    ('{"answer": ["a::f", "b::g"]}', (True, True), (True, True)),
-    ('{"answer": ["b::g", "a::f"]}', (True, True), (True, True)),
-    ('{"answer": ["a::f", "a::f", "b::g"]}', (False, True), (False, True)),
-    ('{"answer": ["a::f"], "answer": ["a::f", "b::g"]}', (False, False), (False, False)),
-    ('So:\n```json\n{"answer": ["a::f", "b::g"]}\n```\nDone.', (True, False), (True, False)),
-    ('```rust\nfn f() {}\n```\n```json\n{"answer": ["a::f", "b::g"]}\n```', (False, False), (True, False)),
-    ('```\n{"answer": ["a::f", "b::g"]}\n```\n```\n{"answer": ["a::f", "b::g"]}\n```', (False, False), (False, False)),
-    ('{"answer": "a::f"}', (False, False), (False, False)),
-    ("a::f and b::g", (False, False), (False, False)),
-    (None, (False, False), (False, False)),
-]
-
-
-def _case(at: int, version: int) -> str:
-    return "[" + ", ".join(str(g[version][at]).upper() for g in _GRADED) + f"][doc_id % {len(_GRADED)} + 1]"
-
-
-@query(f"SELECT doc_id, {_case(0, 1)} AS correct_v2, {_case(1, 1)} AS format_v2, {_case(0, 2)} AS correct_v3, {_case(1, 2)} AS format_v3 FROM documents")
-def strict_grades(spark, sf_dir):
-    reply = _pick(F.col("doc_id"), [g[0] for g in _GRADED])
-    rows = table(spark, sf_dir, "documents").select("doc_id", *[grading.graded(F.lit(_GOLD_JSON), reply, as_set=True, version=v).alias(f"g{v}") for v in (2, 3)])
-    return rows.select("doc_id", *[F.col(f"g{v}.{c}").alias(f"{n}_v{v}") for v in (2, 3) for c, n in (("correct", "correct"), ("format_correct", "format"))])
-
-
-_CREDITS = [
-    ('{"answer": ["a/x.py::f", "b/y.py::Owner::g"]}', 1.0),
-    ('It is {"answer": ["a/x.py::f"]} as far as I see', 0.5),
-    ('{"answer": ["a/x.py::f", "b/y.py::g", "c::h", "d::i"]}', 0.0),
-    ('```json\n{"answer": {"callers": ["a/x.py::f", "b/y.py::g"]}}\n```', 1.0),
-    ('{"answer": "f in a/x.py calls it, and so does g of b/y.py"}', 1.0),
-    ('{"answer": "f calls it"}', 0.0),
-    ('{"answer": "nothing"}', 0.0),
-    ("no answer", 0.0),
-]
-#: Where each name is defined: f twice, g once.
-_INDEX = {"f": ["a/x.py", "a/z.py"], "g": ["b/y.py"]}
-
-
-@query("SELECT doc_id, CAST([" + ", ".join(str(c) for _, c in _CREDITS) + f"][doc_id % {len(_CREDITS)} + 1] AS DOUBLE) AS credit FROM documents")
-def graded_credit(spark, sf_dir):
-    gold = json.dumps({"answer": ["a/x.py::f", "b/y.py::g"]})
-    reply = _pick(F.col("doc_id"), [r for r, _ in _CREDITS])
-    return table(spark, sf_dir, "documents").select("doc_id", grading.credited(F.lit(gold), reply, _INDEX).alias("credit"))
