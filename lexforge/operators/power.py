@@ -35,6 +35,23 @@ def tails(spark: SparkSession, trials: int, rate: float) -> DataFrame:
     return _masses(spark, trials, rates).select(F.lit(trials).alias("trials"), "successes", F.least(F.lit(1.0), F.sum("mass").over(w)).alias("tail"))
 
 
+def tails_of(rows: DataFrame, trials: str = "trials", successes: str = "successes", rate: str = "rate") -> DataFrame:
+    """``rows`` (one for each arm, say) and ``tail`` = P(X >= successes) of its own trials and rate, exactly.
+
+    A row costs as many masses as it has trials beyond its successes; rates lie strictly between 0 and 1.
+    """
+    spark = rows.sparkSession
+    most = rows.agg(F.max(trials)).head()[0] or 0
+    lf = log_factorials(spark, int(most))
+    asked = rows.select(trials, successes, rate).distinct()
+    each = asked.select("*", F.explode(F.sequence(successes, trials)).alias("__k")).withColumn("__rest", F.col(trials) - F.col("__k"))
+    for column, name in (("__k", "__a"), ("__rest", "__b"), (trials, "__n")):
+        each = each.join(lf.select(F.col("k").alias(column), F.col("lf").alias(name)), column)
+    logp = F.col("__n") - F.col("__a") - F.col("__b") + F.col("__k") * F.log(rate) + F.col("__rest") * F.log(1 - F.col(rate))
+    found = each.groupBy(trials, successes, rate).agg(F.least(F.lit(1.0), F.sum(F.exp(logp))).alias("tail"))
+    return rows.join(found, [trials, successes, rate], "left")
+
+
 def critical_value(spark: SparkSession, trials: int, null_rate: float, alpha: float = 0.05) -> int | None:
     """The least number of successes whose tail under the null is at most alpha."""
     row = tails(spark, trials, null_rate).where(F.col("tail") <= alpha).agg(F.min("successes")).head()

@@ -721,9 +721,15 @@ def page_bands(spark, sf_dir):
 # ---- statistics and suites ---------------------------------------------------------------------
 
 
-@query("WITH RECURSIVE b(n, k, p) AS (SELECT 20, 0, pow(0.5, 20) UNION ALL SELECT n, k + 1, p * (n - k) / (k + 1) FROM b WHERE k < n) SELECT n AS trials, k AS successes, round(sum(p) OVER (ORDER BY k DESC), 9) AS tail FROM b")
+@query(
+    """WITH a AS (SELECT c_nationkey AS arm, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1)
+SELECT arm, n AS trials, s AS successes, round(least(1.0, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(0.45) + (n - k) * ln(0.55)))), 9) AS tail FROM a, unnest(range(s, n + 1)) AS u(k) GROUP BY ALL"""
+)
 def binomial_tails(spark, sf_dir):
-    return power.tails(spark, 20, 0.5).withColumn("tail", F.round("tail", 9))
+    """How likely each nation's share of finished orders is, or a higher one, at a rate of 0.45."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    arms = orders.groupBy(F.col("c_nationkey").alias("arm")).agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("o_orderstatus") == "F").alias("successes"))
+    return power.tails_of(arms.withColumn("rate", F.lit(0.45))).select("arm", "trials", "successes", F.round("tail", 9).alias("tail"))
 
 
 @query("SELECT r_name AS task, n AS repetition, o AS system FROM region, (SELECT unnest(range(1, 4)) AS n), (SELECT DISTINCT o_orderpriority AS o FROM orders)")

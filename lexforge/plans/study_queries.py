@@ -392,21 +392,27 @@ def prompt_evidence(spark, sf_dir):
     return measures.prompt_evidence(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("document"), (k % 4 == 0).alias("carries"), (k % 4 == 1).alias("suppresses")))
 
 
-_MASS = "exp(lgamma(21) - lgamma(k + 1) - lgamma(21 - k) + CASE WHEN k > 0 THEN k * ln(r) ELSE 0 END + CASE WHEN k < 20 THEN (20 - k) * ln(1 - r) ELSE 0 END)"
-_POWER = f"""ks AS (SELECT unnest(range(0, 21)) AS k), rates AS (SELECT round(n * 0.001, 3) AS margin, least(1.0, round(n * 0.001, 3) + 0.5) AS r FROM (SELECT unnest(range(0, 501)) AS n)),
+_MASS = "exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + CASE WHEN k > 0 THEN k * ln(r) ELSE 0 END + CASE WHEN k < n THEN (n - k) * ln(1 - r) ELSE 0 END)"
+_POWER = f"""one AS (SELECT count(*) AS n FROM supplier), ks AS (SELECT n, unnest(range(0, n + 1)) AS k FROM one), rates AS (SELECT round(i * 0.001, 3) AS margin, least(1.0, round(i * 0.001, 3) + 0.5) AS r FROM (SELECT unnest(range(0, 501)) AS i)),
 null_mass AS (SELECT k, sum(m) OVER (ORDER BY k DESC) AS tail FROM (SELECT k, {_MASS.replace("(r)", "(0.5)").replace("- r)", "- 0.5)")} AS m FROM ks)), c AS (SELECT min(k) AS k FROM null_mass WHERE tail <= 0.05),
-curve AS (SELECT CAST(margin AS DOUBLE) AS margin, least(1.0, sum(CASE WHEN r >= 1 THEN CASE WHEN k = 20 THEN 1.0 ELSE 0.0 END ELSE {_MASS.replace("ln(1 - r)", "ln(greatest(1 - r, 1e-300))")} END)) AS power FROM rates, ks WHERE k >= (SELECT k FROM c) GROUP BY margin)"""
+curve AS (SELECT CAST(margin AS DOUBLE) AS margin, least(1.0, sum(CASE WHEN r >= 1 THEN CASE WHEN k = n THEN 1.0 ELSE 0.0 END ELSE {_MASS.replace("ln(1 - r)", "ln(greatest(1 - r, 1e-300))")} END)) AS power FROM rates, ks WHERE k >= (SELECT k FROM c) GROUP BY margin)"""
+
+
+def _trials(spark, sf_dir) -> int:
+    """A trial for each supplier."""
+    return table(spark, sf_dir, "supplier").count()
 
 
 @query(f"WITH {_POWER} SELECT margin, round(power, 6) AS power FROM curve")
 def power_curve(spark, sf_dir):
-    return power.power_curve(spark, 20, 0.5).withColumn("power", F.round("power", 6))
+    return power.power_curve(spark, _trials(spark, sf_dir), 0.5).withColumn("power", F.round("power", 6))
 
 
-@query(f"WITH {_POWER} SELECT CAST((SELECT k FROM c) AS INTEGER) AS critical, (SELECT min(margin) FROM curve WHERE power >= 0.8) AS reachable")
+@query(f"WITH {_POWER} SELECT (SELECT n FROM one) AS trials, CAST((SELECT k FROM c) AS INTEGER) AS critical, (SELECT min(margin) FROM curve WHERE power >= 0.8) AS reachable")
 def reachable_margin(spark, sf_dir):
-    one = spark.range(1)
-    return one.select(F.lit(power.critical_value(spark, 20, 0.5)).cast("int").alias("critical"), F.lit(power.reachable_margin(spark, 20, 0.5)).cast("double").alias("reachable"))
+    n = _trials(spark, sf_dir)
+    found = spark.range(1).select(F.lit(n).cast("long").alias("trials"))
+    return found.select("trials", F.lit(power.critical_value(spark, n, 0.5)).cast("int").alias("critical"), F.lit(power.reachable_margin(spark, n, 0.5)).cast("double").alias("reachable"))
 
 
 # ---- suites ------------------------------------------------------------------------------------
