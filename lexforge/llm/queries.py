@@ -221,15 +221,15 @@ def planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where every tenth document (by its hash) repeats its words from some place on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
-    n, g = F.size("words"), F.floor(F.col("h") / 10)
-    at = split.withColumn("n", n).where("n > 0").withColumn("g", g).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
-    at = at.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    chosen = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    n = F.nullif(F.size("words"), F.lit(0))  # null where nothing is planted
+    a = (F.col("g") % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + F.col("g") % 8))).cast("int")
+    cut = chosen.select("doc_id", "text", "words", n.alias("n"), a.alias("a"), p.alias("p"))
     times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
     tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
     changed = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), F.slice(tail, F.lit(1), F.col("n") - F.col("a"))), " ")
-    other = split.where("words IS NULL OR size(words) = 0").select("doc_id", "text")
-    return other.unionByName(at.select("doc_id", changed.alias("text")))
+    return cut.select("doc_id", F.coalesce(changed, F.col("text")).alias("text"))
 
 
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
