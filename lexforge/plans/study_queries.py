@@ -25,16 +25,19 @@ def _sql_list(values) -> str:
 
 # ---- paths, names and prose --------------------------------------------------------------------
 
-_SUFFIXES = ["py", "rs", "tsx", "go", "hpp", "txt"]
+_LANGUAGE_ROWS = ", ".join(f"('{s}', '{g}', '{f}')" for s, (g, f) in text.LANGUAGES.items())
 
 
 @query(
-    "SELECT CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'tsx' WHEN 3 THEN 'go' ELSE 'cpp' END AS language, "
-    "CASE doc_id % 6 WHEN 0 THEN 'python' WHEN 1 THEN 'rust' WHEN 2 THEN 'ecmascript' WHEN 3 THEN 'go' ELSE 'c' END AS family, count(*) AS files FROM documents WHERE doc_id % 6 < 5 GROUP BY ALL"
+    f"""WITH m(suffix, language, family) AS (VALUES {_LANGUAGE_ROWS}),
+p AS (SELECT lower(w[1:1 + length(w) % 2]) AS suffix FROM documents, unnest(regexp_extract_all(text, '[A-Za-z]{{2,}}')) AS u(w))
+SELECT language, family, count(*) AS files FROM p JOIN m USING (suffix) GROUP BY ALL"""
 )
 def language_families(spark, sf_dir):
-    path = F.concat(F.lit("d/f"), F.col("doc_id").cast("string"), F.lit("."), _pick(F.col("doc_id"), _SUFFIXES))
-    named = table(spark, sf_dir, "documents").select(text.language(path).alias("language"), text.family(path).alias("family"))
+    """Every word of the texts names a file whose suffix is its first letter or two."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]{2,})"), F.lit(1))).alias("w"))
+    path = F.concat(F.lit("d.x/"), "w", F.lit("."), F.substring(F.col("w"), F.lit(1), 1 + F.char_length("w") % 2))
+    named = words.select(text.language(path).alias("language"), text.family(path).alias("family"))
     return named.where("language IS NOT NULL").groupBy("language", "family").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -61,9 +64,13 @@ def disallowed_calls(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", reason.alias("reason"))
 
 
-@query("SELECT doc_id, 'src/' || lang || '/a.py' AS path FROM documents")
+@query(
+    r"""WITH w AS (SELECT doc_id, './' || replace(replace(text, ' ', '\'), ',', '/.') || '//./a.py' AS p FROM documents)
+SELECT doc_id, array_to_string(list_filter(string_split(replace(p, '\', '/'), '/'), lambda x: x NOT IN ('', '.')), '/') AS path FROM w"""
+)
 def normal_paths(spark, sf_dir):
-    written = F.concat(F.lit("./src\\"), "lang", F.lit("//./a.py"))
+    """Each text as a path: words are folders, with components that say nothing at the commas."""
+    written = F.concat(F.lit("./"), F.replace(F.replace("text", F.lit(" "), F.lit("\\")), F.lit(","), F.lit("/.")), F.lit("//./a.py"))
     return table(spark, sf_dir, "documents").select("doc_id", text.normal_path(written).alias("path"))
 
 
