@@ -192,7 +192,7 @@ def _pair(ordinary: bytes, toxic: bytes) -> tuple[bytes, bytes]:
 
 
 def fit(
-    rows: list[tuple[str, int]], counts: dict[int, int], window: int = 16, dictionary_bytes: int = 8192, groups: int = 6, group_bytes: int = 512, folds: int = 3
+    rows: list[tuple[str, int]], counts: dict[int, int], window: int = 24, dictionary_bytes: int = 8192, groups: int = 6, group_bytes: int = 512, folds: int = 3
 ) -> dict:
     """Dictionaries and thresholds from labelled texts; ``counts`` are the label frequencies.
 
@@ -280,7 +280,7 @@ def _score(batches: Iterator[pa.RecordBatch], packed: bytes, key: str) -> Iterat
 
 def score_documents(
     docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
-    per_label: int = 4000, window: int = 16,
+    per_label: int = 4000, window: int = 24,
 ) -> DataFrame:
     """(doc_id, score) of every document.  ``usable``: condition over ``id``, which labels may be used."""
     rows, counts = sample_labelled(docs, labels, label, usable, per_label, id_col, text_col)

@@ -127,7 +127,10 @@ def test_matches_sql(spark, name):
 
 
 def test_toxic_recall_in_each_language():
-    """No language is crowded out: held-out recall by the column lang, which the operator doesn't read."""
+    """No language is crowded out: recall by the column lang, which the operator doesn't read.
+
+    Among the folds that may be learned from, one is left out; the query's held-out fold isn't looked at.
+    """
     import zlib
     from collections import Counter
 
@@ -136,14 +139,15 @@ def test_toxic_recall_in_each_language():
     sf = "/root/testdata/sf0.1"
     label = {r["doc_id"]: r["toxic"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()}
     rows = [r for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist() if r["doc_id"] in label]
-    train = [(r["text"] or "", label[r["doc_id"]]) for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5]
-    held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
+    fold = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in rows}
+    train = [(r["text"] or "", label[r["doc_id"]]) for r in rows if fold[r["doc_id"]] in (1, 3, 4)]
+    held = [r for r in rows if fold[r["doc_id"]] == 2]
     model = toxicity.fit(train, dict(Counter(y for _, y in train)))
     distance = toxicity.Distance(model["ordinary"], model["toxic"], model["window"])
     found = Counter((r["lang"], label[r["doc_id"]]) for r in held if toxicity.score_text(r["text"] or "", model, distance) >= 0.5)
     size = Counter((r["lang"], label[r["doc_id"]]) for r in held)
     recall = {lang: found[lang, 1] / n for (lang, y), n in size.items() if y}
-    assert recall["en"] >= 0.8 and all(r >= 0.4 for r in recall.values()), recall
+    assert all(r >= 0.6 for r in recall.values()), recall
     assert sum(n for (_, y), n in found.items() if not y) <= 0.03 * sum(n for (_, y), n in size.items() if not y)
 
 
