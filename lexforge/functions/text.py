@@ -309,3 +309,13 @@ def figure(cell: str) -> tuple[float, float]:
     scale = {"": 1.0, "%": 1.0, "k": 1e3, "K": 1e3, "M": 1e6, "G": 1e9}[found[3]]
     value = float(re.sub(r"[,  ]", "", found[1]))
     return value * scale, 0.5 * scale * 10 ** -len(found[2] or "")
+
+
+def figures(cell: Column) -> Column:
+    """struct(value, half) of printed figures such as ``764 k``, ``1,290`` or ``12 %``: half is that of the last printed digit; null for other texts."""
+    parts = r"^\s*(-?[0-9][0-9, \u00a0\u202f]*)(?:\.([0-9]+))?\s*([kKMG%]?)\s*$"
+    whole = F.regexp_replace(F.regexp_extract(cell, parts, 1), "[, \u00a0\u202f]", "")
+    decimals, unit = F.regexp_extract(cell, parts, 2), F.regexp_extract(cell, parts, 3)
+    scale = F.when(unit.isin("k", "K"), 1e3).when(unit == "M", 1e6).when(unit == "G", 1e9).otherwise(1.0)
+    value = F.concat(whole, F.lit("."), decimals, F.lit("0")).cast("double") * scale
+    return F.when(cell.rlike(parts), F.struct(value.alias("value"), (0.5 * scale * F.pow(F.lit(10.0), -F.char_length(decimals))).alias("half")))

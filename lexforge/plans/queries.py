@@ -822,4 +822,4 @@ def condition_counts(spark, sf_dir):
     return d.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("text", F.lit("the"))).alias("matched"))
 
 
-from lexforge.plans import source_queries, study_queries, trial_queries  # noqa: E402, F401 - registers further queries
+from lexforge.plans import source_queries, stream_queries, study_queries, trial_queries  # noqa: E402, F401 - registers further queries
