@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexforge.operators import definitions
 from lexforge.parse import source
 from lexforge.plans.queries import files, query, table
+from lexforge.sources.tables import spread
 
 #: Name and text of the file of a part, by its key modulo six: {k} the key, {n} the next key of the language, {h} a helper's number.
 _FILES = [
@@ -132,3 +134,32 @@ SELECT path FROM o WHERE place <= {_MOST_FILES} AND total <= {_MOST_BYTES}"""
 def indexed_files(spark, sf_dir):
     """The leading files, by path, that the budgets of an index admit."""
     return source.budgeted(files(spark, sf_dir), _MOST_FILES, _MOST_BYTES).select("path")
+
+
+# ---- definitions by column expressions ---------------------------------------------------------
+
+#: Every line of a text that has two words becomes a function that calls something, in Python or in Rust.
+_CODE = """w AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda l: regexp_extract_all(l, '[a-z]{2,}')), lambda w: len(w) > 1) AS ls FROM documents),
+f AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END AS path, doc_id % 2 = 0 AS py, i, ls[i] AS w FROM w, unnest(range(1, len(ls) + 1)) AS u(i)),
+g AS (SELECT path, py, w[1] || '_' || i AS name, w[2] || '_c' AS called, CAST(CASE WHEN py THEN 2 ELSE 3 END * (i - 1) + 1 AS INTEGER) AS line FROM f)"""
+
+
+def _sources(spark, sf_dir):
+    words = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_extract_all(x, F.lit("([a-z]{2,})"), F.lit(1))), lambda w: F.size(w) > 1)
+    d = table(spark, sf_dir, "documents").select("doc_id", words.alias("ls"))
+    name = lambda w, i: F.concat(w[0], F.lit("_"), (i + 1).cast("string"))
+    py = lambda w, i: F.concat(F.lit("def "), name(w, i), F.lit("(x):  # def no_"), w[1], F.lit("()\n    return "), w[1], F.lit('_c(x, "'), w[0], F.lit('(")'))
+    rs = lambda w, i: F.concat(F.lit("fn "), name(w, i), F.lit("() { // {\n    "), w[1], F.lit("_c(); /* no_"), w[0], F.lit("() { */\n}"))
+    even = F.col("doc_id") % 2 == 0
+    code = F.array_join(F.when(even, F.transform("ls", py)).otherwise(F.transform("ls", rs)), "\n")
+    return spread(d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.when(even, ".py").otherwise(".rs")).alias("path"), code.alias("text")))
+
+
+@query(f"WITH {_CODE} SELECT path, name, line, CAST(line + CASE WHEN py THEN 1 ELSE 2 END AS INTEGER) AS end_line, CASE WHEN py THEN 'def' ELSE 'fn' END AS kind FROM g")
+def native_symbols(spark, sf_dir):
+    return definitions.symbols(_sources(spark, sf_dir)).select("path", "name", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), "kind")
+
+
+@query(f"WITH {_CODE} SELECT path, CAST(line + 1 AS INTEGER) AS line, called AS name, name AS caller FROM g")
+def native_calls(spark, sf_dir):
+    return definitions.calls(_sources(spark, sf_dir)).select("path", F.col("line").cast("int").alias("line"), "name", "caller")
