@@ -235,32 +235,25 @@ def table_of(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), DOCS)
 
 
-def test_groups_that_fit_stay_whole(spark):
+def test_groups_stay_whole_and_a_hot_one_fills_as_few_shards_as_can_be(spark):
     rnd = random.Random(4)
-    texts = [f"own {i}" for i in range(400)]
-    for k in range(60):
+    texts = ["hot"] * 300 + [f"own {i}" for i in range(400)] + [None, "", None]
+    for k in range(40):
         texts += [f"copy {k} ü"] * rnd.choice([2, 2, 3, 5, 12])
-    texts += [None, "", None]
     rnd.shuffle(texts)
-    assert check_law(shard_documents(table_of(spark, texts)).collect(), texts, 8) == {}
-
-
-def test_hot_group_fills_as_few_shards_as_can_be(spark):
-    texts = ["hot"] * 300 + [f"pair {i // 2}" for i in range(200)] + [f"own {i}" for i in range(401)]
     cut = check_law(shard_documents(table_of(spark, texts)).collect(), texts, 8)
-    assert set(cut) == {"hot"} and len(cut["hot"]) == 3  # 901 / 8 rows a shard
+    assert set(cut) == {"hot"} and len(cut["hot"]) == math.ceil(300 / (len(texts) / 8))
 
 
 def test_all_documents_linked(spark):
     texts = [f"pair {i // 2}" for i in range(160)]
-    cut = check_law(shard_documents(table_of(spark, texts), shards=4).collect(), texts, 4)
+    cut = check_law(shard_documents(table_of(spark, texts), shards=2, rounds=8).collect(), texts, 2)
     assert len(cut) <= 8  # no free document makes room: only swaps move
-    assert check_law(shard_documents(table_of(spark, ["same"] * 50), shards=4).collect(), ["same"] * 50, 4).keys() == {"same"}
 
 
 def test_shards_of_odd_tables(spark):
     assert shard_documents(spark.createDataFrame([], DOCS)).count() == 0
-    few = shard_documents(table_of(spark, ["a", "b", "a"]), shards=8).collect()
+    few = shard_documents(table_of(spark, ["a", "b", "a"]), shards=8, rounds=1).collect()
     assert len(few) == 3 and sorted(r["slot"] for r in few) == [0, 0, 0]  # a row for a shard, though two are linked
     rows = [(1, "a", 9), (1, "a", 9), (None, None, 9), (None, "b", 9), (2, "c" * 100_000, 9)]
     docs = spark.createDataFrame(rows, DOCS + ", shard int").withColumn("id", F.lit("x")).withColumn("group", F.lit(1)).withColumn("members", F.lit(1))
