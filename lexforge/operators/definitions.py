@@ -86,7 +86,8 @@ def definition_lines(lines: DataFrame) -> DataFrame:
 def _first_after(points: DataFrame, events: DataFrame, name: str) -> DataFrame:
     """``points`` (path, level, line, ...) with ``name``: the first event's line of equal path and level that isn't before theirs."""
     both = points.withColumn("__event", F.lit(None).cast("int")).unionByName(events.withColumn("__event", F.col("line")), allowMissingColumns=True)
-    ahead = Window.partitionBy("path", "level").orderBy("line").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the end backwards, so that the frame only grows
+    ahead = Window.partitionBy("path", "level").orderBy(F.desc("line")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn(name, F.min("__event").over(ahead)).where("__event IS NULL").drop("__event")
 
 

@@ -209,6 +209,18 @@ def file_relationships(refs: DataFrame, symbols: DataFrame, name: str, imports:
     return found.distinct().orderBy("path", "target", "kind").limit(MAX_RELATIONSHIPS)
 
 
+def page_imports(imports: DataFrame, paths: DataFrame, most: int = MAX_IMPORTS) -> DataFrame:
+    """The first imports of a page's files, by path and line, each with ``more``: whether the page has others.
+
+    ``imports``: path, line, statement, ...; ``paths``: path.  One row over the limit is looked for, no more.
+    """
+    order = [path_order(), F.col("line"), F.col("statement")]
+    found = imports.join(paths.select("path").distinct(), "path", "left_semi").orderBy(*order).limit(most + 1)
+    placed = found.withColumn("__place", F.row_number().over(Window.orderBy(*order)))  # most + 1 rows
+    more = placed.agg((F.count(F.lit(1)) > most).alias("more"))
+    return placed.where(F.col("__place") <= most).drop("__place").join(F.broadcast(more), F.lit(True))  # one row
+
+
 def locate(points: DataFrame, spans: DataFrame, keys: list[str], at: str = "line") -> DataFrame:
     """Each point with the innermost span around it: shortest first, then by name; null without one.
 

@@ -184,6 +184,18 @@ def localisation_rules() -> list[tuple[str, Column]]:
     ]
 
 
+def lower_bound(identities: Column, tool_path: Column | None = None) -> Column:
+    """struct: gold identities (``path::...``), their files, the least number of lexical calls that can name them, calls of the proven path.
+
+    A search names lines, not the definitions around them: one search, then a read for each file.
+    """
+    files = F.size(F.array_distinct(F.transform(identities, lambda i: F.substring_index(i, "::", 1))))
+    steps = F.lit(None).cast("int") if tool_path is None else F.nullif(F.size(tool_path), F.lit(0))
+    return F.struct(
+        F.size(identities).alias("gold_identities"), files.alias("gold_files"), F.when(F.size(identities) > 0, files + 1).otherwise(0).alias("minimum_lexical_calls"), steps.alias("structural_calls")
+    )
+
+
 def reformulated(concepts: Column, identifiers: Column, terms: Column) -> Column:
     """A rewritten query: concepts, then identifiers, then further terms."""
     return F.concat_ws(" ", concepts, identifiers, terms)

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import grading, text
-from lexforge.operators import measures, sessions, suites
-from lexforge.plans.queries import CALLS, FILES, calls, files, query, table
+from lexforge.operators import graph, lines, measures, sessions, suites
+from lexforge.plans.queries import CALLS, FILES, GRAPH, calls, files, query, refs, symbols, table
 from lexforge.plans.study_queries import _SHOWN, _pick, _shown, _sql_list
 
 # ---- calls -------------------------------------------------------------------------------------
@@ -210,10 +210,8 @@ def test_code(spark, sf_dir):
     k = F.col("doc_id")
     end = F.coalesce(F.try_element_at(F.array(*[F.lit(e) for e in _ENDS]), (k % 12 + 1).cast("int")), F.lit(".rs"))
     some = table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), k.cast("string"), end).alias("path"), F.replace("text", F.lit("\nL"), F.lit("\n #[cfg(test)]\nL")).alias("text"))
-    from lexforge.operators.lines import lines
-
     first = F.regexp_extract("text", "^[A-Za-z]+", 0)
-    definitions = lines(some).where(first != "").select("path", "line", F.concat(F.when(F.col("line") % 11 == 0, "test_").otherwise(""), first).alias("leaf"))
+    definitions = lines.lines(some).where(first != "").select("path", "line", F.concat(F.when(F.col("line") % 11 == 0, "test_").otherwise(""), first).alias("leaf"))
     return suites.test_code(definitions, some).groupBy("path").agg(F.count(F.lit(1)).alias("definitions"), F.count_if("is_test").alias("tests"))
 
 
@@ -526,3 +524,42 @@ def query_vocabulary(spark, sf_dir):
         "task_id", F.slice("w", F.lit(1), half).alias("question"), F.slice("w", third + 1, half).alias("observed"), F.slice("w", quarter + 1, n - quarter).alias("rewritten")
     )
     return measures.vocabulary_provenance(rows)
+
+
+# ---- neighbourhoods, imports, lower bounds -------------------------------------------------------
+
+
+@query(
+    f"""WITH {GRAPH}, d AS (SELECT name, 'definition' AS relation, path, line, 'page' AS other FROM symbols),
+i AS (SELECT name, 'inbound' AS relation, path, min(line) AS line, caller AS other FROM calls GROUP BY name, path, caller), o AS (SELECT caller AS name, 'outbound' AS relation, path, min(line) AS line, name AS other FROM calls GROUP BY caller, path, name),
+m AS (SELECT nullif(regexp_extract(path, '://([^/]+)', 1), '') AS name, 'member' AS relation, path, line, name AS other FROM symbols)
+SELECT * FROM d UNION ALL SELECT * FROM i UNION ALL SELECT * FROM o UNION ALL SELECT * FROM m WHERE name IS NOT NULL"""
+)
+def one_hop_relations(spark, sf_dir):
+    """Everything one hop away from every name; a pair of names counts once per file and side, at its first line."""
+    return graph.relations(symbols(spark, sf_dir), refs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {FILES}, i AS (SELECT path, line, regexp_extract(text, '^[A-Za-z]+') AS statement FROM lines WHERE regexp_matches(text, '^[A-Za-z]+') AND regexp_matches(path, '^(en|fr)/')),
+p AS (SELECT *, row_number() OVER (ORDER BY string_split(path, '/'), line, statement) AS place FROM i) SELECT path, line, statement, (SELECT count(*) FROM p) > 20 AS more FROM p WHERE place <= 20"""
+)
+def page_imports(spark, sf_dir):
+    """The first words of lines as imports; the page is the files of two languages."""
+    f = files(spark, sf_dir)
+    word = F.regexp_extract("text", "^[A-Za-z]+", 0)
+    imports = lines.lines(f).where(word != "").select("path", "line", word.alias("statement"))
+    return graph.page_imports(imports, f.where(F.col("path").rlike("^(en|fr)/")).select("path"))
+
+
+@query(
+    """WITH g AS (SELECT conv_id, list_distinct(flatten(list(list_transform(regexp_extract_all(text, '[a-z]{6,}'), lambda w: 'src/' || w[1:2] || '.py::' || w)))) AS ids, count(*) FILTER (role = 'assistant') AS steps FROM conversations GROUP BY conv_id)
+SELECT conv_id AS task_id, CAST(len(ids) AS INTEGER) AS gold_identities, CAST(len(list_distinct(list_transform(ids, lambda i: split_part(i, '::', 1)))) AS INTEGER) AS gold_files,
+CAST(CASE WHEN len(ids) > 0 THEN 1 + len(list_distinct(list_transform(ids, lambda i: split_part(i, '::', 1)))) ELSE 0 END AS INTEGER) AS minimum_lexical_calls, CAST(nullif(steps, 0) AS INTEGER) AS structural_calls FROM g"""
+)
+def lexical_bounds(spark, sf_dir):
+    named = F.transform(F.regexp_extract_all("text", F.lit("([a-z]{6,})"), F.lit(1)), lambda w: F.concat(F.lit("src/"), F.substring(w, 1, 2), F.lit(".py::"), w))
+    per = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("task_id")).agg(
+        F.array_distinct(F.flatten(F.collect_list(named))).alias("ids"), F.collect_list(F.when(F.col("role") == "assistant", F.col("turn"))).alias("steps")
+    )
+    return per.select("task_id", suites.lower_bound(F.col("ids"), F.col("steps")).alias("b")).select("task_id", "b.*")
