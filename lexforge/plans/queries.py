@@ -184,6 +184,10 @@ def bm25_topk(spark, sf_dir):
 _GOLD = "gold AS (SELECT item_id AS task_id, doc_id AS doc FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+#: Keys of passages up to which they are broadcast.
+_MOST_KEYS = 10_000
+
+
 def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage: a few hundred passages, each a literal, over one scan."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -196,9 +200,15 @@ def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # a passage may begin or end inside a word of the text: there its first whole words are the key
     key = F.element_at(threes(F.regexp_replace("passage", r"^\S*\s+", "")), 1)
-    keys = docs.select("doc_id", F.explode(F.array_distinct(threes(F.col("text")))).alias("key"))
+    asked = items.withColumn("key", key)
+    own = F.array_distinct(threes(F.col("text")))
+    wanted = asked.select("key").distinct().limit(_MOST_KEYS + 1).agg(F.collect_list("key").alias("wanted"))
+    if wanted.select(F.size("wanted")).head()[0] <= _MOST_KEYS:  # few keys are compared inside the row; of many all are joined
+        docs_keys = docs.join(F.broadcast(wanted), F.lit(True)).select("doc_id", F.explode(F.array_intersect(own, F.col("wanted"))).alias("key"))
+    else:
+        docs_keys = docs.select("doc_id", F.explode(own).alias("key"))
     # keys and ids meet first; a text moves once at most, and only to its few candidates
-    near = keys.join(items.withColumn("key", key), "key").select("doc_id", "task_id", "passage").distinct()
+    near = docs_keys.join(asked, "key").select("doc_id", "task_id", "passage").distinct()
     found = near.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("passage")))
     return found.select("task_id", F.col("doc_id").alias("doc")).distinct()
 
