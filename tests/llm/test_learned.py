@@ -161,5 +161,5 @@ def test_ordinary_dictionary_sees_all_windows(monkeypatch):
     monkeypatch.setattr(toxicity, "_train", stop)
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}" for i in range(8 * 125_000))
     with pytest.raises(Seen) as seen:
-        toxicity.fit([(text, 0), ("scum", 1)], {0: 1, 1: 1})
+        toxicity.fit([(text, 0), ("scum", 1)], {0: 1, 1: 1}, window=16)
     assert seen.value.args == (125_000,)
