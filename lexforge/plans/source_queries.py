@@ -144,7 +144,7 @@ f AS (SELECT 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.py' ELSE '.rs' END
 g AS (SELECT path, py, w[1] || '_' || i AS name, w[2] || '_c' AS called, CAST(CASE WHEN py THEN 2 ELSE 3 END * (i - 1) + 1 AS INTEGER) AS line FROM f)"""
 
 
-def _sources(spark, sf_dir):
+def _coded(spark, sf_dir):
     words = F.filter(F.transform(F.split("text", "\n"), lambda x: F.regexp_extract_all(x, F.lit("([a-z]{2,})"), F.lit(1))), lambda w: F.size(w) > 1)
     d = table(spark, sf_dir, "documents").select("doc_id", words.alias("ls"))
     name = lambda w, i: F.concat(w[0], F.lit("_"), (i + 1).cast("string"))
@@ -157,9 +157,9 @@ def _sources(spark, sf_dir):
 
 @query(f"WITH {_CODE} SELECT path, name, line, CAST(line + CASE WHEN py THEN 1 ELSE 2 END AS INTEGER) AS end_line, CASE WHEN py THEN 'def' ELSE 'fn' END AS kind FROM g")
 def native_symbols(spark, sf_dir):
-    return definitions.symbols(_sources(spark, sf_dir)).select("path", "name", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), "kind")
+    return definitions.symbols(_coded(spark, sf_dir)).select("path", "name", F.col("line").cast("int").alias("line"), F.col("end_line").cast("int").alias("end_line"), "kind")
 
 
 @query(f"WITH {_CODE} SELECT path, CAST(line + 1 AS INTEGER) AS line, called AS name, name AS caller FROM g")
 def native_calls(spark, sf_dir):
-    return definitions.calls(_sources(spark, sf_dir)).select("path", F.col("line").cast("int").alias("line"), "name", "caller")
+    return definitions.calls(_coded(spark, sf_dir)).select("path", F.col("line").cast("int").alias("line"), "name", "caller")

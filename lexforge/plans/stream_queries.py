@@ -115,7 +115,7 @@ def tolerant_log(spark, sf_dir):
 
 @query(
     """WITH c AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / 1000, 1) AS k, l_quantity AS q, l_linenumber % 3 AS kind FROM lineitem)
-SELECT l_orderkey, l_linenumber, CASE kind WHEN 0 THEN round(k * 1000, 4) WHEN 1 THEN CAST(q AS DOUBLE) ELSE round(round(k / 10, 2) * 1000000, 4) END AS value, CASE kind WHEN 0 THEN 50.0 WHEN 1 THEN 0.5 ELSE 5000.0 END AS half FROM c"""
+SELECT l_orderkey, l_linenumber, CASE kind WHEN 0 THEN round(k * 1000, 4) WHEN 1 THEN CAST(q AS DOUBLE) ELSE round(round(k / 10, 2) * 1000000, 4) END AS value, CAST(CASE kind WHEN 0 THEN 50.0 WHEN 1 THEN 0.5 ELSE 5000.0 END AS DOUBLE) AS half FROM c"""
 )
 def printed_figures(spark, sf_dir):
     """Figures as documents print them (12.3 k, 17, 1.23 M), read back with half of their last digit."""
