@@ -123,7 +123,7 @@ FENCED = "```json\n%s\n```"
     "reply, v2, v3",
     [
         (' {"answer": ["b", "a"]} ', (True, True), (True, True)), ('{"answer": ["a", "a", "b"]}', (False, True), (False, True)), ('{"answer": ["a"], "answer": ["a", "b"]}', (False, False), (False, False)),
-        ("So\n" + FENCED % GOLD + "\nyes", (True, False), (True, False)), (FENCED % "x" + "\n" + FENCED % GOLD, (False, False), (True, False)), (FENCED % GOLD + FENCED % GOLD, (False, False), (False, False)),
+        ("So\n" + FENCED % GOLD + "\nyes", (True, False), (True, False)), ("```rust\nfn f() {}\n```\n" + FENCED % GOLD, (False, False), (True, False)), ("```c++\n" + GOLD + "\n```", (False, False), (True, False)), (FENCED % "x" + "\n" + FENCED % GOLD, (False, False), (True, False)), (FENCED % GOLD + FENCED % GOLD, (False, False), (False, False)),
         (GOLD + " and " + GOLD, (False, False), (False, False)), (GOLD + "] }", (False, False), (False, False)), (GOLD + "} ]", (False, False), (False, False)), (GOLD + "," + GOLD, (False, False), (False, False)),
         ('{"answer": "a"}', (False, True), (False, True)), ('{"other": ["a", "b"]}', (False, False), (False, False)), ("", (False, False), (False, False)), (None, (False, None), (False, None)),
     ],
@@ -136,9 +136,9 @@ def test_strict_grades(spark, reply, v2, v3):
 
 
 def test_values_apart(spark):
-    pairs = [("1", "true"), ("1", "1"), ("[1, 2]", "[2, 1]"), ('{"x": 1, "y": [2]}', '{"y":[2],"x":1}'), ("null", "null"), ('"a"', '["a"]')]
+    pairs = [("1", "true"), ("1", "1"), ("[1, 2]", "[2, 1]"), ('{"x": 1, "y": [2]}', '{"y":[2],"x":1}'), ("null", "null"), ('"a"', '["a"]'), ("1", "1.0"), ("1.5", "1.50"), ("[1, 2]", "[2.0, 1]")]
     rows = [('{"answer": %s}' % a, '{"answer": %s}' % b) for a, b in pairs]
-    for as_set, want in ((False, [False, True, False, True, True, False]), (True, [False, True, True, True, True, False])):
+    for as_set, want in ((False, [False, True, False, True, True, False, False, True, False]), (True, [False, True, True, True, True, False, False, True, False])):
         assert column(spark, grading.strict_grade(F.col("r"), F.col("g"), F.lit(as_set))["correct"], rows, "r string, g string") == want
 
 
