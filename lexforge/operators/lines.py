@@ -110,12 +110,14 @@ def read_cost(text: Column) -> Column:
     return F.octet_length(F.to_json(F.array(text))) - 4 + READ_LINE_COST
 
 
-def read_source(files: DataFrame, path: str | None, start: int = 1, end: int | None = None, budget: int = READ_BYTES) -> DataFrame:
-    """Lines start..end (100 by default, 500 at most) of one file or of each file, as far as the budget goes."""
+def read_source(files: DataFrame, path: str | None, start: int = 1, end: int | None = None, budget: int | None = READ_BYTES) -> DataFrame:
+    """Lines start..end (100 by default, 500 at most) of one file or of each file, as far as the budget goes; without one, all of them."""
     if start < 1 or (end is not None and end < start):
         raise ValueError("lines count from 1 and end doesn't come before start")
     last = min(end if end is not None else start + READ_DEFAULT_LINES - 1, start + READ_MAX_LINES - 1)
     some = lines(files.where(F.col("path") == path) if path else files).where(F.col("line").between(start, last))
+    if budget is None:
+        return some
     return within_budget(some, read_cost(F.col("text")), [F.col("line")], budget, ["path"]).select("path", "line", "text")
 
 

@@ -64,3 +64,14 @@ def test_contrasts_cover_all_parts(spark, duck):
     }
     got = [tuple(r) for r in entry.queries()["one_factor_contrasts"](spark, SF).select("factor", "cell", "other_cell").collect()]
     assert want and len(got) == len(want) and set(got) == want
+
+
+def test_read_range_keeps_long_lines(spark, tmp_path):
+    """Lines beyond the budget of a page are rows of the SQL as well."""
+    texts = [(1, "a\n" + "b" * 40_000 + "\nc\nd\ne", "en", "src0", 40_009), (2, "a\nb\n" + "é" * 20_000 + "\n", "de", "src1", 20_005)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got, want = entry.queries()["read_range"](spark, str(tmp_path)), con.sql(entry.oracle_sql()["read_range"])
+    assert len(want.fetchall()) == 5
+    assert canonical(got.collect(), got.columns) == canonical(want.fetchall(), want.columns)
