@@ -19,16 +19,29 @@ def plan(tasks: DataFrame, systems: DataFrame, repetitions: int, seed: int) -> D
     return cells.withColumn("draw", digest)
 
 
+#: Cells of one combination of factors that are held in one row, on average, while pairs are made.
+CELL_BLOCK = 512
+
+
 def one_factor_contrasts(cells: DataFrame, factors: list[str]) -> DataFrame:
-    """Pairs of cells that differ in exactly one factor: joined on the others, one factor at a time."""
+    """Pairs of cells that differ in exactly one factor.
+
+    The result grows with the square of a combination's cells, so blocks of cells of one combination are what is joined on the
+    other factors, and factors are compared once a pair of blocks.  Pairs of blocks are dealt over all tasks before they are spelled out.
+    """
+    sizes = cells.groupBy(*factors).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = cells.join(sizes, factors).withColumn("__block", F.pmod(F.xxhash64("cell"), F.ceil(F.col("__n") / CELL_BLOCK)))
+    held = F.transform(F.collect_list(F.struct("cell")), lambda s: s["cell"])  # of plain values, null ones would be lost
+    blocks = dealt.groupBy(*factors, "__block").agg(held.alias("__cells"))
     out = None
     for factor in factors:
         rest = [f for f in factors if f != factor]
-        other = cells.select(*rest, F.col(factor).alias("other"), F.col("cell").alias("other_cell"))
-        found = cells.join(other, rest) if rest else cells.crossJoin(other)
-        found = found.where(F.col(factor) < F.col("other")).select(F.lit(factor).alias("factor"), "cell", "other_cell")
+        other = blocks.select(*rest, F.col(factor).alias("other"), F.col("__cells").alias("__others"))
+        found = blocks.join(other, rest) if rest else blocks.crossJoin(other)
+        found = found.where(F.col(factor) < F.col("other")).select(F.lit(factor).alias("factor"), "__cells", "__others")
         out = found if out is None else out.unionByName(found)
-    return out
+    out = out.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return out.select("factor", F.explode("__cells").alias("cell"), "__others").select("factor", "cell", F.explode("__others").alias("other_cell"))
 
 
 def unique_and_used(symbols: DataFrame, uses: DataFrame, name: str, key: str) -> DataFrame:

@@ -340,3 +340,16 @@ def test_trace_moves_its_edges_once(spark):
         spark.sql(f"DROP TABLE {name}")
     found = {(r["depth"], r["callee"]) for r in graph.trace(refs, "n0", "callees", 3).collect()}
     assert found == {(1, "n1"), (1, "n2"), (2, "n3"), (2, "n4"), (2, "n5"), (2, "n6"), (2, "n7"), (2, "n8")} | {(3, f"n{i}") for i in range(9, 27)}
+
+
+def test_contrasts_are_dealt_over_tasks(spark):
+    """Pairs of large combinations of factors come from many tasks, each pair once; a combination's cells don't meet one another."""
+    cells = spark.range(3600).select(F.col("id").alias("cell"), (F.col("id") % 3).alias("a"), F.lit("x").alias("b")).coalesce(1)
+    found = suites.one_factor_contrasts(cells, ["a", "b"])
+    parts = found.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"), F.sum("cell").alias("x"), F.sum("other_cell").alias("y")).collect()
+    of = [1200 * (1199 * 1200 // 2) * 3 + i * 1200 * 1200 for i in range(3)]  # sums of a combination's cells, each standing in 1200 pairs
+    assert sum(p.n for p in parts) == 3 * 1200 * 1200
+    assert (sum(p.x for p in parts), sum(p.y for p in parts)) == (2 * of[0] + of[1], of[1] + 2 * of[2])
+    assert max(p.n for p in parts) < 0.6 * 3 * 1200 * 1200
+    odd = spark.createDataFrame([(None, 1, "x"), (7, 1, "x"), (7, 1, "x"), (8, 2, "x"), (9, None, "x"), (10, 2, None)], "cell int, a int, b string")
+    assert sorted(map(tuple, suites.one_factor_contrasts(odd, ["a", "b"]).select("cell", "other_cell").collect()), key=str) == [(7, 8), (7, 8), (None, 8)]
