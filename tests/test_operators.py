@@ -353,3 +353,15 @@ def test_contrasts_are_dealt_over_tasks(spark):
     assert max(p.n for p in parts) < 0.6 * 3 * 1200 * 1200
     odd = spark.createDataFrame([(None, 1, "x"), (7, 1, "x"), (7, 1, "x"), (8, 2, "x"), (9, None, "x"), (10, 2, None)], "cell int, a int, b string")
     assert sorted(map(tuple, suites.one_factor_contrasts(odd, ["a", "b"]).select("cell", "other_cell").collect()), key=str) == [(7, 8), (7, 8), (None, 8)]
+
+
+def test_imports_bring_no_tree_to_the_driver(spark):
+    """However small Spark expects parsed rows and paths to be, nothing is broadcast; doubled rows and imports without candidates stay."""
+    tree = spark.createDataFrame([("p/a.py", ""), ("p/b.py", ""), ("p/b.py", "")], "path string, text string")
+    raw = [("p/a.py", 1, "import p.b", ["p/b.py", "p/b/__init__.py"]), ("p/a.py", 1, "import p.b", ["p/b.py"]), ("p/a.py", 2, "import q", ["q.py"]), ("p/a.py", 3, "use r", [])]
+    rows = spark.createDataFrame([("import", *r) for r in raw], "table string, path string, line int, statement string, candidate_files array<string>")
+    found = source.imports(rows, tree)
+    got = sorted((r.line, r.candidate_files, r.resolution) for r in found.collect())
+    assert got == [(1, ["p/b.py"], "possible_local_module")] * 2 + [(2, [], "unresolved"), (3, [], "unresolved")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
