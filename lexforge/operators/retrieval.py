@@ -12,6 +12,9 @@ from lexforge.operators.selection import with_medians
 #: BM25, fusion and candidate selection.
 K1, B, FUSION_K, CANDIDATE_FILES, LINES_PER_FILE = 1.2, 0.75, 60, 400, 2048
 
+#: Pairs of a query and one of its tokens up to which they are broadcast.
+MOST_ASKED = 100_000
+
 
 #: Stands once in every chunk's postings: it carries the chunk's length into the corpus figures.
 _CHUNK = "\0"
@@ -45,11 +48,14 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc", text: str = "t
 
     ``queries``: query_id, text; its distinct tokens count.  Chunks without tokens aren't in the corpus.
     One pass makes the tokens; frequencies, lengths and postings come from one exchange of those asked for.
+    Scores number about as many as queries times chunks: postings are dealt by chunk, so that few queries' tokens come to them and
+    the scores are added up where they arise.  Of more queries than that all postings meet by token, and partial scores move.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(concept_tokens(F.col("text")))).alias("token"))
+    few = asked.limit(MOST_ASKED + 1).count() <= MOST_ASKED
     wanted = asked.select("token").union(asked.sparkSession.range(1).select(F.lit(_CHUNK))).distinct()
     told = _tokens(chunks, key, text).select("doc", F.size("tokens").alias("len"), F.concat("tokens", F.array(F.lit(_CHUNK))).alias("tokens"))
-    post = told.select("doc", "len", F.explode_outer("tokens").alias("token")).join(wanted, "token", "left_semi")
+    post = told.select("doc", "len", F.explode_outer("tokens").alias("token")).join(F.broadcast(wanted) if few else wanted, "token", "left_semi")
     post = post.groupBy("token", "doc", "len").agg(F.count(F.lit(1)).alias("tf"))
     # all three read the same columns of the same exchange, so that it is made once
     chunk = (F.col("token") == _CHUNK) & (F.col("len") > 0)
@@ -58,6 +64,10 @@ def bm25(chunks: DataFrame, queries: DataFrame, key: str = "doc", text: str = "t
     df = post.groupBy("token").agg(F.sum(F.when(F.col("len") > 0, F.least("tf", F.lit(1)))).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    if few:
+        rarity = asked.join(df, "token").join(F.broadcast(corpus)).select("query_id", "token", "n", "df", "avg_len")
+        scored = post.repartition("doc").join(F.broadcast(rarity), "token").withColumn("weight", weight)
+        return scored.groupBy("query_id", "doc").agg(F.sum("weight").alias("score"))
     scored = post.join(df, "token").join(F.broadcast(corpus)).withColumn("weight", weight)  # corpus is one row
     return scored.join(asked, "token").groupBy("query_id", "doc").agg(F.sum("weight").alias("score"))
 

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -365,3 +366,16 @@ def test_imports_bring_no_tree_to_the_driver(spark):
     assert got == [(1, ["p/b.py"], "possible_local_module")] * 2 + [(2, [], "unresolved"), (3, [], "unresolved")]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan
+
+
+def test_bm25_scores_move_nowhere(spark, monkeypatch):
+    """Scores of few queries are added up beside the postings; of many they meet by token, with the same result."""
+    chunks = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(i % 7 + 1)) + " w0") for i in range(50)] + [(50, "...")], "doc int, text string")
+    asked = spark.createDataFrame([(q, f"w{q} w{q + 1} none") for q in range(4)], "query_id int, text string")
+    found = retrieval.bm25(chunks, asked)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(doc#", plan) and not re.search(r"hashpartitioning\(query_id#\d+, doc#", plan)
+    few = {(r.query_id, r.doc): round(r.score, 9) for r in found.collect()}
+    monkeypatch.setattr(retrieval, "MOST_ASKED", 0)
+    many = {(r.query_id, r.doc): round(r.score, 9) for r in retrieval.bm25(chunks, asked).collect()}
+    assert few == many and len(few) > 50
