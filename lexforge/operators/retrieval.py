@@ -174,8 +174,10 @@ def to_embed(chunks: DataFrame, cached: DataFrame, key: str = "key") -> DataFram
     return chunks.join(cached.select(key, "embedding"), key, "left")
 
 
-def first_relevant(ranked: DataFrame, relevant: DataFrame, tasks: DataFrame, task: str = "task_id", item: str = "doc") -> DataFrame:
-    """task, rank of the first relevant item (null if none is found) for every task."""
+def first_relevant(ranked: DataFrame, relevant: DataFrame, tasks: DataFrame | None = None, task: str = "task_id", item: str = "doc") -> DataFrame:
+    """task, rank of the first relevant item (null if none is found) for every task: those given, or those that have relevant items."""
+    if tasks is None:  # relevant items, which may be dear, are asked for once
+        return relevant.select(task, item).join(ranked.select(task, item, "rank"), [task, item], "left").groupBy(task).agg(F.min("rank").alias("rank"))
     hit = ranked.join(relevant.select(task, item), [task, item], "left_semi").groupBy(task).agg(F.min("rank").alias("rank"))
     return tasks.select(*tasks.columns).join(hit, task, "left")
 

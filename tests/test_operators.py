@@ -379,3 +379,10 @@ def test_bm25_scores_move_nowhere(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "MOST_ASKED", 0)
     many = {(r.query_id, r.doc): round(r.score, 9) for r in retrieval.bm25(chunks, asked).collect()}
     assert few == many and len(few) > 50
+
+
+def test_first_relevant_without_tasks(spark):
+    ranked = spark.createDataFrame([(1, 5, 2), (1, 6, 1), (2, 5, 1), (3, 9, 1)], "task_id int, doc int, rank int")
+    relevant = spark.createDataFrame([(1, 5), (1, 6), (2, 7)], "task_id int, doc int")
+    want = sorted(map(tuple, retrieval.first_relevant(ranked, relevant, relevant.select("task_id").distinct()).collect()))
+    assert want == sorted(map(tuple, retrieval.first_relevant(ranked, relevant).collect())) == [(1, 1), (2, None)]

@@ -87,3 +87,9 @@ def test_gold_moves_no_texts(spark, duck, monkeypatch):
     monkeypatch.setattr(queries, "_MOST_KEYS", 0)
     assert few == sorted(map(tuple, queries._gold(spark, SF).collect()))
     assert few == sorted(duck.sql("select item_id, doc_id from benchmark b join documents d on contains(d.text, b.text)").fetchall()) and few
+
+
+@pytest.mark.parametrize("name", ["ranker_tiers", "mrr_recall"])
+def test_passages_are_looked_up_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_intersect(") == 1
